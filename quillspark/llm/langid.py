@@ -100,38 +100,45 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def train(counts: np.ndarray, labels: np.ndarray, languages: list[str], s: Settings) -> Model:
-    """Fit on rows of subword counts; ``labels`` are indices of ``languages``."""
+Counts = tuple[np.ndarray, np.ndarray]
+
+
+def train(rows: list[Counts], labels: np.ndarray, languages: list[str], s: Settings) -> Model:
+    """Fit on subword counts (buckets and counts of each row); ``labels`` are indices of ``languages``."""
     rng = np.random.default_rng(s.seed)
-    x = (counts / np.maximum(counts.sum(1, keepdims=True), 1)).astype(np.float32)
-    order = rng.permutation(len(x))
-    back = order[: int(len(x) * s.held_back)]
-    fit = order[len(back) :] if len(order) > len(back) else order
+    shares = [(k, (c / max(1, c.sum())).astype(np.float32)) for k, c in rows]
+    order = rng.permutation(len(rows))
+    back = order[: int(len(rows) * s.held_back)]
+    fit = order[len(back) :]
     table = rng.normal(0, 0.1, (s.buckets, s.width)).astype(np.float32)
     weights = rng.normal(0, 0.1, (s.width, len(languages))).astype(np.float32)
     bias = np.zeros(len(languages), np.float32)
     steps, done = s.epochs * max(1, -(-len(fit) // s.batch)), 0
+
+    def embedded(at: np.ndarray) -> np.ndarray:
+        return np.stack([shares[i][1] @ table[shares[i][0]] for i in at])
+
     for _ in range(s.epochs):
         rng.shuffle(fit)
         for k in range(0, len(fit), s.batch):
             at = fit[k : k + s.batch]
             rate = s.rate * (1 - done / steps)
             done += 1
-            inner = x[at] @ table
+            inner = embedded(at)
             error = _softmax(inner @ weights + bias)
             error[np.arange(len(at)), labels[at]] -= 1
             error /= len(at)
             back_in = error @ weights.T
             weights -= rate * inner.T @ error
             bias -= rate * error.sum(0)
-            seen = np.flatnonzero(x[at].any(0))
-            table[seen] -= rate * 8 * (x[at][:, seen].T @ back_in)
+            for i, g in zip(at, back_in):
+                table[shares[i][0]] -= rate * 8 * shares[i][1][:, None] * g
     model = Model(languages, table, weights, bias, 1.0, 0.0, s)
     if len(back):
-        z = x[back] @ table @ weights + bias
-        rows = np.arange(len(back))
+        z = embedded(back) @ weights + bias
+        at = np.arange(len(back))
         grid = np.geomspace(0.25, 8, 41)
-        model.temperature = float(grid[np.argmin([-np.log(np.maximum(_softmax(z / t)[rows, labels[back]], 1e-12)).mean() for t in grid])])
+        model.temperature = float(grid[np.argmin([-np.log(np.maximum(_softmax(z / t)[at, labels[back]], 1e-12)).mean() for t in grid])])
         p = _softmax(z / model.temperature)
         right = np.sort(p.max(1)[p.argmax(1) == labels[back]])
         if len(right):
@@ -160,7 +167,7 @@ def fit(docs: DataFrame, s: Settings = Settings(), text_col: str = "text", lang_
     drawn = rows.where(unit < rate).select("h", "lang", "text").limit(2 * s.sample)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textkit.slices(batches, 2):
             raw, at = textkit.buffers(batch.column(2))
             found = []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
@@ -174,12 +181,9 @@ def fit(docs: DataFrame, s: Settings = Settings(), text_col: str = "text", lang_
     languages = sorted({r["lang"] for r in got})
     if not got:
         return None
-    counts = np.zeros((len(got), s.buckets), np.float32)
-    for i, r in enumerate(got):
-        k, c = np.frombuffer(r["counts"], np.uint32).reshape(2, -1)
-        counts[i, k] = c
     index = {x: i for i, x in enumerate(languages)}
-    return train(counts, np.array([index[r["lang"]] for r in got]), languages, s)
+    rows = [tuple(np.frombuffer(r["counts"], np.uint32).reshape(2, -1)) for r in got]
+    return train(rows, np.array([index[r["lang"]] for r in got]), languages, s)
 
 
 def _has_letter(text: str) -> bool:
@@ -201,7 +205,7 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> DataF
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in textkit.slices(batches, len(kept)):
             raw, at = textkit.buffers(batch.column(len(kept)))
             n = batch.num_rows
             langs, scores, out = [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
