@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, sharding, urlfilter
+from . import decontamination, langid, mixing, sharding, topk, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,21 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), toxicity.held_out(F.col("doc_id"))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~out))
+    scored = toxicity.score(docs.select("doc_id", out.alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS, SLOTS, slot_out="slot")
 
@@ -88,15 +103,47 @@ select doc_id, size, source_size, target, (copies * size)::bigint as taken, copi
 """
 
 
+_DECONTAMINATION_SQL = r"""
+with d as (
+  select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+bs as (select item_id, w, least(len(w), 10) as n, unnest(range(1, len(w) - least(len(w), 10) + 2)) as s from b where len(w) > 0),
+bw as (select distinct item_id, n, array_to_string(list_slice(w, s, s + n - 1), ' ') as g from bs),
+ds as (select r, w, n, unnest(range(1, len(w) - n + 2)) as s from d, (select distinct n from bw) where len(w) >= n),
+dw as (select r, n, s, array_to_string(list_slice(w, s, s + n - 1), ' ') as g from ds),
+m as (select dw.r, dw.n, dw.s, bw.item_id from dw join bw on dw.g = bw.g and dw.n = bw.n),
+hit as (select r, count(distinct p) as n_hit from (select r, unnest(range(s, s + n)) as p from m) group by r),
+it as (select r, count(*) as n_items, string_agg(i, ',' order by i) as ids from (select distinct r, cast(item_id as varchar) as i from m where item_id is not null) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (r) left join it using (r)
+"""
+
+_TOP_K_SQL = """
+with e as (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (
+  select q.r as r, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+  from e q join e c on q.r <> c.r and len(q.v) = len(c.v) where q.vec_id % 50 = 0)
+select query_id, rank, vec_id, score from (
+  select query_id, vec_id, score, cast(row_number() over (partition by r order by score desc, vec_id) as integer) as rank from p) where rank <= 5
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_url_filters": op2_url_filters,
     "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
+    "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
+    "op8_top_k": op8_top_k,
 }
 
 ORACLES: dict[str, str] = {
     "op2_url_filters": _url_sql(),
     "op4_mixing": _mix_sql(),
+    "op6_decontamination": _DECONTAMINATION_SQL,
     "op7_sharding": _shard_sql(),
+    "op8_top_k": _TOP_K_SQL,
 }

@@ -68,6 +68,21 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]] if len(at) else raw[:0], at - (at[0] if len(at) else 0)
 
 
+#: Bytes of text that are worked on at once (a longer text alone may have more).
+SLICE = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces of rows with at most SLICE bytes in column k, or one row."""
+    for batch in batches:
+        _, at = buffers(batch.column(k))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(at, at[a] + SLICE, "right")) - 1)
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def _segments(words: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int]]:
     """Cuts of about SEGMENT bytes that go through no word. ``words``: which
     bytes are in words; ``edges``: offsets of texts."""
