@@ -1,16 +1,61 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and returns what it keeps."""
+"""The corpus pipeline: from raw documents to a mixed and sharded training set.
+
+Each stage takes (spark, docs, sf_dir) and returns what it keeps of ``docs``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm import decontamination, langid, mixing, sharding, similarity
+from quillspark.llm.entry import SHARDS, SLOTS, table
+from quillspark.llm.storage import cut
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language is told with confidence."""
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.accepted(docs, model)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies: five-word shingles, similarity 0.8."""
+    return similarity.one_of_each_group(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that share no window of words with the benchmark."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed(docs)
+
+
+def shard_placement(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its shard."""
+    return sharding.place(docs, "doc_id", SHARDS, SLOTS)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources", source_mixing),
+    ("sharding", shard_placement),
+]
 
-STAGES: list = []
+#: Training a classifier has no SQL form; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``, each written before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs, f"stage-{k}")
     return docs

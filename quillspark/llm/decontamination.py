@@ -174,3 +174,11 @@ def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None,
         F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("__hit") > 0).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (text and any other columns) that share no window with the benchmark."""
+    names = docs.columns
+    apart = docs.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(names)])
+    judged = judge(apart, benchmark, keep=apart.columns, text_col=f"__k{names.index('text')}")
+    return judged.where(~F.col("contaminated")).select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(names)])

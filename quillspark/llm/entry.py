@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, mixing, sharding, topk, toxicity, urlfilter
+from . import decontamination, langid, mixing, sharding, similarity, substrings, topk, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +31,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.jaccard_groups(table(spark, sf_dir, "documents"), words=3, ratio=Fraction(9, 10))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS, SLOTS, slot_out="slot")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, sf_dir, "documents"))
+
+
+def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.paragraph_groups(table(spark, sf_dir, "documents"))
+
+
 def _url_sql() -> str:
     values = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
     return rf"""
@@ -130,20 +143,54 @@ select query_id, rank, vec_id, score from (
   select query_id, vec_id, score, cast(row_number() over (partition by r order by score desc, vec_id) as integer) as rank from p) where rank <= 5
 """
 
+_JACCARD_SQL = r"""
+with recursive d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct r, array_to_string(list_slice(w, k, k + least(len(w), 3) - 1), ' ') as g from (select r, w, unnest(range(1, len(w) - least(len(w), 3) + 2)) as k from d where len(w) > 0)),
+n as (select r, count(*) as n from s group by r),
+o as (select a.r as x, b.r as y, count(*) as o from s a join s b on a.g = b.g and a.r <> b.r group by all),
+e as (select x, y from o join n p on p.r = x join n q on q.r = y where 100 * o >= 90 * (p.n + q.n - o)),
+reach as (select r as x, r as y from d union select reach.x, e.y from reach join e on e.x = reach.y),
+c as (select x, min(doc_id) as component_id from reach join d on d.r = reach.y group by x),
+k as (select x, count(*) as n_links from e group by x)
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, coalesce(n_links, 0)::bigint as n_links
+from d join c on c.x = d.r left join n on n.r = d.r left join k on k.x = d.r
+"""
+
+_SUBSTRING_SQL = """
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select r, doc_id, k, substr(h, 2 * k + 1, 100) as g from (select r, doc_id, h, unnest(range(0, length(h) // 2 - 49)) as k from d)),
+f as (select g, min(doc_id) as first from w group by g),
+z as (select r, k, max(k) over (partition by r order by k rows between unbounded preceding and 1 preceding) as b from w join f using (g) where first < doc_id),
+i as (select r, k, sum(case when b is null or k > b + 50 then 1 else 0 end) over (partition by r order by k) as run from z),
+g as (select r, run, min(k) as a, max(k) + 50 as b from i group by r, run),
+q as (select r, a, b, lag(b, 1, 0) over (partition by r order by a) as c from g),
+t as (select r, count(*) as n, sum(b - a) as gone, max(b) as e from q group by r),
+u as (select q.r, string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' order by a) as kept from q join d on d.r = q.r group by q.r)
+select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(n, 0)::bigint as n_spans,
+  sha256(unhex(case when n is null then h else kept || substr(h, 2 * e + 1) end)) as kept_sha256
+from d left join t on t.r = d.r left join u on u.r = d.r
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_url_filters": op2_url_filters,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
     "op8_top_k": op8_top_k,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_paragraph_dedup": op10_paragraph_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op2_url_filters": _url_sql(),
+    "op3_jaccard_join": _JACCARD_SQL,
     "op4_mixing": _mix_sql(),
     "op6_decontamination": _DECONTAMINATION_SQL,
     "op7_sharding": _shard_sql(),
     "op8_top_k": _TOP_K_SQL,
+    "op9_suffix_dedup": _SUBSTRING_SQL,
 }

@@ -229,3 +229,11 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> DataF
 def held_out(key: Column) -> Column:
     """Whether crc32 of the key's text is 2 modulo 4; false for null."""
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` (text and any other columns) whose language the model doesn't reject."""
+    names = docs.columns
+    apart = docs.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(names)])
+    judged = predict(apart, model, f"__k{names.index('text')}")
+    return judged.where(~F.col("lang_rejected")).select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(names)])
