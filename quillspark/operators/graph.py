@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 DIRECTIONS = ("incoming", "outgoing", "both")
 
 
-def edges_of(edges: DataFrame, node: Column, direction: str, limit: int | None = None, order: list[str] | None = None) -> DataFrame:
-    """Edges into, out of, or at a node. ``node``: a condition over source_* or
-    target_* columns, given for the prefix ``n``."""
+def edges_of(edges: DataFrame, node: Column, direction: str, limit: int | None = None) -> DataFrame:
+    """Edges (source, target) into, out of, or at ``node``, an id; the first ``limit`` (1 to 1000) in order."""
     if direction not in DIRECTIONS:
         raise ValueError(f"direction: one of {', '.join(DIRECTIONS)}")
-    into, out = F.col("target").isin(node) if isinstance(node, list) else F.col("target") == node, F.col("source").isin(node) if isinstance(node, list) else F.col("source") == node
+    into, out = F.col("target") == node, F.col("source") == node
     rows = edges.where({"incoming": into, "outgoing": out, "both": into | out}[direction])
-    return rows if limit is None else rows.orderBy(*(order or ["source", "target"])).limit(max(1, min(limit, 1000)))
+    return rows if limit is None else rows.orderBy("source", "target").limit(max(1, min(limit, 1000)))
 
 
 def described(edges: DataFrame, nodes: DataFrame) -> DataFrame:

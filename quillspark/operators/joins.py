@@ -41,8 +41,7 @@ def nearest(left: DataFrame, right: DataFrame, by: str, at: str, value: str, for
 def longest_prefix(paths: DataFrame, roots: DataFrame, path: str, root: str, out: str = "owner") -> DataFrame:
     """``paths`` with the longest of ``roots`` that is the path or a folder
     above it: each path's folders are its candidate keys, joined by equality."""
-    keyed = paths.withColumn("__n", F.xxhash64(path)).select(path).distinct()
-    keyed = keyed.withColumn("__key", F.explode(F.concat(text.ancestors(F.col(path)), F.array(path))))
+    keyed = paths.select(path).distinct().withColumn("__key", F.explode(F.concat(text.ancestors(F.col(path)), F.array(path))))
     hit = keyed.join(small(roots.select(F.col(root).alias("__key")).distinct()), "__key")
     best = hit.groupBy(path).agg(F.max_by("__key", F.length("__key")).alias(out))
     return paths.join(best, path, "left")
