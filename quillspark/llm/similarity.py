@@ -10,7 +10,7 @@ one row for each of its nodes, with a forest of the links it found.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -28,10 +28,6 @@ from .storage import cut
 BLOCK = 512
 _NO_ID = -(1 << 63)
 
-Sets = Callable[[np.ndarray, np.ndarray], list[list[np.ndarray]]]
-Keys = Callable[[np.ndarray], np.ndarray]
-
-
 def signature(x: np.ndarray) -> int:
     """Of a set of shingles: 63 bits, so below 10^9 different sets less than one false meeting is expected."""
     h = textkit.mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(x))
@@ -39,33 +35,30 @@ def signature(x: np.ndarray) -> int:
 
 
 @dataclass(frozen=True)
-class WholeTexts:
-    """One unit for each text."""
+class Units:
+    """What is compared: whole texts, or their lines, as sets of ``words``-word
+    shingles (all words as one shingle if they are fewer). Units of under
+    ``least`` words are compared with nothing."""
 
     words: int
+    least: int = 1
+    lines: bool = False
 
-    def __call__(self, raw: np.ndarray, edges: np.ndarray) -> list[list[np.ndarray]]:
-        h, _, at = textkit.words_of(raw, edges, textkit.BLANKS)
-        return [[s] for s in textkit.shingle_sets(h, at, self.words)]
-
-
-@dataclass(frozen=True)
-class Paragraphs:
-    """A unit for each line of a text; those of under ``least`` words are empty."""
-
-    words: int
-    least: int
-
-    def __call__(self, raw: np.ndarray, edges: np.ndarray) -> list[list[np.ndarray]]:
+    def split(self, raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word hashes of all texts, each unit's first word and the word after
+        its last, and the n + 1 offsets of each text's units among them."""
         h, starts, at = textkit.words_of(raw, edges, textkit.BLANKS)
-        ends = np.searchsorted(starts, np.flatnonzero(raw == 0x0A))
-        out = []
-        breaks = np.searchsorted(np.flatnonzero(raw == 0x0A), edges)
-        for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-            cuts = np.concatenate([[a], ends[breaks[k] : breaks[k + 1]], [b]])
-            sets = textkit.shingle_sets(h, cuts, self.words)
-            out.append([s if n >= self.least else s[:0] for s, n in zip(sets, np.diff(cuts).tolist())])
-        return out
+        if not self.lines:
+            return h, at[:-1], at[1:], np.arange(len(edges))
+        breaks = np.flatnonzero(raw == 0x0A)
+        # A text's first unit comes before those behind its line breaks.
+        order = np.argsort(np.concatenate([2 * edges[:-1], 2 * breaks + 1]), kind="stable")
+        begin = np.concatenate([at[:-1], np.searchsorted(starts, breaks)])[order]
+        return h, begin, np.append(begin[1:], at[-1]), np.arange(len(edges)) + np.searchsorted(breaks, edges)
+
+    def set_of(self, h: np.ndarray) -> np.ndarray:
+        """Sorted distinct shingles of one unit's words."""
+        return np.unique(textkit.grams(h, min(self.words, len(h)))) if len(h) else h
 
 
 class SizedParts:
@@ -105,7 +98,19 @@ class SizedParts:
             self._parts[c] = parts, np.array([min(x, (1 << 64) - 1) for x in at], np.uint64)
         return self._parts[c]
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
+    def describe(self, units: Units, h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Size, node and keys of each unit."""
+        sizes, nodes, keys = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64), []
+        for k, (a, b) in enumerate(zip(begin.tolist(), end.tolist())):
+            x = units.set_of(h[a:b])
+            sizes[k], nodes[k] = len(x), signature(x)
+            keys.append(self.of(x))
+        return sizes, nodes, keys
+
+    def node_of(self, h: np.ndarray, x: np.ndarray) -> int:
+        return signature(x)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
         c = self._class(len(x))
         out = []
         for k in (c, c + 1):
@@ -137,19 +142,36 @@ class MinHashBands:
         self.a = rng.integers(1, 1 << 63, rows * self.bands, np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 1 << 63, rows * self.bands, np.uint64)
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        least = np.full(len(self.a), np.uint64(0xFFFFFFFFFFFFFFFF))
-        for k in range(0, len(x), 4096):
-            y = x[k : k + 4096, None] * self.a + self.b
-            np.minimum(least, (y ^ (y >> np.uint64(32))).min(0), out=least)
-        band = least.reshape(self.bands, self.rows)
-        h = np.arange(self.bands, dtype=np.uint64)
-        for r in range(self.rows):
-            h = textkit.mix(h * textkit._R + band[:, r])
-        return h.view(np.int64)
+    def describe(self, units: Units, h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Number of words, node (of the sequence of words) and keys of each unit, all units at once."""
+        if not len(begin):
+            return begin, begin, []
+        g = np.append(textkit.grams(h, units.words), np.uint64(0))
+        bounds = np.column_stack([begin, end - units.words + 1]).ravel()
+        out = np.tile(np.arange(self.bands, dtype=np.uint64), (len(begin), 1))
+        for k in range(self.rows * self.bands):
+            y = g * self.a[k] + self.b[k]
+            y ^= y >> np.uint64(32)
+            least = np.minimum.reduceat(y, bounds)[::2]
+            out[:, k // self.rows] = textkit.mix(out[:, k // self.rows] * textkit._R + least)
+        return end - begin, sequences(h, begin, end), list(out.view(np.int64))
+
+    def node_of(self, h: np.ndarray, x: np.ndarray) -> int:
+        return int(sequences(h, np.array([0]), np.array([len(h)]))[0])
+
+
+def sequences(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """63-bit hashes of sequences of words."""
+    up, down = textkit.powers(len(h) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)])
+    mixed = textkit.mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    return (mixed >> np.uint64(1)).astype(np.int64)
+
+
+Keys = SizedParts | MinHashBands
 
 
-def units(docs: DataFrame, sets: Sets, keys: Keys) -> DataFrame:
+def described(docs: DataFrame, units: Units, keys: Keys) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): a row number, its doc_id, a hash of its text, and
     of its units the sizes, nodes and keys. A node's keys stand at one of its
     units in each task."""
@@ -160,18 +182,22 @@ def units(docs: DataFrame, sets: Sets, keys: Keys) -> DataFrame:
 
         number, seen = TaskContext.get().partitionId() << 40, set()
         for batch in textkit.slices(batches, 1):
-            sizes, nodes, found = [], [], []
-            for of_text in sets(*textkit.buffers(batch.column(1))):
-                sizes.append([len(x) for x in of_text])
-                nodes.append([signature(x) if len(x) else None for x in of_text])
-                mine = []
-                for x, node in zip(of_text, nodes[-1]):
-                    mine.append(keys(x) if node is not None and node not in seen else [])
-                    seen.add(node)
-                found.append(mine)
+            h, begin, end, at = units.split(*textkit.buffers(batch.column(1)))
+            some = np.flatnonzero(end - begin >= units.least)
+            sizes, nodes = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.int64)
+            sizes[some], nodes[some], found = keys.describe(units, h, begin[some], end[some])
+            fresh = [not (x in seen or seen.add(x)) for x in nodes[some].tolist()]
+            many = np.zeros(len(begin), np.int64)
+            many[some] = [len(k) if new else 0 for k, new in zip(found, fresh)]
+            flat = np.concatenate([np.zeros(0, np.int64), *[k for k, new in zip(found, fresh) if new]])
+            empty = np.ones(len(begin), bool)
+            empty[some] = False
+            outer = pa.array(at.astype(np.int32))
+            inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(flat))
+            lists = [pa.ListArray.from_arrays(outer, x) for x in (pa.array(sizes), pa.array(nodes, mask=empty), inner)]
             ids = pa.array(range(number, number + batch.num_rows), pa.int64())
             number += batch.num_rows
-            yield pa.RecordBatch.from_arrays([ids, batch.column(0), batch.column(2), pa.array(sizes, pa.list_(pa.int32())), pa.array(nodes, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.list_(pa.int64())))], names=["row", "doc_id", "__hash", "sizes", "nodes", "keys"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column(0), batch.column(2), *lists], names=["row", "doc_id", "__hash", "sizes", "nodes", "keys"])
 
     return cut(df.mapInArrow(made, "row long, doc_id long, __hash long, sizes array<int>, nodes array<long>, keys array<array<long>>"), "units")
 
@@ -298,11 +324,11 @@ def links(nodes: DataFrame, ratio: Fraction) -> DataFrame:
     return df.groupBy("cell").applyInPandas(block, "node long, root long, links long")
 
 
-def near_duplicates(docs: DataFrame, sets: Sets, keys: Keys, ratio: Fraction) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, units: Units, keys: Keys, ratio: Fraction) -> tuple[DataFrame, DataFrame]:
     """The units of ``docs``, and for each node with links or copies: node, component,
     links (number of other units of a similarity of at least ``ratio``), and
     the first unit (doc_id, position) of its component."""
-    table = units(docs, sets, keys)
+    table = described(docs, units, keys)
     each = table.select("doc_id", F.posexplode(F.arrays_zip("sizes", "nodes")).alias("place", "unit"))
     each = each.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "place", F.col("unit.nodes").alias("node")).where("node is not null")
     classes = cut(each.groupBy("node").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("node").alias("copies")), "classes")
@@ -316,11 +342,14 @@ def near_duplicates(docs: DataFrame, sets: Sets, keys: Keys, ratio: Fraction) ->
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.slices(batches, 0):
             rows = []
-            for of_text, want in zip(sets(*textkit.buffers(batch.column(0))), batch.column(1).to_pylist()):
+            h, begin, end, at = units.split(*textkit.buffers(batch.column(0)))
+            for k, want in enumerate(batch.column(1).to_pylist()):
                 for w in want:
-                    x = of_text[w["place"]] if w["place"] < len(of_text) else None
-                    if x is not None and len(x) and signature(x) == w["node"]:  # else another row of this doc_id
-                        rows.append((w["node"], w["component"], w["copies"], len(x), x.tobytes()))
+                    if at[k] + w["place"] < at[k + 1]:
+                        mine = h[begin[at[k] + w["place"]] : end[at[k] + w["place"]]]
+                        x = units.set_of(mine)
+                        if len(mine) >= units.least and keys.node_of(mine, x) == w["node"]:  # else another row of this doc_id
+                            rows.append((w["node"], w["component"], w["copies"], len(x), x.tobytes()))
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["node", "component", "copies", "size", "shingles"])
 
@@ -346,7 +375,7 @@ def jaccard_groups(docs: DataFrame, words: int, ratio: Fraction) -> DataFrame:
     Repeated rows are copies of each other. A null doc_id stays null where it
     is not linked with another.
     """
-    table, groups = near_duplicates(docs, WholeTexts(words), SizedParts(ratio), ratio)
+    table, groups = near_duplicates(docs, Units(words), SizedParts(ratio), ratio)
     rows = table.select("doc_id", F.col("sizes")[0].cast("long").alias("n_shingles"), F.col("nodes")[0].alias("node"))
     df = rows.join(groups, "node", "left")
     # The least id stands for null; a group's component is its least real id only if it has no null one.
@@ -364,7 +393,7 @@ def paragraph_groups(docs: DataFrame, words: int = 5, ratio: Fraction = Fraction
     and place) stays. Null and empty texts have one empty paragraph; of
     repeated rows of one doc_id and text, none is first, so that all keep it.
     """
-    table, groups = near_duplicates(docs, Paragraphs(words, least), MinHashBands(float(ratio)), ratio)
+    table, groups = near_duplicates(docs, Units(words, max(words, least), lines=True), MinHashBands(float(ratio)), ratio)
     each = table.select("row", "doc_id", F.posexplode("nodes").alias("place", "node"))
     hit = each.where("node is not null").join(groups, "node")
     own = F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "place")
@@ -380,7 +409,7 @@ def one_of_each_group(docs: DataFrame, words: int = 5, ratio: Fraction = Fractio
     Columns stay as they are. Texts without words are in no group and stay;
     repeated rows are copies; a null doc_id comes before all others.
     """
-    table, groups = near_duplicates(docs, WholeTexts(words), SizedParts(ratio), ratio)
+    table, groups = near_duplicates(docs, Units(words), SizedParts(ratio), ratio)
     rows = table.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("__id"), "__hash", F.col("nodes")[0].alias("node"))
     grouped = rows.join(groups.select("node", "component"), "node").select("component", F.struct("__id", "__hash").alias("me"))
     stays = grouped.groupBy("component").agg(F.min("me").alias("best"))
