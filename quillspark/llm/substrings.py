@@ -3,41 +3,49 @@
 Two texts that share a string of SPAN bytes agree on everything that follows
 from these bytes alone; so each SPAN-byte window is filed under its least
 k-gram hash, its anchor, and equal windows meet under one anchor wherever they
-stand. First the anchors alone meet, packed, to find those that several
-documents have. Only around these the bytes are compared: in each bucket of
-anchors the suffixes of all distinct stretches are put in order, by doubling
-of ranks, up to SPAN bytes. Suffixes that share SPAN bytes stand together
-there, and the next smaller document among the neighbours of each is its
-earlier match: its longest previous factor has at least SPAN bytes. Later
-copies are removed, the first stays.
+stand. First the anchors alone meet, packed, to find those that several texts
+have, then the anchors with the bytes before or behind them; bitmaps of fixed
+size tell which. (Whole copies are told by their texts' hashes.) Only there
+the bytes are compared: in each bucket of anchors the suffixes of all distinct
+stretches are put in order, by doubling of ranks, up to SPAN bytes. Suffixes
+that share SPAN bytes stand together there, and the next smaller document
+among the neighbours of each is its earlier match: its longest previous factor
+has at least SPAN bytes. Later copies are removed, the first stays.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit
 from .storage import cut
 
 SPAN = 50
 GRAM = 20
+HALF = (SPAN - GRAM) // 2
 #: Windows looked at at once; a power of two.
 PIECE = 1 << 20
 #: Anchors that a task gathers before it deals them to buckets.
 GATHER = 2_000_000
-_LOW48 = np.uint64((1 << 48) - 1)
+#: Size of the bitmaps of shared hashes, which are broadcast. A larger one lets
+#: fewer other stretches through; the result is the same with any.
+FILTER_BITS = 1 << 26
+#: Size of the bitmap of documents that may lose bytes, likewise.
+TOUCHED_BITS = 1 << 23
 
 
-def windows(raw: np.ndarray, edges: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of windows of one anchor: (start of the first window, start of the
-    last, 64-bit hash of the anchor). Windows cross no text's end."""
+def windows(raw: np.ndarray, edges: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of windows of one anchor: start of the first window, start of the
+    last, place of the anchor and its 64-bit hash. Windows cross no text's end."""
     span = SPAN - GRAM + 1
     for a in range(0, len(raw), PIECE):
         part = raw[a : a + PIECE + SPAN - 1]
@@ -65,116 +73,147 @@ def windows(raw: np.ndarray, edges: np.ndarray) -> Iterator[tuple[np.ndarray, np
         last = inside.copy()
         last[:-1] &= ~inside[1:] | (own[1:] != own[:-1])
         f = np.flatnonzero(first)
-        yield f + a, np.flatnonzero(last) + a, h[own[f]]
+        yield f + a, np.flatnonzero(last) + a, own[f] + a, h[own[f]]
 
 
-def _anchors(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
     parts = list(windows(raw, edges))
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*parts))
-
-
-def _dealt(hashes: np.ndarray, docs: np.ndarray, buckets: int, number: int) -> Iterator[tuple[int, int, bytes]]:
-    """What a task has gathered: an anchor that two of its documents have is
-    known to be shared, so its documents go on at once and only the least of
-    them to the bucket; so a bucket gets an anchor once from a task."""
-    order = np.lexsort((docs, hashes))
-    h, d = hashes[order], docs[order]
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (*[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64))
+
+
+@dataclass(frozen=True)
+class Bitmap:
+    """Of hashes: no false zeros. ``bits`` in as many equal stretches as there are buckets."""
+
+    bits: np.ndarray
+    buckets: int
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        width = len(self.bits) // self.buckets * 8
+        bucket, place = _placed(h, self.buckets)
+        at = bucket * width + (place.astype(np.uint64) * np.uint64(width) >> np.uint64(32)).astype(np.int64)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _sides(raw: np.ndarray, edges: np.ndarray, shared: Bitmap) -> tuple[np.ndarray, ...]:
+    """Of the runs of shared anchors: first and last window, place and hash of
+    the anchor, hashes of the anchor with HALF bytes before it and with HALF
+    behind it, and whether a window of the run has these. A window holds one
+    of the two at least, for SPAN is GRAM and twice HALF."""
+    first, last, at, h = _anchors(raw, edges)
+    keep = shared.has(h)
+    first, last, at, h = first[keep], last[keep], at[keep], h[keep]
+    before, behind = first <= at - HALF, last >= at - HALF
+    left, right = np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)
+    for k in range(HALF + GRAM):
+        left[before] = left[before] * textkit.BASE + raw[at[before] - HALF + k]
+        right[behind] = right[behind] * textkit.BASE + raw[at[behind] + k]
+    return first, last, at, h, textkit.mix(left ^ np.uint64(0x6A09E667F3BCC909)), textkit.mix(right ^ np.uint64(0x3C6EF372FE94F82B)), before, behind
+
+
+def _all_anchors(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first, _, _, h = _anchors(raw, edges)
+    return first, h
+
+
+def _dealt(hashes: np.ndarray, texts: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """What a task has gathered, by bucket: 32 bits of each anchor below the
+    bucket's number; once, or twice if several of its texts have it. So an
+    anchor comes at most twice from a task, however frequent it is."""
+    order = np.lexsort((texts, hashes))
+    h, t = hashes[order], texts[order]
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    h, d = h[new], d[new]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    many = np.diff(np.append(first, len(h)))
-    local = np.repeat(many > 1, many)
-    if local.any():
-        yield -1 - number % buckets, 0, np.concatenate([d[local], (h[local] & _LOW48).view(np.int64)]).tobytes()
-    h, d, flag = h[first], d[first], (many > 1)
-    bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    ends = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-    for b in np.flatnonzero(np.diff(ends)).tolist():
-        at = slice(ends[b], ends[b + 1])
-        base, x = int(d[at].min()), h[at] & _LOW48
-        far = d[at] - base
-        narrow = int(far.max()) < 1 << 32
-        head = np.array([len(x), narrow], np.int64).tobytes()
-        yield b, base, head + (x >> np.uint64(16)).astype(np.uint32).tobytes() + (x & np.uint64(0xFFFF)).astype(np.uint16).tobytes() + np.packbits(flag[at]).tobytes() + far.astype(np.uint32 if narrow else np.int64).tobytes()
-
-
-def _opened(base: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, narrow = np.frombuffer(blob, np.int64, 2)
-    at = 16
-    high = np.frombuffer(blob, np.uint32, n, at).astype(np.int64)
-    low = np.frombuffer(blob, np.uint16, n, at + 4 * n)
-    flag = np.unpackbits(np.frombuffer(blob, np.uint8, -(-n // 8), at + 6 * n))[:n].astype(bool)
-    far = np.frombuffer(blob, np.uint32 if narrow else np.int64, n, at + 6 * n + -(-n // 8)).astype(np.int64)
-    return high << 16 | low, far + base, flag
-
-
-def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc, anchor) of all anchors that documents of different ids have."""
+    new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
+    h = h[new]
+    again = np.zeros(len(h), int)
+    again[1:] = h[1:] == h[:-1]
+    again[2:] *= 1 + (h[2:] == h[:-2])
+    bucket, place = _placed(h[again < 2], buckets)
+    ends = np.searchsorted(bucket, np.arange(buckets + 1))
+    for k in np.flatnonzero(np.diff(ends)).tolist():
+        yield k, place[ends[k] : ends[k + 1]].tobytes()
+
+
+def _placed(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each hash, in order of the hashes, and its place in it in 32 bits."""
+    high = (h >> np.uint64(32)) * np.uint64(buckets) + ((h & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32))
+    return (high >> np.uint64(32)).astype(np.int64), (high & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def shared_hashes(docs: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], buckets: int) -> Bitmap:
+    """A bitmap of FILTER_BITS bits in which each hash that different texts
+    have sets the bit of its place in the hash range. ``hashes``: of a batch
+    of texts, places in it and their hashes. The bitmap's size doesn't depend
+    on the data, and each bucket makes its own stretch of it."""
+    width = -(-FILTER_BITS // buckets // 8) * 8
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        waiting, many, number = [], 0, TaskContext.get().partitionId()
+        waiting, many, seen = [], 0, set()
 
         def batch_of() -> pa.RecordBatch:
-            rows = list(_dealt(np.concatenate([h for h, _ in waiting]), np.concatenate([d for _, d in waiting]), buckets, number))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "base", "blob"])
+            rows = list(_dealt(np.concatenate([h for h, _ in waiting]), np.concatenate([t for _, t in waiting]), buckets))
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "places"])
 
         for batch in textkit.slices(batches, 1):
-            raw, edges = textkit.buffers(batch.column(1))
-            first, _, h = _anchors(raw, edges)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            new = [k for k, i in enumerate(ids.tolist()) if not (i in seen or seen.add(i))]
+            raw, edges = textkit.buffers(batch.column(1).take(pa.array(new, pa.int32())))
+            at, h = hashes(raw, edges)
             if len(h):
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                waiting.append((h, ids[np.searchsorted(edges, first, "right") - 1].astype(np.int64)))
+                waiting.append((h, ids[new][np.searchsorted(edges, at, "right") - 1]))
                 many += len(h)
             if many >= GATHER:
                 yield batch_of()
                 waiting, many = [], 0
-                number += 7919
         if waiting:
             yield batch_of()
 
     def met(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["bucket"].iat[0] < 0:
-            both = [np.frombuffer(x, np.int64).reshape(2, -1) for x in pdf["blob"]]
-            return pd.DataFrame({"doc": np.concatenate([x[0] for x in both]), "anchor": np.concatenate([x[1] for x in both])})
-        h, d, flag = (np.concatenate(x) for x in zip(*[_opened(b, x) for b, x in zip(pdf["base"], pdf["blob"])]))
-        order = np.argsort(h, kind="stable")
-        h, d, flag = h[order], d[order], flag[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        some = np.logical_or.reduceat(flag, first) | (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first))
-        keep = np.repeat(some, np.diff(np.append(first, len(h)))) & ~flag
-        return pd.DataFrame({"doc": d[keep], "anchor": h[keep]})
+        x = np.sort(np.concatenate([np.frombuffer(p, np.uint32) for p in pdf["places"]]))
+        at = (x[1:][x[1:] == x[:-1]].astype(np.uint64) * np.uint64(width)) >> np.uint64(32)
+        bits = np.zeros(width, np.uint8)
+        bits[at.astype(np.int64)] = 1
+        return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    return docs.mapInArrow(gathered, "bucket int, base long, blob binary").groupBy("bucket").applyInPandas(met, "doc long, anchor long")
+    out = np.zeros(width // 8 * buckets, np.uint8)
+    found = docs.select(F.xxhash64("text"), "text").mapInArrow(gathered, "bucket int, places binary").groupBy("bucket").applyInPandas(met, "bucket int, bits binary")
+    for r in found.toLocalIterator():
+        out[width // 8 * r["bucket"] : width // 8 * (r["bucket"] + 1)] = np.frombuffer(r["bits"], np.uint8)
+    return Bitmap(out, buckets)
 
 
-def _stretches(texts: DataFrame) -> DataFrame:
-    """Of texts with their shared anchors (doc, text, anchors): the bytes that
-    the windows of each such anchor cover, with a hash of these, and where they start."""
+def _stretches(docs: DataFrame, buckets: int) -> DataFrame:
+    """Of texts (doc, text, version): the bytes that the windows of each
+    shared anchor cover, the anchor's bucket, and where they start. Only
+    windows with shared bytes before or behind the anchor count."""
+    sc = docs.sparkSession.sparkContext
+    anchors = sc.broadcast(shared_hashes(docs, _all_anchors, buckets))
+
+    def sides(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, _, _, _, left, right, before, behind = _sides(raw, edges, anchors.value)
+        return np.concatenate([first[before], first[behind]]), np.concatenate([left[before], right[behind]])
+
+    around = sc.broadcast(shared_hashes(docs, sides, buckets))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.slices(batches, 1):
             raw, edges = textkit.buffers(batch.column(1))
-            first, last, h = _anchors(raw, edges)
-            at = np.searchsorted(first, edges)
-            low = (h & _LOW48).view(np.int64)
-            keep = np.zeros(len(h), bool)
-            for i, wanted in enumerate(batch.column(2)):
-                keep[at[i] : at[i + 1]] = np.isin(low[at[i] : at[i + 1]], np.asarray(wanted.values))
+            first, last, at, h, left, right, before, behind = _sides(raw, edges, anchors.value)
+            before &= around.value.has(left)
+            behind &= around.value.has(right)
+            first = np.where(before, first, np.maximum(first, at - HALF))
+            last = np.where(behind, last, np.minimum(last, at - HALF))
+            keep = (before | behind) & (first <= last)
             first, last, h = first[keep], last[keep], h[keep]
             doc = np.searchsorted(edges, first, "right") - 1
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[doc]
-            data, n = raw.tobytes(), last - first + SPAN
+            n = last - first + SPAN
             ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            body = np.frombuffer(data, np.uint8)[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
+            body = raw[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
             bytes_ = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(body)])
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids, pa.int64()), pa.array(first - edges[doc], pa.int64()), bytes_], names=["anchor", "doc", "start", "bytes"])
+            ids, versions = (batch.column(k).take(pa.array(doc)) for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array((h % np.uint64(buckets)).astype(np.int32)), ids, versions, pa.array(first - edges[doc], pa.int64()), bytes_], names=["bucket", "doc", "version", "start", "bytes"])
 
-    return texts.mapInArrow(cut_out, "anchor long, doc long, start long, bytes binary")
+    return docs.mapInArrow(cut_out, "bucket int, doc long, version int, start long, bytes binary")
 
 
 def _ranks(body: np.ndarray) -> np.ndarray:
@@ -191,8 +230,8 @@ def _ranks(body: np.ndarray) -> np.ndarray:
     return rank
 
 
-def earlier_matches(stretches: list[bytes], least: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """For each stretch its runs of windows (first, last) and the least document that has them.
+def earlier_matches(stretches: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows: the stretch, its first and last window, and the least document that has them.
 
     ``least``: the least document of each stretch. In suffix order equal
     windows are neighbours; the smallest of their documents is what previous
@@ -214,30 +253,50 @@ def earlier_matches(stretches: list[bytes], least: np.ndarray) -> Iterator[tuple
     found[order] = np.repeat(smallest, np.diff(np.append(run, len(order))))
     breaks = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (found[1:] != found[:-1]), [True]]))
     a, b = breaks[:-1], breaks[1:] - 1
-    return zip(of[a], start[a] - begin[of[a]], start[b] - begin[of[b]], found[a])
+    return of[a], start[a] - begin[of[a]], start[b] - begin[of[b]], found[a]
+
+
+def _versioned(docs: DataFrame) -> DataFrame:
+    """doc, text and 31 bits of the text's hash, which tells rows of one doc_id apart."""
+    df = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    return df.withColumn("version", F.pmod(F.xxhash64("text"), F.lit((1 << 31) - 1)).cast("int"))
 
 
 def removed_spans(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """(doc, spans) of the documents that lose bytes; spans: byte ranges, which may overlap."""
-    spark = docs.sparkSession
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null and text is not null")
-    wanted = shared_anchors(df, buckets).groupBy("doc").agg(F.collect_list("anchor").alias("anchors"))
-    found = _stretches(df.join(wanted, "doc").select("doc", "text", "anchors"))
-    found = cut(found.withColumn("stretch", F.xxhash64("anchor", "bytes")), "stretches")
-    distinct = found.groupBy("anchor", "stretch", "bytes").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+    """(doc, version, spans) of the documents that lose bytes; spans: byte ranges, which may overlap."""
+    buckets = buckets or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = _versioned(docs).where("doc is not null and text is not null")
+    found = cut(_stretches(df, buckets), "stretches")
+    distinct = found.groupBy("bucket", "bytes").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
 
     def matched(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(i, a, b, d) for i, a, b, d in earlier_matches(list(pdf["bytes"]), pdf["least"].to_numpy())]
-        out = pd.DataFrame(rows, columns=["i", "a", "b", "earlier"], dtype="int64")
-        i = out["i"].to_numpy()
-        out["stretch"] = pdf["stretch"].to_numpy()[i]
-        return out.loc[out["earlier"].to_numpy() < pdf["most"].to_numpy()[i], ["stretch", "a", "b", "earlier"]]
+        found = earlier_matches(list(pdf["bytes"]), pdf["least"].to_numpy())
+        i, a, b, earlier = (np.asarray(x, np.int64) for x in found)
+        some = earlier < pdf["most"].to_numpy()[i]
+        return pd.DataFrame({"stretch": pdf["stretch"].to_numpy()[i[some]], "a": a[some], "b": b[some], "earlier": earlier[some]})
+
+    runs = distinct.withColumn("stretch", F.xxhash64("bytes")).groupBy("bucket").applyInPandas(matched, "stretch long, a long, b long, earlier long")
+    spans = found.select(F.xxhash64("bytes").alias("stretch"), "doc", "version", "start").join(runs, "stretch").where("earlier < doc")
+    spans = spans.select("doc", "version", F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + SPAN).alias("b")).alias("span"))
+    return spans.groupBy("doc", "version").agg(F.collect_list("span").alias("spans"))
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """(doc, version) of the documents whose whole text is also that of a smaller doc_id."""
+    keys = [F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), F.octet_length("text").alias("n")]
+    rows = _versioned(docs).where(f"doc is not null and octet_length(text) >= {SPAN}").select("doc", "version", *keys)
+    firsts = rows.groupBy("h1", "h2", "n").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    return rows.join(firsts, ["h1", "h2", "n"]).where("doc > first").select("doc", "version").distinct()
 
-    runs = distinct.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInPandas(matched, "stretch long, a long, b long, earlier long")
-    spans = found.select("stretch", "doc", "start").join(runs, "stretch").where("earlier < doc")
-    spans = spans.select("doc", F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + SPAN).alias("b")).alias("span"))
-    return spans.groupBy("doc").agg(F.collect_list("span").alias("spans"))
+
+def _touched(marks: DataFrame) -> np.ndarray:
+    """A bitmap of TOUCHED_BITS bits of the numbers in ``marks``, from 1 on; one row of 4 KB for each 32,768 bits comes to the driver."""
+    number = F.bitmap_bucket_number("mark").alias("number")
+    found = marks.groupBy(number).agg(F.bitmap_construct_agg(F.bitmap_bit_position("mark")).alias("bits"))
+    out = np.zeros(TOUCHED_BITS // 8, np.uint8)
+    for r in found.toLocalIterator():
+        out[(r["number"] - 1) * 4096 : r["number"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -248,8 +307,20 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     bytes lose nothing, nor do documents without an id, which take nothing
     from others either. Rows of one doc_id take nothing from each other.
     """
-    df = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    df = df.join(removed_spans(docs), "doc", "left").select("doc", "text", "spans")
+    lost = removed_spans(docs).join(_copies(docs).withColumn("whole", F.lit(True)), ["doc", "version"], "full")
+    lost = cut(lost, "lost")
+    mark = F.pmod(F.xxhash64("doc", "version"), F.lit(TOUCHED_BITS))
+    touched = docs.sparkSession.sparkContext.broadcast(_touched(lost.select((mark + 1).alias("mark"))))
+
+    @F.pandas_udf(T.BooleanType())
+    def maybe(marks: pd.Series) -> pd.Series:
+        at = marks.to_numpy()
+        return pd.Series((touched.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    # Only texts that may lose bytes are shuffled; the others keep all.
+    df = _versioned(docs).withColumn("maybe", maybe(mark))
+    kept = df.where(~F.col("maybe")).select(F.col("doc").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    df = df.where("maybe").join(lost, ["doc", "version"], "left").select("doc", "text", "spans", F.coalesce("whole", F.lit(False)).alias("whole"))
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.slices(batches, 1):
@@ -263,6 +334,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 ok = b <= edges[owner + 1]
                 np.add.at(step, a[ok], 1)
                 np.add.at(step, b[ok], -1)
+            whole = np.flatnonzero(batch.column(3).to_numpy(zero_copy_only=False))
+            np.add.at(step, edges[whole], 1)
+            np.add.at(step, edges[whole + 1], -1)
             gone = np.cumsum(step[:-1]) > 0
             total = np.concatenate([[0], np.cumsum(gone)])
             begin = gone.copy()
@@ -276,4 +350,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             a, b = edges[:-1], edges[1:]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(b - a), pa.array(total[b] - total[a]), pa.array(runs[b] - runs[a]), pa.array(kept)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return df.mapInArrow(digested, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return kept.union(df.mapInArrow(digested, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
