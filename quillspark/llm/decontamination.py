@@ -95,7 +95,7 @@ def find_hits(index: Index, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int
         if len(start):
             g = np.zeros(len(start), np.uint64)
             for k in range(n):
-                g = g * textkit._R + h[start + k]
+                g = g * textkit.BASE + h[start + k]
             hit, where = _find(keys, textkit.mix(g))
             if len(hit):
                 yield n, start[hit], where

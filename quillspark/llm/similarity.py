@@ -72,10 +72,10 @@ class SizedParts:
     past the first ``MOST``, any similar pair has about 0.37 of all parts
     equal, so that the first ``MOST`` all differ in one of 10^9 pairs. Parts
     of under two shingles are no keys, for they would join all texts with a
-    rare gap; few-part classes make up for that with three ways to part.
+    rare gap; few-part classes make up for that with several ways to part.
     """
 
-    MOST, FEW, WAYS = 48, 16, 3
+    MOST, FEW = 48, 16
 
     def __init__(self, ratio: Fraction) -> None:
         self.ratio = ratio
@@ -115,16 +115,16 @@ class SizedParts:
         out = []
         for k in (c, c + 1):
             parts, bounds = self._bounds(k)
-            for way in range(self.WAYS if 1 < parts < self.FEW else 1):
+            for way in range(1 if parts == 1 or parts >= self.FEW else 8 if parts < 4 else 3):
                 y = x if way == 0 else np.sort(textkit.mix(x + np.uint64(way)))
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(textkit.mix(y ^ np.uint64(0x2545F4914F6CDD1D)), dtype=np.uint64)])
                 at = np.searchsorted(y, bounds)
                 if len(bounds) == parts + 1:
                     at[-1] = len(y)
                 many = np.diff(at)
-                some = np.flatnonzero(many >= (2 if parts > 1 and parts >= self.FEW else 1))
+                some = np.flatnonzero(many >= (2 if parts >= self.FEW else 1))
                 sums = total[at[some + 1]] - total[at[some]]
-                out.append(textkit.mix(sums + textkit.mix(np.uint64((k * 4 + way) << 32) + some.astype(np.uint64))))
+                out.append(textkit.mix(sums + textkit.mix(np.uint64((k * 16 + way) << 32) + some.astype(np.uint64))))
         return np.unique(np.concatenate(out)).view(np.int64)
 
 
@@ -153,7 +153,7 @@ class MinHashBands:
             y = g * self.a[k] + self.b[k]
             y ^= y >> np.uint64(32)
             least = np.minimum.reduceat(y, bounds)[::2]
-            out[:, k // self.rows] = textkit.mix(out[:, k // self.rows] * textkit._R + least)
+            out[:, k // self.rows] = textkit.mix(out[:, k // self.rows] * textkit.BASE + least)
         return end - begin, sequences(h, begin, end), list(out.view(np.int64))
 
     def node_of(self, h: np.ndarray, x: np.ndarray) -> int:
@@ -212,11 +212,11 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes of ``edges`` (a > b): the least node that
     each reaches, by large-star and small-star rounds until nothing changes.
     Every round works on edges alone; a hub costs no more than its edges."""
-    now, before = cut(edges.select("a", "b").distinct(), "edges"), None
+    now, before = cut(edges.select("a", "b"), "edges"), None
     while True:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")

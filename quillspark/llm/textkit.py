@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 SEGMENT = 1 << 20
-_R = np.uint64(0x9E3779B97F4A7C15 | 1)
-_R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
+BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 #: Bytes that belong to words, by tokenisation.
 BLANKS = np.ones(256, bool)
@@ -41,7 +41,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = max(SEGMENT + 1, 1 << (n - 1).bit_length()) if n > 1 else SEGMENT + 1
     if size not in _POWERS:
         _POWERS.clear()
-        _POWERS[size] = _powers(_R, size), _powers(_R_INV, size)
+        _POWERS[size] = _powers(BASE, size), _powers(BASE_INVERSE, size)
     return _POWERS[size]
 
 
@@ -139,7 +139,7 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.zeros(m, np.uint64)
     for k in range(n):
-        out = out * _R + h[k : k + m]
+        out = out * BASE + h[k : k + m]
     return mix(out)
 
 
