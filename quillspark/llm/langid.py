@@ -31,7 +31,7 @@ class Settings:
     held-back rows that rejection may cost. ``least_steps``: of gradient descent,
     so that a small sample is gone through more often."""
 
-    sample: int = 6000
+    sample: int = 2400
     languages: int = 256
     buckets: int = 8192
     orders: tuple[int, ...] = (1, 2, 3, 4)
