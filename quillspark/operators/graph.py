@@ -66,15 +66,16 @@ def reach(edges: DataFrame, start: DataFrame, rounds: int) -> DataFrame:
     return seen
 
 
-def on_cycles(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def on_cycles(edges: DataFrame) -> DataFrame:
     """Nodes that lie on a directed cycle or between two: nodes without an edge
-    in or without one out are taken away, round by round, as long as there are any."""
+    in or without one out are taken away, round by round, as long as there are
+    any. A chain takes half as many rounds as it has edges."""
     now = edges.select("source", "target").distinct()
     n = now.count()
-    for _ in range(rounds):
+    while True:
         now = now.join(now.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
         now = now.join(now.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target")
-        now = now.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else now.persist()
+        now = now.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else now.localCheckpoint()
         left = now.count()
         if left == n:
             break

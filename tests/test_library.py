@@ -138,6 +138,12 @@ def test_graph(spark):
     assert {r.node for r in graph.on_cycles(cycle).collect()} == {1, 2, 3}
 
 
+def test_long_chains_are_no_cycles(spark):
+    chain = spark.range(140).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
+    assert graph.on_cycles(chain).collect() == []
+    assert {r.node for r in graph.on_cycles(chain.where("source < 5").union(spark.createDataFrame([(7, 8), (8, 7)], chain.schema))).collect()} == {7, 8}
+
+
 def test_rules(spark):
     context = rules.Context({
         "files": spark.createDataFrame([("a/x.py", "# head\ntry:\n    pass\nexcept:\n    pass"), ("compat/y.ts", "")], "path string, text string"),
