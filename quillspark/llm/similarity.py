@@ -38,23 +38,38 @@ def signature(x: np.ndarray) -> int:
 class Units:
     """What is compared: whole texts, or their lines, as sets of ``words``-word
     shingles (all words as one shingle if they are fewer). Units of under
-    ``least`` words are compared with nothing."""
+    ``least`` words have no near copies. Neighbouring lines of so few words
+    are a unit more, a run, if they have ``least`` words together; a line
+    without words ends a run."""
 
     words: int
     least: int = 1
     lines: bool = False
 
-    def split(self, raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def split(self, raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word hashes of all texts, each unit's first word and the word after
-        its last, and the n + 1 offsets of each text's units among them."""
+        its last, the n + 1 offsets of each text's units among them, and each
+        unit's first line in its text and number of lines."""
         h, starts, at = textkit.words_of(raw, edges, textkit.BLANKS)
         if not self.lines:
-            return h, at[:-1], at[1:], np.arange(len(edges))
+            return h, at[:-1], at[1:], np.arange(len(edges)), np.zeros(len(at) - 1, np.int64), np.ones(len(at) - 1, np.int64)
         breaks = np.flatnonzero(raw == 0x0A)
         # A text's first unit comes before those behind its line breaks.
         order = np.argsort(np.concatenate([2 * edges[:-1], 2 * breaks + 1]), kind="stable")
         begin = np.concatenate([at[:-1], np.searchsorted(starts, breaks)])[order]
-        return h, begin, np.append(begin[1:], at[-1]), np.arange(len(edges)) + np.searchsorted(breaks, edges)
+        end, lines = np.append(begin[1:], at[-1]), np.arange(len(edges)) + np.searchsorted(breaks, edges)
+        short = (end > begin) & (end - begin < self.least)
+        joined = short[1:] & short[:-1]
+        joined[lines[1:-1] - 1] = False
+        head, tail = np.flatnonzero(short & ~np.append(False, joined)), np.flatnonzero(short & ~np.append(joined, False))
+        enough = end[tail] - begin[head] >= self.least
+        head, tail = head[enough], tail[enough]
+        # A run comes behind its first line.
+        order = np.argsort(np.concatenate([2 * np.arange(len(begin)), 2 * head + 1]), kind="stable")
+        at = lines + np.searchsorted(head, lines)
+        first = np.concatenate([np.arange(len(begin)), head])[order] - np.repeat(lines[:-1], np.diff(at))
+        many = np.concatenate([np.ones(len(begin), np.int64), tail - head + 1])[order]
+        return h, np.append(begin, begin[head])[order], np.append(end, end[tail])[order], at, first, many
 
     def set_of(self, h: np.ndarray) -> np.ndarray:
         """Sorted distinct shingles of one unit's words."""
@@ -174,7 +189,8 @@ Keys = SizedParts | MinHashBands
 def described(docs: DataFrame, units: Units, keys: Keys) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): a row number, its doc_id, a hash of its text, and
     of its units the sizes, nodes and keys. A node's keys stand at one of its
-    units in each task."""
+    units in each task. Lines also have their place and number, and those of
+    under ``units.least`` words, which are no nodes, a hash of their words."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash(F.col("text")).alias("__hash"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +198,7 @@ def described(docs: DataFrame, units: Units, keys: Keys) -> DataFrame:
 
         number, seen = TaskContext.get().partitionId() << 40, set()
         for batch in textkit.slices(batches, 1):
-            h, begin, end, at = units.split(*textkit.buffers(batch.column(1)))
+            h, begin, end, at, first, lines = units.split(*textkit.buffers(batch.column(1)))
             some = np.flatnonzero(end - begin >= units.least)
             sizes, nodes = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.int64)
             sizes[some], nodes[some], found = keys.describe(units, h, begin[some], end[some])
@@ -195,11 +211,15 @@ def described(docs: DataFrame, units: Units, keys: Keys) -> DataFrame:
             outer = pa.array(at.astype(np.int32))
             inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(flat))
             lists = [pa.ListArray.from_arrays(outer, x) for x in (pa.array(sizes), pa.array(nodes, mask=empty), inner)]
+            if units.lines:
+                few = sequences(h, begin, end), (end == begin) | ~empty
+                lists += [pa.ListArray.from_arrays(outer, x) for x in (pa.array(first.astype(np.int32)), pa.array(lines.astype(np.int32)), pa.array(few[0], mask=few[1]))]
             ids = pa.array(range(number, number + batch.num_rows), pa.int64())
             number += batch.num_rows
-            yield pa.RecordBatch.from_arrays([ids, batch.column(0), batch.column(2), *lists], names=["row", "doc_id", "__hash", "sizes", "nodes", "keys"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column(0), batch.column(2), *lists], names=["row", "doc_id", "__hash", "sizes", "nodes", "keys", *(["first", "lines", "short"] if units.lines else [])])
 
-    return cut(df.mapInArrow(made, "row long, doc_id long, __hash long, sizes array<int>, nodes array<long>, keys array<array<long>>"), "units")
+    more = ", first array<int>, lines array<int>, short array<long>" if units.lines else ""
+    return cut(df.mapInArrow(made, "row long, doc_id long, __hash long, sizes array<int>, nodes array<long>, keys array<array<long>>" + more), "units")
 
 
 def stars(keys: DataFrame) -> DataFrame:
@@ -342,7 +362,7 @@ def near_duplicates(docs: DataFrame, units: Units, keys: Keys, ratio: Fraction)
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.slices(batches, 0):
             rows = []
-            h, begin, end, at = units.split(*textkit.buffers(batch.column(0)))
+            h, begin, end, at, _, _ = units.split(*textkit.buffers(batch.column(0)))
             for k, want in enumerate(batch.column(1).to_pylist()):
                 for w in want:
                     if at[k] + w["place"] < at[k + 1]:
@@ -387,18 +407,25 @@ def paragraph_groups(docs: DataFrame, words: int = 5, ratio: Fraction = Fraction
     """Of each document (doc_id, text): n_paragraphs, n_removed, the places of
     the removed paragraphs and the documents that hold the kept copies.
 
-    Paragraphs are lines. Those of at least ``least`` words meet in bands of
-    MinHash values tuned to the similarity ``ratio``; pairs that reach it
-    exactly are linked, and of every component the first paragraph (by doc_id
-    and place) stays. Null and empty texts have one empty paragraph; of
-    repeated rows of one doc_id and text, none is first, so that all keep it.
+    Paragraphs are lines. Those of at least ``least`` words, and runs of
+    shorter ones that have so many together, meet in bands of MinHash values
+    tuned to the similarity ``ratio``; pairs that reach it exactly are linked,
+    and of every component the first paragraph (by doc_id and place) stays.
+    Of what then is left, a line of fewer words goes if a document of lesser
+    doc_id holds the same words as a line; inside one document it stays. Null
+    and empty texts have one empty paragraph; of repeated rows of one doc_id
+    and text, none is first, so that all keep it.
     """
     table, groups = near_duplicates(docs, Units(words, max(words, least), lines=True), MinHashBands(float(ratio)), ratio)
-    each = table.select("row", "doc_id", F.posexplode("nodes").alias("place", "node"))
-    hit = each.where("node is not null").join(groups, "node")
-    own = F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "place")
-    hit = hit.where(own != F.col("group_first")).groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("removed"), F.sort_array(F.collect_set("group_first.doc_id")).alias("kept_in"))
-    df = table.select("row", "doc_id", F.size("nodes").cast("long").alias("n_paragraphs")).join(hit, "row", "left")
+    each = table.select("row", F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.posexplode(F.arrays_zip("nodes", "first", "lines", "short")).alias("place", "unit"))
+    each = each.select("row", "doc_id", "place", F.col("unit.nodes").alias("node"), "unit.first", "unit.lines", "unit.short")
+    hit = each.where("node is not null").join(groups, "node").where(F.struct("doc_id", "place") != F.col("group_first"))
+    hit = cut(hit.select("row", F.explode(F.sequence("first", F.col("first") + F.col("lines") - 1)).alias("line"), F.col("group_first.doc_id").alias("kept")), "removed")
+    short = each.where("short is not null").select("row", "doc_id", F.col("first").alias("line"), "short").join(hit.select("row", "line"), ["row", "line"], "left_anti")
+    first = short.groupBy("short").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("__last")).where("kept < __last").drop("__last")
+    again = short.join(first, "short").where("doc_id > kept").select("row", "line", "kept")
+    hit = hit.union(again).groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("removed"), F.sort_array(F.collect_set("kept")).alias("kept_in"))
+    df = table.select("row", "doc_id", (F.array_max("first") + 1).cast("long").alias("n_paragraphs")).join(hit, "row", "left")
     return df.select("doc_id", "n_paragraphs", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.coalesce("kept_in", F.array().cast("array<long>")).alias("kept_in"))
 
 

@@ -182,6 +182,41 @@ def test_paragraphs(spark):
     assert similarity.tuned_bands(0.8, 3, 0.999) == 10
 
 
+def test_short_paragraphs(spark):
+    rng = random.Random(9)
+    passage = [random_text(rng, 6, 10_000) for _ in range(11)]
+    wrapped, near = "\n".join(passage), "\n".join(["other words here", *passage])
+    long = lambda: random_text(rng, 40, 10_000)
+    rows = [
+        (1, f"{long()}\n{wrapped}\n{long()}"), (2, f"{near}\n\n{long()}"), (3, " ".join(passage)), (4, f"{long()}\nseven words\n{long()}"),
+        (5, f"seven  WORDS\n{long()}\nseven words\n\n\n"), (6, "seven words"), (6, "seven words"), (7, f"other words here\n{long()}"), (None, "no id\nno id"), (8, "no id"), (9, None),
+    ]
+    got = similarity.paragraph_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # What only a removed run holds, "other words here" of 2, doesn't count as kept.
+    assert sorted((r.doc_id, r.n_paragraphs, r.n_removed, r.removed, r.kept_in) for r in got if r.doc_id) == [
+        (1, 13, 0, [], []), (2, 14, 12, list(range(12)), [1]), (3, 1, 1, [0], [1]), (4, 3, 0, [], []), (5, 6, 2, [0, 2], [4]),
+        (6, 1, 1, [0], [4]), (6, 1, 1, [0], [4]), (7, 2, 0, [], []), (8, 1, 1, [0], [-(1 << 63)]), (9, 1, 0, [], []),
+    ]
+
+
+def test_runs_of_lines():
+    rng = random.Random(10)
+    texts = ["\n".join(" ".join("w" * rng.randrange(4) for _ in range(rng.randrange(6))) for _ in range(rng.randrange(12))) for _ in range(200)]
+    raw, edges = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    _, begin, end, at, first, lines = similarity.Units(2, 4, lines=True).split(raw, edges)
+    for k, t in enumerate(texts):
+        n = [len(x.split()) for x in t.split("\n")]
+        want = [(i, 1, x) for i, x in enumerate(n)]
+        for i in range(len(n)):
+            j = i
+            while j < len(n) and 0 < n[j] < 4:
+                j += 1
+            if (i == 0 or not 0 < n[i - 1] < 4) and sum(n[i:j]) >= 4:
+                want.append((i, j - i, sum(n[i:j])))
+        u = slice(at[k], at[k + 1])
+        assert list(zip(first[u].tolist(), lines[u].tolist(), (end - begin)[u].tolist())) == sorted(want, key=lambda x: (x[0], x[1] > 1))
+
+
 def brute_substrings(rows):
     first = {}
     for i, t in sorted(((i, t) for i, t in rows if i is not None and t), key=lambda r: r[0]):
