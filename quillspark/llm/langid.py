@@ -10,7 +10,8 @@ and the rejection threshold is set so that it costs few right answers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,13 +26,16 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample``: labelled rows to fit on, at most about so many, dealt
-    equally to the languages, whatever the input's size. ``languages``: at
+    """``sample``: labelled rows to draw, at most about so many, dealt
+    equally to the languages, whatever the input's size. ``held_back``: part
+    of them that isn't trained on; what is over ``fitted`` rows isn't either,
+    so that ``lost`` is some rows of a full sample. ``languages``: at
     most so many, the most frequent. ``lost``: part of right answers on the
     held-back rows that rejection may cost. ``least_steps``: of gradient descent,
     so that a small sample is gone through more often."""
 
-    sample: int = 2400
+    sample: int = 9600
+    fitted: int = 4800
     languages: int = 256
     buckets: int = 8192
     orders: tuple[int, ...] = (1, 2, 3, 4)
@@ -105,12 +109,23 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 Counts = tuple[np.ndarray, np.ndarray]
 
 
-def train(rows: list[Counts], labels: np.ndarray, languages: list[str], s: Settings) -> Model:
+def packed(buckets: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending buckets, as their distances, and counts, in few bytes for the driver."""
+    return zlib.compress(np.concatenate([np.diff(buckets, prepend=0).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.ravel(), counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.ravel()]).tobytes())
+
+
+def unpacked(data: bytes) -> Counts:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(2, 4, -1)
+    gaps, counts = (np.ascontiguousarray(x.T).view(np.uint32).ravel() for x in planes)
+    return np.cumsum(gaps).astype(np.uint16 if gaps.sum() < 1 << 16 else np.uint32), counts
+
+
+def train(rows: Iterable[Counts], labels: np.ndarray, languages: list[str], s: Settings) -> Model:
     """Fit on subword counts (buckets and counts of each row); ``labels`` are indices of ``languages``."""
     rng = np.random.default_rng(s.seed)
     shares = [(k, (c / max(1, c.sum())).astype(np.float32)) for k, c in rows]
-    order = rng.permutation(len(rows))
-    back = order[: int(len(rows) * s.held_back)]
+    order = rng.permutation(len(shares))
+    back = order[: max(int(len(shares) * s.held_back), len(shares) - s.fitted)]
     fit = order[len(back) :]
     table = rng.normal(0, 0.1, (s.buckets, s.width)).astype(np.float32)
     weights = rng.normal(0, 0.1, (s.width, len(languages))).astype(np.float32)
@@ -177,7 +192,7 @@ def fit(docs: DataFrame, s: Settings = Settings(), text_col: str = "text", lang_
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 c = subword_counts(raw[a:b], s)
                 k = np.flatnonzero(c)
-                found.append(np.concatenate([k.astype(np.uint32), c[k].astype(np.uint32)]).tobytes())
+                found.append(packed(k, c[k]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["h", "lang", "counts"])
 
     got = drawn.mapInArrow(counted, "h long, lang string, counts binary").collect()
@@ -186,8 +201,7 @@ def fit(docs: DataFrame, s: Settings = Settings(), text_col: str = "text", lang_
     if not got:
         return None
     index = {x: i for i, x in enumerate(languages)}
-    rows = [tuple(np.frombuffer(r["counts"], np.uint32).reshape(2, -1)) for r in got]
-    return train(rows, np.array([index[r["lang"]] for r in got]), languages, s)
+    return train((unpacked(r["counts"]) for r in got), np.array([index[r["lang"]] for r in got]), languages, s)
 
 
 def _has_letter(text: str) -> bool:

@@ -427,6 +427,29 @@ def test_language_id(spark, odd_rows):
     assert langid.predict(df.limit(0), model).collect() == []
 
 
+def test_rejection_threshold_is_a_quantile():
+    rng = np.random.default_rng(4)
+    s = langid.Settings(least_steps=1, epochs=1)
+    labels = rng.integers(0, 2, s.sample)
+    # The rows show their language in half of 8 buckets; some show the other one nearly as often.
+    rows = []
+    for y in labels:
+        c = rng.multinomial(40, np.where(np.arange(8) // 4 == y, 0.18, 0.07)).astype(np.uint32)
+        rows.append((np.flatnonzero(c), c[c > 0]))
+    model = langid.train(iter([langid.unpacked(langid.packed(*r)) for r in rows]), labels, ["a", "b"], s)
+    order = np.random.default_rng(s.seed).permutation(len(rows))
+    back = order[: len(rows) - s.fitted]
+    dense = np.zeros((len(back), s.buckets), np.float32)
+    for i, k in enumerate(back):
+        dense[i, rows[k][0]] = rows[k][1]
+    p = model.probabilities(dense)
+    right = int((p.argmax(1) == labels[back]).sum())
+    assert len(back) == s.sample - s.fitted == 4800 and int(right * s.lost) >= 1
+    for got, want in zip(langid.unpacked(langid.packed(*rows[0])), rows[0]):
+        assert np.array_equal(got, want)
+    assert [x.tolist() for x in langid.unpacked(langid.packed(np.array([], np.int64), np.array([], np.int64)))] == [[], []]
+
+
 def test_subwords_in_pieces(monkeypatch):
     raw = np.frombuffer("The quick, brown fox—jümps over it. ".encode() * 40, np.uint8)
     whole = langid.subword_counts(raw, langid.Settings())
