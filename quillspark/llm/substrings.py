@@ -5,12 +5,19 @@ from these bytes alone; so each SPAN-byte window is filed under its least
 k-gram hash, its anchor, and equal windows meet under one anchor wherever they
 stand. First the anchors alone meet, packed, to find those that several texts
 have, then the anchors with the bytes before or behind them; bitmaps of fixed
-size tell which. (Whole copies are told by their texts' hashes.) Only there
-the bytes are compared: in each bucket of anchors the suffixes of all distinct
-stretches are put in order, by doubling of ranks, up to SPAN bytes. Suffixes
-that share SPAN bytes stand together there, and the next smaller document
-among the neighbours of each is its earlier match: its longest previous factor
-has at least SPAN bytes. Later copies are removed, the first stays.
+size tell which. Only there the bytes are compared: the windows of an anchor
+at one place are a stretch, and
+
+* of equal stretches all but those in the document of least id lose all bytes;
+* the distinct stretches of some anchors are a bucket, whose number follows
+  from the rows counted. In it the suffixes are put in order, by doubling of
+  ranks, up to SPAN bytes. The previous and the next smaller document in that
+  order, as far as SPAN bytes are shared, say whether a suffix has an earlier
+  match: whether its longest previous factor has SPAN bytes at least;
+* anchors at very many places (a common line with other bytes around it) go
+  to no bucket: their windows are grouped as rows.
+
+Later copies are removed, the first stays.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +40,7 @@ SPAN = 50
 GRAM = 20
 HALF = (SPAN - GRAM) // 2
 #: Windows looked at at once; a power of two.
-PIECE = 1 << 20
+PIECE = 1 << 16
 #: Anchors that a task gathers before it deals them to buckets.
 GATHER = 2_000_000
 #: Size of the bitmaps of shared hashes, which are broadcast. A larger one lets
@@ -41,6 +48,18 @@ GATHER = 2_000_000
 FILTER_BITS = 1 << 26
 #: Size of the bitmap of documents that may lose bytes, likewise.
 TOUCHED_BITS = 1 << 23
+#: Stretches of a bucket, on average, and those at which an anchor goes to no bucket.
+BUCKET_ROWS, CROWD = 25_000, 2_000
+
+
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each byte on as one number (zeros behind the end)."""
+    padded = np.concatenate([raw, np.zeros(16, np.uint8)])
+    out = np.empty(len(raw), np.uint64)
+    for k in range(8):
+        n = len(out[k::8])
+        out[k::8] = padded[k : k + 8 * n].view(np.uint64)
+    return out
 
 
 def windows(raw: np.ndarray, edges: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -52,11 +71,9 @@ def windows(raw: np.ndarray, edges: np.ndarray) -> Iterator[tuple[np.ndarray, np
         n = len(part) - SPAN + 1
         if n <= 0:
             break
-        up, down = textkit.powers(len(part) + 1)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=total[1:])
         m = len(part) - GRAM + 1
-        h = textkit.mix((total[GRAM:] - total[:m]) * down[:m])
+        x = _eights(part)
+        h = textkit.mix((x[:m] * textkit.BASE + x[8 : 8 + m]) * textkit.BASE + x[GRAM - 8 : GRAM - 8 + m])
         # Order by hash, then place; the place stays readable in the low bits.
         key = (h & ~np.uint64(2 * PIECE - 1)) | np.arange(m, dtype=np.uint64)
         width = 1
@@ -66,12 +83,14 @@ def windows(raw: np.ndarray, edges: np.ndarray) -> Iterator[tuple[np.ndarray, np
         if width < span:
             key = np.minimum(key[: n], key[span - width : span - width + n])
         own = (key[:n] & np.uint64(2 * PIECE - 1)).astype(np.int64)
-        start = np.arange(a, a + n)
-        inside = start + SPAN <= edges[np.searchsorted(edges, start, "right")]
+        some = edges[np.searchsorted(edges, a, "right") : np.searchsorted(edges, a + n, "left") + 1]
+        stop = np.repeat(some, np.diff(np.minimum(some, a + n), prepend=a))
+        inside = np.arange(a + SPAN, a + SPAN + n) <= stop
+        change = own[1:] != own[:-1]
         first = inside.copy()
-        first[1:] &= ~inside[:-1] | (own[1:] != own[:-1])
+        first[1:] &= ~inside[:-1] | change
         last = inside.copy()
-        last[:-1] &= ~inside[1:] | (own[1:] != own[:-1])
+        last[:-1] &= ~inside[1:] | change
         f = np.flatnonzero(first)
         yield f + a, np.flatnonzero(last) + a, own[f] + a, h[own[f]]
 
@@ -95,6 +114,14 @@ class Bitmap:
         return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def _hash_of(raw: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the ``n`` bytes from each of the places on."""
+    out = np.full(len(at), n, np.uint64)
+    for k in [*range(0, n - 8, 8), n - 8]:
+        out = textkit.mix(out * textkit.BASE + np.ascontiguousarray(raw[at[:, None] + np.arange(k, k + 8)]).view(np.uint64).ravel())
+    return out
+
+
 def _sides(raw: np.ndarray, edges: np.ndarray, shared: Bitmap) -> tuple[np.ndarray, ...]:
     """Of the runs of shared anchors: first and last window, place and hash of
     the anchor, hashes of the anchor with HALF bytes before it and with HALF
@@ -105,10 +132,9 @@ def _sides(raw: np.ndarray, edges: np.ndarray, shared: Bitmap) -> tuple[np.ndarr
     first, last, at, h = first[keep], last[keep], at[keep], h[keep]
     before, behind = first <= at - HALF, last >= at - HALF
     left, right = np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)
-    for k in range(HALF + GRAM):
-        left[before] = left[before] * textkit.BASE + raw[at[before] - HALF + k]
-        right[behind] = right[behind] * textkit.BASE + raw[at[behind] + k]
-    return first, last, at, h, textkit.mix(left ^ np.uint64(0x6A09E667F3BCC909)), textkit.mix(right ^ np.uint64(0x3C6EF372FE94F82B)), before, behind
+    left[before] = _hash_of(raw, at[before] - HALF, GRAM + HALF)
+    right[behind] = ~_hash_of(raw, at[behind], GRAM + HALF)
+    return first, last, at, h, left, right, before, behind
 
 
 def _all_anchors(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,20 +174,20 @@ def shared_hashes(docs: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], tu
     width = -(-FILTER_BITS // buckets // 8) * 8
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, many, seen = [], 0, set()
+        waiting, many, texts, seen = [], 0, 0, set()
 
         def batch_of() -> pa.RecordBatch:
             rows = list(_dealt(np.concatenate([h for h, _ in waiting]), np.concatenate([t for _, t in waiting]), buckets))
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "places"])
 
         for batch in textkit.slices(batches, 1):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            new = [k for k, i in enumerate(ids.tolist()) if not (i in seen or seen.add(i))]
+            new = [k for k, i in enumerate(batch.column(0).to_pylist()) if not (i in seen or seen.add(i))]
             raw, edges = textkit.buffers(batch.column(1).take(pa.array(new, pa.int32())))
             at, h = hashes(raw, edges)
             if len(h):
-                waiting.append((h, ids[new][np.searchsorted(edges, at, "right") - 1]))
+                waiting.append((h, texts + np.searchsorted(edges, at, "right") - 1))
                 many += len(h)
+            texts += len(new)
             if many >= GATHER:
                 yield batch_of()
                 waiting, many = [], 0
@@ -176,7 +202,7 @@ def shared_hashes(docs: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], tu
         return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     out = np.zeros(width // 8 * buckets, np.uint8)
-    found = docs.select(F.xxhash64("text"), "text").mapInArrow(gathered, "bucket int, places binary").groupBy("bucket").applyInPandas(met, "bucket int, bits binary")
+    found = docs.select(F.unhex(F.sha2("text", 256)), "text").mapInArrow(gathered, "bucket int, places binary").groupBy("bucket").applyInPandas(met, "bucket int, bits binary")
     for r in found.toLocalIterator():
         out[width // 8 * r["bucket"] : width // 8 * (r["bucket"] + 1)] = np.frombuffer(r["bits"], np.uint8)
     return Bitmap(out, buckets)
@@ -211,82 +237,141 @@ def _stretches(docs: DataFrame, buckets: int) -> DataFrame:
             body = raw[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
             bytes_ = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(body)])
             ids, versions = (batch.column(k).take(pa.array(doc)) for k in (0, 2))
-            yield pa.RecordBatch.from_arrays([pa.array((h % np.uint64(buckets)).astype(np.int32)), ids, versions, pa.array(first - edges[doc], pa.int64()), bytes_], names=["bucket", "doc", "version", "start", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, versions, pa.array(first - edges[doc], pa.int64()), bytes_], names=["anchor", "doc", "version", "start", "bytes"])
 
-    return docs.mapInArrow(cut_out, "bucket int, doc long, version int, start long, bytes binary")
+    return docs.mapInArrow(cut_out, "anchor long, doc long, version long, start long, bytes binary")
 
 
-def _ranks(body: np.ndarray) -> np.ndarray:
-    """Ranks of all suffixes of ``body`` by their first 32 bytes (zeros after the end)."""
-    padded = np.concatenate([body, np.zeros(8, np.uint8)])
-    key = np.zeros(len(body), np.uint64)
-    for k in range(8):
-        key = key << np.uint64(8) | padded[k : k + len(body)].astype(np.uint64)
-    rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+def suffix_order(raw: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at ``start`` by their first SPAN bytes, and
+    in that order the first place of each one's run of suffixes that share these."""
+    rank = np.unique(_eights(raw).byteswap(), return_inverse=True)[1].astype(np.uint64)
     for step in (8, 16):
         after = np.zeros(len(rank), np.uint64)
         after[:-step] = rank[step:] + np.uint64(1)
         rank = np.unique(rank << np.uint64(32) | after, return_inverse=True)[1].astype(np.uint64)
-    return rank
-
+    # Two overlapping parts of 32 bytes give the order by SPAN bytes.
+    key = rank[start] << np.uint64(32) | rank[start + SPAN - 32]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return order, np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+
+
+def previous_smaller(values: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """For each place the nearest place before it, from ``run`` on, with a
+    smaller value; -1 without one. A pointer that leads to no smaller value
+    takes over where that one leads."""
+    at = np.arange(len(values)) - 1
+    at[at < run] = -1
+    left = np.flatnonzero(at >= 0)
+    while len(left):
+        left = left[values[at[left]] >= values[left]]
+        at[left] = at[at[left]]
+        left = left[at[left] >= 0]
+    return at
+
+
+def has_previous_factor(raw: np.ndarray, start: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Whether the longest previous factor of each suffix has SPAN bytes at
+    least: whether the previous or the next smaller document in suffix order
+    stands where SPAN bytes are still shared. ``docs``: of each suffix."""
+    order, run = suffix_order(raw, start)
+    values = docs[order]
+    n = len(order)
+    ends = np.append(np.flatnonzero(run == np.arange(n)), n)
+    last = np.repeat(ends[1:] - 1, np.diff(ends))
+    before = previous_smaller(values, run) >= 0
+    after = previous_smaller(values[::-1], (n - 1 - last)[::-1])[::-1] >= 0
+    out = np.empty(n, bool)
+    out[order] = before | after
+    return out
 
-def earlier_matches(stretches: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows: the stretch, its first and last window, and the least document that has them.
 
-    ``least``: the least document of each stretch. In suffix order equal
-    windows are neighbours; the smallest of their documents is what previous
-    and next smaller values lead to.
-    """
-    size = np.array([len(x) for x in stretches])
-    begin = np.concatenate([[0], np.cumsum(size)])
-    rank = _ranks(np.frombuffer(b"".join(stretches), np.uint8))
-    many = size - SPAN + 1
-    of = np.repeat(np.arange(len(size)), many)
-    start = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + begin[of]
-    # Two overlapping halves of 32 bytes give the order by SPAN bytes.
-    order_key = rank[start] << np.uint64(32) | rank[start + SPAN - 32]
-    order = np.argsort(order_key, kind="stable")
-    ordered = order_key[order]
-    run = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    smallest = np.minimum.reduceat(least[of[order]], run)
-    found = np.empty(len(order), np.int64)
-    found[order] = np.repeat(smallest, np.diff(np.append(run, len(order))))
-    breaks = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (found[1:] != found[:-1]), [True]]))
-    a, b = breaks[:-1], breaks[1:] - 1
-    return of[a], start[a] - begin[of[a]], start[b] - begin[of[b]], found[a]
+def earlier_matches(raw: np.ndarray, ends: np.ndarray, anchors: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that a document before ``least`` has too: the stretch,
+    and its first and last window. ``ends``: n + 1 offsets of the distinct
+    stretches in ``raw``; ``least``: the least document of each."""
+    _, group, many = np.unique(anchors, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(many[group] > 1)  # a stretch alone meets no other
+    if not len(some):
+        return (np.zeros(0, np.int64),) * 3
+    size = np.diff(ends)[some]
+    begin = np.cumsum(size) - size
+    body = raw[np.repeat(ends[some] - begin, size) + np.arange(size.sum())]
+    windows_ = size - SPAN + 1
+    of = np.repeat(np.arange(len(some)), windows_)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(windows_) - windows_, windows_)
+    hit = has_previous_factor(body, begin[of] + place, least[some][of])
+    first, last = hit.copy(), hit.copy()
+    same = of[1:] == of[:-1]
+    first[1:] &= ~(hit[:-1] & same)
+    last[:-1] &= ~(hit[1:] & same)
+    return some[of[first]], place[first], place[last]
 
 
 def _versioned(docs: DataFrame) -> DataFrame:
-    """doc, text and 31 bits of the text's hash, which tells rows of one doc_id apart."""
+    """doc, text and the text's hash, which tells rows of one doc_id apart."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    return df.withColumn("version", F.pmod(F.xxhash64("text"), F.lit((1 << 31) - 1)).cast("int"))
+    return df.withColumn("version", F.xxhash64("text"))
 
 
-def removed_spans(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """(doc, version, spans) of the documents that lose bytes; spans: byte ranges, which may overlap."""
-    buckets = buckets or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = _versioned(docs).where("doc is not null and text is not null")
-    found = cut(_stretches(df, buckets), "stretches")
-    distinct = found.groupBy("bucket", "bytes").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+_RANGES = "array<struct<a: int, b: int>>"
+
+
+def _in_buckets(distinct: DataFrame, buckets: int) -> DataFrame:
+    """(bytes, least, ranges): the windows that the first document of a stretch loses."""
+
+    def matched(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        raw, ends = textkit.buffers(table["bytes"])
+        least, most = (table[c].to_numpy() for c in ("least", "most"))
+        of, a, b = earlier_matches(raw, ends, table["anchor"].to_numpy(), least)
+        many = np.bincount(of, minlength=len(least))
+        offsets = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["a", "b"])
+        out = pa.table({"bytes": table["bytes"], "least": table["least"], "ranges": pa.ListArray.from_arrays(pa.array(offsets), pairs)})
+        return out.filter(pa.array((many > 0) | (least < most)))
 
-    def matched(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = earlier_matches(list(pdf["bytes"]), pdf["least"].to_numpy())
-        i, a, b, earlier = (np.asarray(x, np.int64) for x in found)
-        some = earlier < pdf["most"].to_numpy()[i]
-        return pd.DataFrame({"stretch": pdf["stretch"].to_numpy()[i[some]], "a": a[some], "b": b[some], "earlier": earlier[some]})
+    bucket = F.pmod("anchor", F.lit(buckets)).cast("int")
+    return distinct.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(matched, f"bytes binary, least long, ranges {_RANGES}")
 
-    runs = distinct.withColumn("stretch", F.xxhash64("bytes")).groupBy("bucket").applyInPandas(matched, "stretch long, a long, b long, earlier long")
-    spans = found.select(F.xxhash64("bytes").alias("stretch"), "doc", "version", "start").join(runs, "stretch").where("earlier < doc")
-    spans = spans.select("doc", "version", F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + SPAN).alias("b")).alias("span"))
-    return spans.groupBy("doc", "version").agg(F.collect_list("span").alias("spans"))
+
+def _by_window(distinct: DataFrame) -> DataFrame:
+    """The same of stretches of crowded anchors: each window is a row, and its least document is found by grouping."""
+    each = distinct.select("bytes", "least", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - SPAN)).alias("k")).withColumn("window", F.expr(f"substring(bytes, k + 1, {SPAN})"))
+    first = each.groupBy("window").agg(F.min("least").alias("first"))
+    lost = each.join(first, "window").where("first < least").groupBy("bytes").agg(F.collect_list(F.struct(F.col("k").alias("a"), F.col("k").alias("b"))).alias("ranges"))
+    known = distinct.join(lost, "bytes", "left").where("ranges is not null or least < most")
+    return known.select("bytes", "least", F.coalesce("ranges", F.array().cast(_RANGES)).alias("ranges"))
+
+
+def removed_spans(docs: DataFrame) -> DataFrame:
+    """(doc, version, spans) of the documents that lose bytes; spans: byte ranges, which may overlap."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = _versioned(docs).where("doc is not null and text is not null")
+    found = cut(_stretches(df, 2 * partitions), "stretches")
+    crowded = cut(found.groupBy("anchor").agg(F.count("anchor").alias("many")).where(f"many > {CROWD}").select("anchor"), "crowded")
+    distinct = found.groupBy("anchor", "bytes").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+    buckets = max(partitions, -(-found.count() // BUCKET_ROWS))
+    known = _in_buckets(distinct.join(crowded, "anchor", "left_anti"), buckets).union(_by_window(distinct.join(crowded, "anchor", "left_semi")))
+    # Stretches meet again by 128 bits of two hashes of their bytes.
+    name = lambda c: [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(7), c).alias("h2")]
+    known = known.select(*name("bytes"), "least", "ranges")
+    rows = found.select(*name("bytes"), "doc", "version", "start", F.octet_length("bytes").alias("size"))
+    span: Callable[[Column, Column], Column] = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    start = F.col("start")
+    mine = F.when(F.col("doc") > F.col("least"), F.array(span(start, start + F.col("size")))).otherwise(F.transform("ranges", lambda r: span(start + r["a"], start + r["b"] + SPAN)))
+    spans = rows.join(known, ["h1", "h2"]).select("doc", "version", mine.alias("some")).where("size(some) > 0")
+    return spans.groupBy("doc", "version").agg(F.flatten(F.collect_list("some")).alias("spans"))
 
 
 def _copies(docs: DataFrame) -> DataFrame:
     """(doc, version) of the documents whose whole text is also that of a smaller doc_id."""
-    keys = [F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), F.octet_length("text").alias("n")]
-    rows = _versioned(docs).where(f"doc is not null and octet_length(text) >= {SPAN}").select("doc", "version", *keys)
-    firsts = rows.groupBy("h1", "h2", "n").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    return rows.join(firsts, ["h1", "h2", "n"]).where("doc > first").select("doc", "version").distinct()
+    rows = _versioned(docs).where(f"doc is not null and octet_length(text) >= {SPAN}").select("doc", "version", F.unhex(F.sha2("text", 256)).alias("sha"))
+    firsts = rows.groupBy("sha").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    return rows.join(firsts, "sha").where("doc > first").select("doc", "version").distinct()
 
 
 def _touched(marks: DataFrame) -> np.ndarray:
