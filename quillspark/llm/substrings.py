@@ -9,13 +9,14 @@ size tell which. Only there the bytes are compared: the windows of an anchor
 at one place are a stretch, and
 
 * of equal stretches all but those in the document of least id lose all bytes;
-* the distinct stretches of some anchors are a bucket, whose number follows
-  from the rows counted. In it the suffixes are put in order, by doubling of
-  ranks, up to SPAN bytes. The previous and the next smaller document in that
-  order, as far as SPAN bytes are shared, say whether a suffix has an earlier
-  match: whether its longest previous factor has SPAN bytes at least;
-* anchors at very many places (a common line with other bytes around it) go
-  to no bucket: their windows are grouped as rows.
+* the stretches of some anchors are a bucket, and the number of buckets follows
+  from the rows counted. In each the suffixes of the distinct stretches are put
+  in order, by doubling of ranks, up to SPAN bytes. The previous and the next
+  smaller document in that order, as far as SPAN bytes are shared, say whether
+  a suffix has an earlier match: whether its longest previous factor has SPAN
+  bytes at least;
+* anchors at more than CROWD places (a common line with other bytes around it)
+  go to no bucket: their windows are grouped as rows.
 
 Later copies are removed, the first stays.
 """
@@ -48,8 +49,8 @@ GATHER = 2_000_000
 FILTER_BITS = 1 << 26
 #: Size of the bitmap of documents that may lose bytes, likewise.
 TOUCHED_BITS = 1 << 23
-#: Stretches of a bucket, on average, and those at which an anchor goes to no bucket.
-BUCKET_ROWS, CROWD = 25_000, 2_000
+#: Stretches of a bucket, on average, and the most of an anchor that goes to one.
+BUCKET_ROWS, CROWD = 20_000, 20_000
 
 
 def _eights(raw: np.ndarray) -> np.ndarray:
@@ -317,71 +318,106 @@ def _versioned(docs: DataFrame) -> DataFrame:
     return df.withColumn("version", F.xxhash64("text"))
 
 
-_RANGES = "array<struct<a: int, b: int>>"
-
-
-def _in_buckets(distinct: DataFrame, buckets: int) -> DataFrame:
-    """(bytes, least, ranges): the windows that the first document of a stretch loses."""
+def _in_buckets(found: DataFrame, buckets: int) -> DataFrame:
+    """(doc, version, a, b): byte ranges that stretches lose."""
 
     def matched(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        raw, ends = textkit.buffers(table["bytes"])
-        least, most = (table[c].to_numpy() for c in ("least", "most"))
-        of, a, b = earlier_matches(raw, ends, table["anchor"].to_numpy(), least)
-        many = np.bincount(of, minlength=len(least))
-        offsets = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
-        pairs = pa.StructArray.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["a", "b"])
-        out = pa.table({"bytes": table["bytes"], "least": table["least"], "ranges": pa.ListArray.from_arrays(pa.array(offsets), pairs)})
-        return out.filter(pa.array((many > 0) | (least < most)))
+        docs, starts = table["doc"].to_numpy(), table["start"].to_numpy()
+        coded = table["bytes"].chunk(0).dictionary_encode()
+        code = coded.indices.to_numpy()
+        raw, ends = textkit.buffers(coded.dictionary)
+        least = np.full(len(ends) - 1, docs.max())
+        np.minimum.at(least, code, docs)
+        anchors = np.empty(len(least), np.int64)
+        anchors[code] = table["anchor"].to_numpy()
+        of, a, b = earlier_matches(raw, ends, anchors, least)
+        later = np.flatnonzero(docs > least[code])
+        # What the first documents of the distinct stretches lose, at each of their places.
+        first = np.flatnonzero(docs == least[code])
+        begin = np.searchsorted(of, np.arange(len(least) + 1))
+        many = np.diff(begin)[code[first]]
+        row = np.repeat(first, many)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + begin[code[row]]
+        rows = np.concatenate([later, row])
+        return pa.table({
+            "doc": docs[rows], "version": table["version"].to_numpy()[rows],
+            "a": starts[rows] + np.concatenate([np.zeros(len(later), np.int64), a[k]]),
+            "b": starts[rows] + np.concatenate([np.diff(ends)[code[later]], b[k] + SPAN]),
+        })
 
     bucket = F.pmod("anchor", F.lit(buckets)).cast("int")
-    return distinct.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(matched, f"bytes binary, least long, ranges {_RANGES}")
+    return found.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(matched, "doc long, version long, a long, b long")
 
 
-def _by_window(distinct: DataFrame) -> DataFrame:
-    """The same of stretches of crowded anchors: each window is a row, and its least document is found by grouping."""
-    each = distinct.select("bytes", "least", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - SPAN)).alias("k")).withColumn("window", F.expr(f"substring(bytes, k + 1, {SPAN})"))
+def _by_window(found: DataFrame) -> DataFrame:
+    """The same of crowded anchors: each window of a distinct stretch is a
+    row, and its least document is found by grouping. Stretches meet their
+    windows again by 128 bits of two hashes of their bytes."""
+    name = [F.xxhash64("bytes").alias("h1"), F.xxhash64(F.lit(7), "bytes").alias("h2")]
+    distinct = found.groupBy("bytes").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+    each = distinct.select(*name, "most", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - SPAN)).alias("k"), "bytes", "least").withColumn("window", F.expr(f"substring(bytes, k + 1, {SPAN})"))
     first = each.groupBy("window").agg(F.min("least").alias("first"))
-    lost = each.join(first, "window").where("first < least").groupBy("bytes").agg(F.collect_list(F.struct(F.col("k").alias("a"), F.col("k").alias("b"))).alias("ranges"))
-    known = distinct.join(lost, "bytes", "left").where("ranges is not null or least < most")
-    return known.select("bytes", "least", F.coalesce("ranges", F.array().cast(_RANGES)).alias("ranges"))
+    lost = each.join(first, "window").where("first < most").groupBy("h1", "h2").agg(F.collect_list(F.struct("k", "first")).alias("lost"))
+    rows = found.select(*name, "doc", "version", "start").join(lost, ["h1", "h2"]).select("doc", "version", "start", F.inline("lost"))
+    return rows.where("first < doc").select("doc", "version", (F.col("start") + F.col("k")).alias("a"), (F.col("start") + F.col("k") + SPAN).alias("b"))
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """(doc, version, spans) of the documents that lose bytes; spans: byte ranges, which may overlap."""
+    """(doc, version, spans) of the documents (doc, version, text) that lose bytes; spans: byte ranges, which don't touch."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = _versioned(docs).where("doc is not null and text is not null")
-    found = cut(_stretches(df, 2 * partitions), "stretches")
+    found = cut(_stretches(docs, 2 * partitions), "stretches")
     crowded = cut(found.groupBy("anchor").agg(F.count("anchor").alias("many")).where(f"many > {CROWD}").select("anchor"), "crowded")
-    distinct = found.groupBy("anchor", "bytes").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
     buckets = max(partitions, -(-found.count() // BUCKET_ROWS))
-    known = _in_buckets(distinct.join(crowded, "anchor", "left_anti"), buckets).union(_by_window(distinct.join(crowded, "anchor", "left_semi")))
-    # Stretches meet again by 128 bits of two hashes of their bytes.
-    name = lambda c: [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(7), c).alias("h2")]
-    known = known.select(*name("bytes"), "least", "ranges")
-    rows = found.select(*name("bytes"), "doc", "version", "start", F.octet_length("bytes").alias("size"))
-    span: Callable[[Column, Column], Column] = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
-    start = F.col("start")
-    mine = F.when(F.col("doc") > F.col("least"), F.array(span(start, start + F.col("size")))).otherwise(F.transform("ranges", lambda r: span(start + r["a"], start + r["b"] + SPAN)))
-    spans = rows.join(known, ["h1", "h2"]).select("doc", "version", mine.alias("some")).where("size(some) > 0")
-    return spans.groupBy("doc", "version").agg(F.flatten(F.collect_list("some")).alias("spans"))
+    spans = _in_buckets(found.join(crowded, "anchor", "left_anti"), buckets)
+    if not crowded.isEmpty():
+        spans = spans.union(_by_window(found.join(crowded, "anchor", "left_semi")))
+    spans = spans.groupBy("doc", "version").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(k).flatten().to_numpy() for k in (2, 3))
+            of = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy())
+            order = np.lexsort((a, of))
+            a, b, of = a[order], b[order], of[order]
+            # The furthest end so far in the document: ends of later documents are higher by their number.
+            step = int(b.max(initial=0)) + 1
+            furthest = np.maximum.accumulate(b + of * step) - of * step
+            new = np.ones(len(a), bool)
+            new[1:] = (of[1:] != of[:-1]) | (a[1:] > furthest[:-1])
+            last = np.append(np.flatnonzero(new)[1:], len(a))[: new.sum()] - 1
+            pairs = pa.StructArray.from_arrays([pa.array(a[new]), pa.array(furthest[last])], ["a", "b"])
+            offsets = np.searchsorted(of[new], np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pairs)], names=["doc", "version", "spans"])
+
+    return spans.mapInArrow(merged, "doc long, version long, spans array<struct<a: long, b: long>>")
 
 
 def _copies(docs: DataFrame) -> DataFrame:
-    """(doc, version) of the documents whose whole text is also that of a smaller doc_id."""
-    rows = _versioned(docs).where(f"doc is not null and octet_length(text) >= {SPAN}").select("doc", "version", F.unhex(F.sha2("text", 256)).alias("sha"))
+    """(doc, version, size) of the rows whose whole text is also that of a smaller doc_id."""
+    rows = _versioned(docs).where(f"doc is not null and octet_length(text) >= {SPAN}").select("doc", "version", F.octet_length("text").alias("size"), F.unhex(F.sha2("text", 256)).alias("sha"))
     firsts = rows.groupBy("sha").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    return rows.join(firsts, "sha").where("doc > first").select("doc", "version").distinct()
+    return rows.join(firsts, "sha").where("doc > first").select("doc", "version", "size")
 
 
-def _touched(marks: DataFrame) -> np.ndarray:
-    """A bitmap of TOUCHED_BITS bits of the numbers in ``marks``, from 1 on; one row of 4 KB for each 32,768 bits comes to the driver."""
-    number = F.bitmap_bucket_number("mark").alias("number")
-    found = marks.groupBy(number).agg(F.bitmap_construct_agg(F.bitmap_bit_position("mark")).alias("bits"))
-    out = np.zeros(TOUCHED_BITS // 8, np.uint8)
-    for r in found.toLocalIterator():
-        out[(r["number"] - 1) * 4096 : r["number"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return out
+def _among(rows: DataFrame) -> Column:
+    """Whether a document is in ``rows`` (doc, version), by a bitmap of
+    TOUCHED_BITS bits: true of all that are, and of few others. One row of 4 KB
+    for each 32,768 bits comes to the driver."""
+    mark = F.pmod(F.xxhash64("doc", "version"), F.lit(TOUCHED_BITS))
+    bits = np.zeros(TOUCHED_BITS // 8, np.uint8)
+    # Spark's bitmap functions count from 1 on.
+    marks = rows.select((mark + 1).alias("mark"))
+    for r in marks.groupBy(F.bitmap_bucket_number("mark").alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("mark")).alias("bits")).toLocalIterator():
+        bits[(r["number"] - 1) * 4096 : r["number"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    known = rows.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf(T.BooleanType())
+    def found(marks: pd.Series) -> pd.Series:
+        at = marks.to_numpy()
+        return pd.Series((known.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return found(mark)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -392,20 +428,17 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     bytes lose nothing, nor do documents without an id, which take nothing
     from others either. Rows of one doc_id take nothing from each other.
     """
-    lost = removed_spans(docs).join(_copies(docs).withColumn("whole", F.lit(True)), ["doc", "version"], "full")
-    lost = cut(lost, "lost")
-    mark = F.pmod(F.xxhash64("doc", "version"), F.lit(TOUCHED_BITS))
-    touched = docs.sparkSession.sparkContext.broadcast(_touched(lost.select((mark + 1).alias("mark"))))
-
-    @F.pandas_udf(T.BooleanType())
-    def maybe(marks: pd.Series) -> pd.Series:
-        at = marks.to_numpy()
-        return pd.Series((touched.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
-
+    copies = cut(_copies(docs), "copies")
+    df = _versioned(docs).withColumn("maybe", _among(copies))
+    doubtful = cut(df.where("maybe").join(copies, ["doc", "version"], "left_anti").select("doc", "text", "version"), "doubtful")
+    df = df.where("not maybe").drop("maybe").union(doubtful)
+    lost = cut(removed_spans(df.where("doc is not null and text is not null")), "lost")
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    whole = copies.select(F.col("doc").alias("doc_id"), number("size").alias("n_bytes"), number("size").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"))
     # Only texts that may lose bytes are shuffled; the others keep all.
-    df = _versioned(docs).withColumn("maybe", maybe(mark))
-    kept = df.where(~F.col("maybe")).select(F.col("doc").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
-    df = df.where("maybe").join(lost, ["doc", "version"], "left").select("doc", "text", "spans", F.coalesce("whole", F.lit(False)).alias("whole"))
+    df = df.withColumn("maybe", _among(lost))
+    kept = df.where("not maybe").select(F.col("doc").alias("doc_id"), number(F.octet_length("text")).alias("n_bytes"), number(F.lit(0)).alias("n_removed"), number(F.lit(0)).alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    df = df.where("maybe").join(lost, ["doc", "version"], "left").select("doc", "text", "spans")
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.slices(batches, 1):
@@ -416,12 +449,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             if len(flat):
                 owner = np.repeat(np.arange(len(spans)), spans.value_lengths().fill_null(0).to_numpy())
                 a, b = (flat.field(k).to_numpy() + edges[owner] for k in (0, 1))
-                ok = b <= edges[owner + 1]
-                np.add.at(step, a[ok], 1)
-                np.add.at(step, b[ok], -1)
-            whole = np.flatnonzero(batch.column(3).to_numpy(zero_copy_only=False))
-            np.add.at(step, edges[whole], 1)
-            np.add.at(step, edges[whole + 1], -1)
+                np.add.at(step, a, 1)
+                np.add.at(step, b, -1)
             gone = np.cumsum(step[:-1]) > 0
             total = np.concatenate([[0], np.cumsum(gone)])
             begin = gone.copy()
@@ -435,4 +464,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             a, b = edges[:-1], edges[1:]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(b - a), pa.array(total[b] - total[a]), pa.array(runs[b] - runs[a]), pa.array(kept)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return kept.union(df.mapInArrow(digested, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    return whole.union(kept).union(df.mapInArrow(digested, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
