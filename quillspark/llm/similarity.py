@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .storage import cut
+from .substrings import without_spans
 
 #: Most nodes of one side of a block.
 BLOCK = 512
@@ -46,13 +47,18 @@ class Units:
     least: int = 1
     lines: bool = False
 
-    def split(self, raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word hashes of all texts, each unit's first word and the word after
+    def split(self, raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What ``split_words`` returns, without the starts of words."""
+        h, _, *rest = self.split_words(raw, edges)
+        return h, *rest
+
+    def split_words(self, raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Word hashes of all texts and where each starts, each unit's first word and the word after
         its last, the n + 1 offsets of each text's units among them, and each
         unit's first line in its text and number of lines."""
         h, starts, at = textkit.words_of(raw, edges, textkit.BLANKS)
         if not self.lines:
-            return h, at[:-1], at[1:], np.arange(len(edges)), np.zeros(len(at) - 1, np.int64), np.ones(len(at) - 1, np.int64)
+            return h, starts, at[:-1], at[1:], np.arange(len(edges)), np.zeros(len(at) - 1, np.int64), np.ones(len(at) - 1, np.int64)
         breaks = np.flatnonzero(raw == 0x0A)
         # A text's first unit comes before those behind its line breaks.
         order = np.argsort(np.concatenate([2 * edges[:-1], 2 * breaks + 1]), kind="stable")
@@ -69,7 +75,7 @@ class Units:
         at = lines + np.searchsorted(head, lines)
         first = np.concatenate([np.arange(len(begin)), head])[order] - np.repeat(lines[:-1], np.diff(at))
         many = np.concatenate([np.ones(len(begin), np.int64), tail - head + 1])[order]
-        return h, np.append(begin, begin[head])[order], np.append(end, end[tail])[order], at, first, many
+        return h, starts, np.append(begin, begin[head])[order], np.append(end, end[tail])[order], at, first, many
 
     def set_of(self, h: np.ndarray) -> np.ndarray:
         """Sorted distinct shingles of one unit's words."""
@@ -83,14 +89,14 @@ class SizedParts:
     neighbours; a set has keys for its own class and the next. The size bound
     of a class limits in how many shingles two similar sets of it differ, to
     d; so of d + 1 parts of the hash range one at least is equal in both. Each
-    part's content is a key. Long sets would have very many parts: of those
-    past the first ``MOST``, any similar pair has about 0.37 of all parts
-    equal, so that the first ``MOST`` all differ in one of 10^9 pairs. Parts
-    of under two shingles are no keys, for they would join all texts with a
-    rare gap; few-part classes make up for that with several ways to part.
+    part's content is a key; all are used, however long the set, so the number
+    of keys is at most 2 (1 - ratio) / (1 + ratio) times that of shingles in
+    each way to part. Parts of under two shingles are no keys, for they would
+    join all texts with a rare gap; sets of few parts make up for that with
+    several ways to part.
     """
 
-    MOST, FEW = 48, 16
+    FEW, SOME = 16, 48
 
     def __init__(self, ratio: Fraction) -> None:
         self.ratio = ratio
@@ -109,8 +115,8 @@ class SizedParts:
                 self.starts.append(int(self.starts[-1] / self.ratio) + 1)
             largest = self.starts[c + 1] - 1
             parts = int(2 * largest * (1 - self.ratio) / (1 + self.ratio)) + 1
-            at = [-(-(i << 64) // parts) for i in range(min(parts, self.MOST) + 1)]
-            self._parts[c] = parts, np.array([min(x, (1 << 64) - 1) for x in at], np.uint64)
+            at = [-(-(i << 64) // parts) for i in range(parts)]
+            self._parts[c] = parts, np.array([*at, (1 << 64) - 1], np.uint64)
         return self._parts[c]
 
     def describe(self, units: Units, h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -130,12 +136,11 @@ class SizedParts:
         out = []
         for k in (c, c + 1):
             parts, bounds = self._bounds(k)
-            for way in range(1 if parts == 1 or parts >= self.FEW else 8 if parts < 4 else 3):
+            for way in range(1 if parts == 1 or parts >= self.SOME else 2 if parts >= self.FEW else 8 if parts < 4 else 3):
                 y = x if way == 0 else np.sort(textkit.mix(x + np.uint64(way)))
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(textkit.mix(y ^ np.uint64(0x2545F4914F6CDD1D)), dtype=np.uint64)])
                 at = np.searchsorted(y, bounds)
-                if len(bounds) == parts + 1:
-                    at[-1] = len(y)
+                at[-1] = len(y)
                 many = np.diff(at)
                 some = np.flatnonzero(many >= (2 if parts >= self.FEW else 1))
                 sums = total[at[some + 1]] - total[at[some]]
@@ -187,18 +192,18 @@ Keys = SizedParts | MinHashBands
 
 
 def described(docs: DataFrame, units: Units, keys: Keys) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): a row number, its doc_id, a hash of its text, and
-    of its units the sizes, nodes and keys. A node's keys stand at one of its
-    units in each task. Lines also have their place and number, and those of
-    under ``units.least`` words, which are no nodes, a hash of their words."""
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash(F.col("text")).alias("__hash"))
+    """For each row of ``docs`` (doc_id, text): its doc_id, a hash of its text,
+    and of its units the sizes, nodes and keys. A node's keys stand at one of
+    its units in each task. Lines also have their place, number and bytes, and
+    those of under ``units.least`` words, which are no nodes, a hash of their
+    words; then follow the passages of the long lines with theirs."""
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash(F.col("text")).alias("hash"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number, seen = TaskContext.get().partitionId() << 40, set()
+        seen = set()
         for batch in textkit.slices(batches, 1):
-            h, begin, end, at, first, lines = units.split(*textkit.buffers(batch.column(1)))
+            raw, edges = textkit.buffers(batch.column(1))
+            h, starts, begin, end, at, first, lines = units.split_words(raw, edges)
             some = np.flatnonzero(end - begin >= units.least)
             sizes, nodes = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.int64)
             sizes[some], nodes[some], found = keys.describe(units, h, begin[some], end[some])
@@ -213,13 +218,67 @@ def described(docs: DataFrame, units: Units, keys: Keys) -> DataFrame:
             lists = [pa.ListArray.from_arrays(outer, x) for x in (pa.array(sizes), pa.array(nodes, mask=empty), inner)]
             if units.lines:
                 few = sequences(h, begin, end), (end == begin) | ~empty
-                lists += [pa.ListArray.from_arrays(outer, x) for x in (pa.array(first.astype(np.int32)), pa.array(lines.astype(np.int32)), pa.array(few[0], mask=few[1]))]
-            ids = pa.array(range(number, number + batch.num_rows), pa.int64())
-            number += batch.num_rows
-            yield pa.RecordBatch.from_arrays([ids, batch.column(0), batch.column(2), *lists], names=["row", "doc_id", "__hash", "sizes", "nodes", "keys", *(["first", "lines", "short"] if units.lines else [])])
-
-    more = ", first array<int>, lines array<int>, short array<long>" if units.lines else ""
-    return cut(df.mapInArrow(made, "row long, doc_id long, __hash long, sizes array<int>, nodes array<long>, keys array<array<long>>" + more), "units")
+                line_at, text_line = line_starts(raw, edges)
+                text = np.repeat(np.arange(batch.num_rows), np.diff(at))
+                a, b = (line_at[text_line[text] + x] - edges[text] for x in (first, first + lines))
+                lists += [pa.ListArray.from_arrays(outer, x) for x in (pa.array(first.astype(np.int32)), pa.array(lines.astype(np.int32)), pa.array(a), pa.array(b), pa.array(few[0], mask=few[1]))]
+                line = np.flatnonzero(lines == 1)  # runs are no lines
+                of, x, y = passages(h, begin[line], end[line])
+                of = line[of]
+                to = np.where(y < end[of], starts[np.minimum(y, len(starts) - 1)], line_at[text_line[text[of]] + first[of] + 1])
+                outer = pa.array(np.searchsorted(text[of], np.arange(batch.num_rows + 1)).astype(np.int32))
+                lists += [pa.ListArray.from_arrays(outer, pa.array(v)) for v in (first[of].astype(np.int32), starts[x] - edges[text[of]], to - edges[text[of]], sequences(h, x, y))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=names)
+
+    fields = "doc_id long, hash long, sizes array<int>, nodes array<long>, keys array<array<long>>"
+    if units.lines:
+        fields += ", first array<int>, lines array<int>, a array<long>, b array<long>, short array<long>, p_line array<int>, p_a array<long>, p_b array<long>, p_words array<long>"
+    names = [x.split()[0] for x in fields.split(", ")]
+    return cut(df.mapInArrow(made, fields), "units")
+
+
+def line_starts(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of all lines of all texts and of the end, and each text's first line among them."""
+    breaks = np.flatnonzero(raw == 0x0A)
+    order = np.argsort(np.concatenate([2 * edges[:-1], 2 * breaks + 1]), kind="stable")
+    at = np.append(np.concatenate([edges[:-1], breaks + 1])[order], edges[-1])
+    return at, np.arange(len(edges)) + np.searchsorted(breaks, edges)
+
+
+#: Words of a passage that is found inside longer lines wherever it stands in
+#: them, and of the sub-paragraphs that find it.
+PASSAGE, PART = 50, 25
+
+
+def passages(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sub-paragraphs of PART words of the lines of over PASSAGE words: the
+    line, the first word and the word after the last. Their places follow from
+    the words: around the least three-word gram of each PASSAGE - PART + 1 in a row,
+    so two lines with PASSAGE words in common have one in common."""
+    none = (np.zeros(0, np.int64),) * 3
+    many, gram = PASSAGE - PART + 1, 3
+    long = np.flatnonzero(end - begin > PASSAGE)
+    if not len(long):
+        return none
+    g = textkit.grams(h, gram)
+    bits = np.uint64((1 << len(g).bit_length()) - 1)
+    key = (g & ~bits) | np.arange(len(g), dtype=np.uint64)
+    width = 1
+    while 2 * width <= many:
+        key = np.minimum(key[:-width], key[width:])
+        width *= 2
+    n = len(g) - many + 1
+    if width < many:
+        key = np.minimum(key[:n], key[many - width : many - width + n])
+    starts = end[long] - begin[long] - (many + gram - 1) + 1
+    at = np.repeat(begin[long] - np.cumsum(starts) + starts, starts) + np.arange(starts.sum())
+    of = np.repeat(long, starts)
+    x = (key[at] & bits).astype(np.int64) - (PART - gram) // 2
+    good = (x >= begin[of]) & (x + PART <= end[of])
+    x, of = x[good], of[good]
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return of[new], x[new], x[new] + PART
 
 
 def stars(keys: DataFrame) -> DataFrame:
@@ -231,13 +290,14 @@ def stars(keys: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes of ``edges`` (a > b): the least node that
     each reaches, by large-star and small-star rounds until nothing changes.
-    Every round works on edges alone; a hub costs no more than its edges."""
+    Every round works on edges alone. Least neighbours are written before they
+    are joined, so that adaptive execution can split the edges of a hub."""
     now, before = cut(edges.select("a", "b"), "edges"), None
     while True:
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = cut(both.where("b > a").join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")), "large")
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         state = now.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -313,12 +373,12 @@ def links(nodes: DataFrame, ratio: Fraction) -> DataFrame:
     inside a band; each pair of such blocks that can hold links is a block.
     """
     nodes = nodes.withColumn("band", F.floor(F.log("size") / -np.log(float(ratio)) + 1e-9).cast("int"))
-    sizes = cut(nodes.select("component", "band").groupBy("component", "band").agg(F.count("band").alias("many")), "block-sizes")
+    sizes = nodes.select("component", "band").groupBy("component", "band").agg(F.count("band").alias("many"))
     total = F.sum("many").over(W.partitionBy("component"))
     per = W.partitionBy("component").orderBy("band")
     near = lambda f, d: F.when(f("band").over(per) == F.col("band") + d, f("parts").over(per)).otherwise(0)
     sizes = sizes.withColumn("total", total).withColumn("parts", F.ceil(F.col("many") / BLOCK).cast("int"))
-    sizes = sizes.withColumn("after", near(F.lead, 1)).withColumn("before", near(F.lag, -1))
+    sizes = cut(sizes.withColumn("after", near(F.lead, 1)).withColumn("before", near(F.lag, -1)), "block-sizes")
     small = sizes.where(F.col("total") <= BLOCK).agg(F.sum("many")).first()[0] or 0
     packs = max(1, -(-int(small) // BLOCK))
     df = nodes.join(sizes.select("component", "band", "total", "parts", "before", "after"), ["component", "band"])
@@ -349,15 +409,15 @@ def near_duplicates(docs: DataFrame, units: Units, keys: Keys, ratio: Fraction)
     links (number of other units of a similarity of at least ``ratio``), and
     the first unit (doc_id, position) of its component."""
     table = described(docs, units, keys)
-    each = table.select("doc_id", F.posexplode(F.arrays_zip("sizes", "nodes")).alias("place", "unit"))
-    each = each.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "place", F.col("unit.nodes").alias("node")).where("node is not null")
-    classes = cut(each.groupBy("node").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("node").alias("copies")), "classes")
+    each = table.select("doc_id", "hash", F.posexplode(F.arrays_zip("sizes", "nodes")).alias("place", "unit"))
+    each = each.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "place", "hash", F.col("unit.nodes").alias("node")).where("node is not null")
+    classes = cut(each.groupBy("node").agg(F.min(F.struct("doc_id", "place", "hash")).alias("first"), F.count("node").alias("copies")), "classes")
     pairs = table.select(F.explode(F.arrays_zip("nodes", "keys")).alias("unit")).select(F.col("unit.nodes").alias("node"), F.explode("unit.keys").alias("key"))
     candidates = components(stars(pairs))
-    wanted = candidates.join(classes, "node").select(F.col("first.doc_id").alias("__id"), F.struct(F.col("first.place").alias("place"), "node", "component", "copies").alias("w"))
-    wanted = wanted.groupBy("__id").agg(F.collect_list("w").alias("wanted"))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("__id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(wanted, "__id").select("text", "wanted")
+    wanted = candidates.join(classes, "node").select(F.col("first.doc_id").alias("__id"), F.col("first.hash").alias("__hash"), F.struct(F.col("first.place").alias("place"), "node", "component", "copies").alias("w"))
+    wanted = wanted.groupBy("__id", "__hash").agg(F.collect_list("w").alias("wanted"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("__id"), text_hash(F.col("text")).alias("__hash"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(wanted, ["__id", "__hash"]).select("text", "wanted")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.slices(batches, 0):
@@ -380,7 +440,8 @@ def near_duplicates(docs: DataFrame, units: Units, keys: Keys, ratio: Fraction)
     known = classes.join(joined, "node", "left").join(counts, "node", "left")
     known = known.select("node", "first", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     known = known.where("links > 0")
-    first = known.groupBy("component").agg(F.min("first").alias("group_first"))
+    known = cut(known, "known")
+    first = cut(known.groupBy("component").agg(F.min("first").alias("group_first")), "firsts")
     return table, cut(known.join(first, "component").select("node", "component", "links", "group_first"), "groups")
 
 
@@ -404,29 +465,48 @@ def jaccard_groups(docs: DataFrame, words: int, ratio: Fraction) -> DataFrame:
 
 
 def paragraph_groups(docs: DataFrame, words: int = 5, ratio: Fraction = Fraction(4, 5), least: int = 10) -> DataFrame:
-    """Of each document (doc_id, text): n_paragraphs, n_removed, the places of
-    the removed paragraphs and the documents that hold the kept copies.
+    """Of each document (doc_id, text): how many lines lose something
+    (n_removed), the bytes removed, a hash of what is kept, the places of the
+    lines removed and of those cut, the documents that hold the kept copies,
+    and the number of lines (n_paragraphs).
 
     Paragraphs are lines. Those of at least ``least`` words, and runs of
     shorter ones that have so many together, meet in bands of MinHash values
     tuned to the similarity ``ratio``; pairs that reach it exactly are linked,
     and of every component the first paragraph (by doc_id and place) stays.
     Of what then is left, a line of fewer words goes if a document of lesser
-    doc_id holds the same words as a line; inside one document it stays. Null
-    and empty texts have one empty paragraph; of repeated rows of one doc_id
-    and text, none is first, so that all keep it.
+    doc_id holds the same words as a line, and so does, out of a line of over
+    PASSAGE words, each sub-paragraph (see ``passages``) that a document of
+    lesser doc_id holds in such a line; inside one document both stay. So of
+    PASSAGE words that two documents share some go in any case, but up to
+    PASSAGE - PART at either end may stay. Null and empty texts have one empty
+    paragraph; of repeated rows of one doc_id and text, none is first, so that
+    all keep it. A line goes with its line break.
     """
     table, groups = near_duplicates(docs, Units(words, max(words, least), lines=True), MinHashBands(float(ratio)), ratio)
-    each = table.select("row", F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.posexplode(F.arrays_zip("nodes", "first", "lines", "short")).alias("place", "unit"))
-    each = each.select("row", "doc_id", "place", F.col("unit.nodes").alias("node"), "unit.first", "unit.lines", "unit.short")
-    hit = each.where("node is not null").join(groups, "node").where(F.struct("doc_id", "place") != F.col("group_first"))
-    hit = cut(hit.select("row", F.explode(F.sequence("first", F.col("first") + F.col("lines") - 1)).alias("line"), F.col("group_first.doc_id").alias("kept")), "removed")
-    short = each.where("short is not null").select("row", "doc_id", F.col("first").alias("line"), "short").join(hit.select("row", "line"), ["row", "line"], "left_anti")
-    first = short.groupBy("short").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("__last")).where("kept < __last").drop("__last")
-    again = short.join(first, "short").where("doc_id > kept").select("row", "line", "kept")
-    hit = hit.union(again).groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("removed"), F.sort_array(F.collect_set("kept")).alias("kept_in"))
-    df = table.select("row", "doc_id", (F.array_max("first") + 1).cast("long").alias("n_paragraphs")).join(hit, "row", "left")
-    return df.select("doc_id", "n_paragraphs", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.coalesce("kept_in", F.array().cast("array<long>")).alias("kept_in"))
+    me = F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc")
+    each = table.select(me, "hash", F.posexplode(F.arrays_zip("nodes", "first", "lines", "a", "b", "short")).alias("place", "unit")).select("doc", "hash", "place", F.col("unit.nodes").alias("node"), "unit.first", "unit.lines", "unit.a", "unit.b", "unit.short")
+    same_place = (F.col("doc") == F.col("group_first.doc_id")) & (F.col("place") == F.col("group_first.place"))
+    hit = each.where("node is not null").join(groups, "node").where(~same_place)
+    hit = cut(hit.select("doc", "hash", F.explode(F.sequence("first", F.col("first") + F.col("lines") - 1)).alias("line"), "a", "b", F.lit(True).alias("whole"), F.col("group_first.doc_id").alias("kept")), "removed")
+    short = each.where("short is not null").select("doc", "hash", F.col("first").alias("line"), "a", "b", F.lit(True).alias("whole"), "short")
+    inner = table.select(me, "hash", F.explode(F.arrays_zip("p_line", "p_a", "p_b", "p_words")).alias("p")).select("doc", "hash", "p.p_line", "p.p_a", "p.p_b", F.lit(False), "p.p_words")
+    exact = short.union(inner)
+    first = exact.join(hit.select("doc", "hash", "line").distinct(), ["doc", "hash", "line"], "left_anti")
+    first = cut(first.groupBy("short").agg(F.min("doc").alias("kept"), F.max("doc").alias("__last")).where("kept < __last").drop("__last"), "exact")
+    again = exact.join(first, "short").where("doc > kept").join(hit.select("doc", "hash", "line").distinct(), ["doc", "hash", "line"], "left_anti")
+    lines = lambda whole: F.sort_array(F.collect_set(F.when(F.col("whole") == whole, F.col("line"))))
+    lost = hit.union(again.select(*hit.columns)).groupBy("doc", F.col("hash").alias("version")).agg(F.collect_set(F.struct("a", "b")).alias("spans"), lines(True).alias("removed"), lines(False).alias("cut"), F.sort_array(F.collect_set("kept")).alias("kept_in"))
+    lost = cut(lost, "lost-lines")
+    texts = docs.select(me, F.col("text").cast("string").alias("text"), text_hash(F.col("text")).alias("version"))
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n")))
+    kept = without_spans(texts, lost, {"n_paragraphs": F.coalesce(breaks + 1, F.lit(1)).cast("long")})
+    ints, longs = F.array().cast("array<int>"), F.array().cast("array<long>")
+    count = lambda c: F.coalesce(F.size(c), F.lit(0))
+    return kept.select(
+        F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id"), (count("removed") + count("cut")).cast("long").alias("n_removed"), F.col("n_removed").alias("bytes_removed"), "kept_sha256",
+        F.coalesce("removed", ints).alias("removed"), F.coalesce("cut", ints).alias("cut"), F.coalesce("kept_in", longs).alias("kept_in"), "n_paragraphs",
+    )
 
 
 def one_of_each_group(docs: DataFrame, words: int = 5, ratio: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -437,11 +517,11 @@ def one_of_each_group(docs: DataFrame, words: int = 5, ratio: Fraction = Fractio
     repeated rows are copies; a null doc_id comes before all others.
     """
     table, groups = near_duplicates(docs, Units(words), SizedParts(ratio), ratio)
-    rows = table.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("__id"), "__hash", F.col("nodes")[0].alias("node"))
+    rows = table.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("__id"), F.col("hash").alias("__hash"), F.col("nodes")[0].alias("node"))
     grouped = rows.join(groups.select("node", "component"), "node").select("component", F.struct("__id", "__hash").alias("me"))
-    stays = grouped.groupBy("component").agg(F.min("me").alias("best"))
-    verdict = grouped.groupBy("component", "me").agg(F.count("me").alias("many")).join(stays, "component")
-    verdict = verdict.select("me.__id", "me.__hash", F.when(F.col("me") != F.col("best"), "drop").when(F.col("many") > 1, "once").alias("__verdict")).where("__verdict is not null")
+    members = cut(grouped.groupBy("component", "me").agg(F.count("me").alias("many")), "members")
+    stays = cut(members.groupBy("component").agg(F.min("me").alias("best")), "stays")
+    verdict = members.join(stays, "component").select("me.__id", "me.__hash", F.when(F.col("me") != F.col("best"), "drop").when(F.col("many") > 1, "once").alias("__verdict")).where("__verdict is not null")
     df = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("__hash", text_hash(F.col("text")))
     df = df.join(verdict, ["__id", "__hash"], "left")
     once = df.where("__verdict = 'once'").dropDuplicates(["__id", "__hash"])

@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -46,11 +47,13 @@ PIECE = 1 << 16
 GATHER = 2_000_000
 #: Size of the bitmaps of shared hashes, which are broadcast. A larger one lets
 #: fewer other stretches through; the result is the same with any.
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 28
 #: Size of the bitmap of documents that may lose bytes, likewise.
 TOUCHED_BITS = 1 << 23
 #: Stretches of a bucket, on average, and the most of an anchor that goes to one.
 BUCKET_ROWS, CROWD = 20_000, 20_000
+#: Most stretches of more than CROWD places each whose windows are broadcast; with more, adaptive execution splits their joins.
+BROADCAST_ROWS = 20_000
 
 
 def _eights(raw: np.ndarray) -> np.ndarray:
@@ -355,12 +358,19 @@ def _by_window(found: DataFrame) -> DataFrame:
     row, and its least document is found by grouping. Stretches meet their
     windows again by 128 bits of two hashes of their bytes."""
     name = [F.xxhash64("bytes").alias("h1"), F.xxhash64(F.lit(7), "bytes").alias("h2")]
-    distinct = found.groupBy("bytes").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-    each = distinct.select(*name, "most", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - SPAN)).alias("k"), "bytes", "least").withColumn("window", F.expr(f"substring(bytes, k + 1, {SPAN})"))
+    distinct = found.groupBy("bytes").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("doc").alias("many"))
+    each = distinct.select(*name, "most", "many", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - SPAN)).alias("k"), "bytes", "least").withColumn("window", F.expr(f"substring(bytes, k + 1, {SPAN})"))
     first = each.groupBy("window").agg(F.min("least").alias("first"))
-    lost = each.join(first, "window").where("first < most").groupBy("h1", "h2").agg(F.collect_list(F.struct("k", "first")).alias("lost"))
-    rows = found.select(*name, "doc", "version", "start").join(lost, ["h1", "h2"]).select("doc", "version", "start", F.inline("lost"))
-    return rows.where("first < doc").select("doc", "version", (F.col("start") + F.col("k")).alias("a"), (F.col("start") + F.col("k") + SPAN).alias("b"))
+    lost = each.join(first, "window").where("first < most").groupBy("h1", "h2").agg(F.max("many").alias("many"), F.collect_list(F.struct("k", "first")).alias("lost"))
+    lost = cut(lost, "crowded-windows")
+    rows, frequent = found.select(*name, "doc", "version", "start"), lost.where(F.col("many") > CROWD).drop("many")
+    met = []
+    if 0 < frequent.count() <= BROADCAST_ROWS:  # so few that their places needn't meet in one task each
+        met.append(rows.join(F.broadcast(frequent), ["h1", "h2"]))
+        rows, lost = rows.join(F.broadcast(frequent.select("h1", "h2")), ["h1", "h2"], "left_anti"), lost.where(F.col("many") <= CROWD)
+    met.append(rows.join(lost.drop("many"), ["h1", "h2"]))
+    spans = [x.select("doc", "version", "start", F.inline("lost")).where("first < doc") for x in met]
+    return reduce(DataFrame.union, [x.select("doc", "version", (F.col("start") + F.col("k")).alias("a"), (F.col("start") + F.col("k") + SPAN).alias("b")) for x in spans])
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
@@ -420,25 +430,18 @@ def _among(rows: DataFrame) -> Column:
     return found(mark)
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """n_bytes, n_removed, n_spans and kept_sha256 of each document (doc_id, text).
-
-    Every byte goes that is in a SPAN-byte string which also starts in a
-    document of a smaller doc_id. Null texts are empty; texts of under SPAN
-    bytes lose nothing, nor do documents without an id, which take nothing
-    from others either. Rows of one doc_id take nothing from each other.
-    """
-    copies = cut(_copies(docs), "copies")
-    df = _versioned(docs).withColumn("maybe", _among(copies))
-    doubtful = cut(df.where("maybe").join(copies, ["doc", "version"], "left_anti").select("doc", "text", "version"), "doubtful")
-    df = df.where("not maybe").drop("maybe").union(doubtful)
-    lost = cut(removed_spans(df.where("doc is not null and text is not null")), "lost")
+def without_spans(df: DataFrame, lost: DataFrame, more_of: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of ``df``
+    (doc, text, version), the columns ``more_of`` its row, and the further
+    columns of ``lost`` (doc, version, spans), null where nothing is lost. Byte ranges may overlap. Only texts
+    that may lose bytes are shuffled."""
+    more = [c for c in lost.columns if c not in ("doc", "version", "spans")]
     number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    whole = copies.select(F.col("doc").alias("doc_id"), number("size").alias("n_bytes"), number("size").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"))
-    # Only texts that may lose bytes are shuffled; the others keep all.
-    df = df.withColumn("maybe", _among(lost))
-    kept = df.where("not maybe").select(F.col("doc").alias("doc_id"), number(F.octet_length("text")).alias("n_bytes"), number(F.lit(0)).alias("n_removed"), number(F.lit(0)).alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
-    df = df.where("maybe").join(lost, ["doc", "version"], "left").select("doc", "text", "spans")
+    own = list(more_of or {})
+    df = df.withColumns(more_of or {}).withColumn("maybe", _among(lost))
+    same = [F.col("doc").alias("doc_id"), number(F.octet_length("text")).alias("n_bytes"), number(F.lit(0)).alias("n_removed"), number(F.lit(0)).alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")]
+    kept = df.where("not maybe").select(*same, *own, *[F.lit(None).cast(lost.schema[c].dataType).alias(c) for c in more])
+    df = df.where("maybe").join(lost, ["doc", "version"], "left").select("doc", "text", "spans", *own, *more)
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.slices(batches, 1):
@@ -458,10 +461,31 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             begin[edges[:-1][edges[:-1] < len(raw)]] = gone[edges[:-1][edges[:-1] < len(raw)]]
             runs = np.concatenate([[0], np.cumsum(begin)])
             kept = []
-            for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 part = raw[a:b]
                 kept.append(hashlib.sha256((part[~gone[a:b]] if total[b] > total[a] else part).tobytes()).hexdigest())
             a, b = edges[:-1], edges[1:]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(b - a), pa.array(total[b] - total[a]), pa.array(runs[b] - runs[a]), pa.array(kept)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            columns = [batch.column(0), pa.array(b - a), pa.array(total[b] - total[a]), pa.array(runs[b] - runs[a]), pa.array(kept), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(columns, names=kept_names)
+
+    kept_names = kept.columns
+    return kept.union(df.mapInArrow(digested, kept.schema))
 
-    return whole.union(kept).union(df.mapInArrow(digested, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """n_bytes, n_removed, n_spans and kept_sha256 of each document (doc_id, text).
+
+    Every byte goes that is in a SPAN-byte string which also starts in a
+    document of a smaller doc_id. Null texts are empty; texts of under SPAN
+    bytes lose nothing, nor do documents without an id, which take nothing
+    from others either. Rows of one doc_id take nothing from each other. Texts
+    of any length are read whole, PIECE windows at once.
+    """
+    copies = cut(_copies(docs), "copies")
+    df = _versioned(docs).withColumn("maybe", _among(copies))
+    doubtful = cut(df.where("maybe").join(copies, ["doc", "version"], "left_anti").select("doc", "text", "version"), "doubtful")
+    df = df.where("not maybe").drop("maybe").union(doubtful)
+    lost = cut(removed_spans(df.where("doc is not null and text is not null")), "lost")
+    size = F.col("size").cast("long")
+    whole = copies.select(F.col("doc").alias("doc_id"), size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"))
+    return whole.union(without_spans(df, lost))

@@ -182,6 +182,133 @@ def test_paragraphs(spark):
     assert similarity.tuned_bands(0.8, 3, 0.999) == 10
 
 
+def brute_paragraphs(rows, least=10, part=25):
+    """(doc_id, removed lines, cut lines, bytes removed, hash of the rest): all units against all, sub-paragraphs by plain loops."""
+    low = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x)
+    units, short, inner, lines_of = [], [], [], {}
+    for r, (i, t) in enumerate(rows):
+        i, lines = -(1 << 63) if i is None else i, (t or "").split("\n")
+        lines_of[r] = lines
+        w = [re.findall(r"[^\x20\x09-\x0D]+", low(x)) for x in lines]
+        place = 0
+        for k in range(len(lines)):
+            if len(w[k]) >= least:
+                units.append((i, place, r, k, 1, w[k]))
+            elif w[k]:
+                short.append((i, r, k, None, tuple(w[k])))
+            place += 1
+            if 0 < len(w[k]) < least and (k == 0 or not 0 < len(w[k - 1]) < least):
+                j = k
+                while j < len(lines) and 0 < len(w[j]) < least:
+                    j += 1
+                run = sum(w[k:j], [])
+                if len(run) >= least:
+                    units.append((i, place, r, k, j - k, run))
+                    place += 1
+            if len(w[k]) > 50:
+                h = np.array([textkit.words_of(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x.encode())]), textkit.BLANKS)[0][0] for x in w[k]])
+                g = textkit.grams(h, 3)
+                spots = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", lines[k])]
+                for p in sorted({min(range(q, q + 26), key=lambda z: (g[z], z)) for q in range(len(g) - 25)}):
+                    if p >= 11 and p + 14 <= len(w[k]):
+                        inner.append((i, r, k, (spots[p - 11][0], spots[p + 14][0] if p + 14 < len(spots) else len(lines[k])), tuple(w[k][p - 11 : p + 14])))
+    sets = [{tuple(u[5][a : a + 5]) for a in range(len(u[5]) - 4)} for u in units]
+    parent = list(range(len(units)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(units)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if units[a][5] == units[b][5] or 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)), key=lambda z: (units[z][:2], z))
+                parent[y] = x
+    removed = {r: set() for r in range(len(rows))}
+    for a, u in enumerate(units):
+        if units[root(a)][:2] != u[:2]:
+            removed[u[2]] |= set(range(u[3], u[3] + u[4]))
+    left = [x for x in short + inner if x[2] not in removed[x[1]]]
+    first = {}
+    for i, *_, words in left:
+        first[words] = min(first.get(words, i), i)
+    cuts = {r: {} for r in range(len(rows))}
+    again = [x for x in left if first[x[4]] < x[0]]
+    for _, r, k, span, _ in again:
+        if span is None:
+            removed[r].add(k)
+        else:
+            cuts[r].setdefault(k, set()).update(range(*span))
+    out = []
+    for r, (i, t) in enumerate(rows):
+        kept = []
+        for k, x in enumerate(lines_of[r]):
+            if k not in removed[r]:
+                kept.append("".join(c for n, c in enumerate(x) if n not in cuts[r].get(k, ())) + "\n" * (k < len(lines_of[r]) - 1))
+        kept = "".join(kept).encode()
+        out.append((i, sorted(removed[r]), sorted(cuts[r]), len((t or "").encode()) - len(kept), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_paragraphs_against_all_pairs(spark):
+    rng = random.Random(18)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    passage, common = words(60), " ".join(words(20))
+    rows = []
+    for k in range(40):
+        lines = [" ".join(words(rng.choice([3, 12, 80]))) for _ in range(rng.randrange(4))]
+        if k % 3 == 0:  # a passage inside a longer line
+            lines.insert(rng.randrange(len(lines) + 1), " ".join(words(30) + passage + words(25)))
+        if k % 4 == 0:
+            near = list(passage)
+            near[rng.randrange(60)] = "changed"
+            lines.append(" ".join(near))
+        if k % 5 == 0:
+            lines += [common, "a short Line", "tail é of  it"]
+        rows.append((k * 7 % 41, "\n".join(lines)))
+    rows += [(None, common), (None, None), (50, ""), (51, "\n\n"), (52, "x" * 3000), (7, rows[0][1]), (7, rows[0][1]), (60, " ".join(words(30_000) + passage + words(30_000)))]
+    df = spark.createDataFrame([(i, t, [i], "c", 0) for i, t in rows], "doc_id long, text string, lines array<long>, cut string, hash int").repartition(3)
+    got = similarity.paragraph_groups(df).collect()
+    mine = sorted(((-(1 << 63) if r.doc_id is None else r.doc_id, r.removed, r.cut, r.bytes_removed, r.kept_sha256) for r in got), key=str)
+    want = brute_paragraphs([(i if i is not None else -(1 << 63), t) for i, t in rows])
+    assert mine == want
+    assert any(r.cut for r in got) and all(r.n_removed == len(r.removed) + len(r.cut) for r in got)
+    assert all(r.cut for r in got if r.doc_id == 60)
+    assert similarity.paragraph_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_shared_passages_have_a_part_in_common():
+    rng = np.random.default_rng(19)
+    for _ in range(400):
+        shared = rng.integers(0, 60, 50).astype(np.uint64)
+        sides = [np.concatenate([rng.integers(0, 60, rng.integers(40)), shared, rng.integers(0, 60, 1 + rng.integers(40))]).astype(np.uint64) for _ in range(2)]
+        found = []
+        for h in sides:
+            h = textkit.mix(h)
+            _, a, b = similarity.passages(h, np.array([0]), np.array([len(h)]))
+            found.append({h[x:y].tobytes() for x, y in zip(a, b)})
+        assert found[0] & found[1]
+
+
+def test_similar_sets_share_a_key():
+    """Pairs exactly at the bound: the share of them that no key joins."""
+    rng = np.random.default_rng(20)
+    for ratio in (Fraction(9, 10), Fraction(4, 5)):
+        keys, missed, pairs = similarity.SizedParts(ratio), 0, 0
+        for n in (4, 9, 20, 40, 80, 150, 300, 700, 1500):
+            for _ in range(100 if n > 300 else 400):
+                both = rng.integers(0, 1 << 63, n, np.uint64)
+                differ = int(n * (1 - ratio) / ratio)  # the most that the bound allows beside n in common
+                a = rng.integers(0, differ + 1)
+                extra = rng.integers(0, 1 << 63, differ, np.uint64)
+                x, y = (np.unique(np.concatenate([both, e])) for e in (extra[:a], extra[a:]))
+                pairs += 1
+                missed += not len(np.intersect1d(keys.of(x), keys.of(y)))
+        assert missed == 0, (ratio, missed, pairs)
+
+
 def test_short_paragraphs(spark):
     rng = random.Random(9)
     passage = [random_text(rng, 6, 10_000) for _ in range(11)]
@@ -245,6 +372,43 @@ def test_substrings_against_all_windows(spark, odd_rows, monkeypatch):
     assert substrings.deduplicated(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("crowd, rows", [(3, 1), (3, 1000), (20_000, 1000)])
+def test_substrings_with_one_line_in_every_text(spark, crowd, rows, monkeypatch):
+    monkeypatch.setattr(substrings, "CROWD", crowd)
+    monkeypatch.setattr(substrings, "BROADCAST_ROWS", rows)
+    rng = random.Random(14)
+    line = random_text(rng, 30)
+    docs = [(k, f"{random_text(rng, rng.randrange(12))}\n{line}\n{random_text(rng, rng.randrange(12))}\n{line}") for k in range(40)]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in docs], "doc_id long, text string, bytes int, anchor int")
+    assert sorted(map(tuple, substrings.deduplicated(df).collect()), key=str) == brute_substrings(docs)
+
+
+def test_previous_factors():
+    rng = np.random.default_rng(15)
+    text = lambda n: rng.integers(97, 99, n).astype(np.uint8)
+    shared = text(120)
+    parts = [np.concatenate([text(5), shared[rng.integers(60) : 60 + rng.integers(60)], text(60)]) for _ in range(30)]
+    raw = np.concatenate(parts)
+    start = np.concatenate([np.arange(len(p) - 49) + a for p, a in zip(parts, np.cumsum([0, *map(len, parts)]))])
+    docs = rng.integers(0, 12, len(parts))[np.repeat(np.arange(30), [len(p) - 49 for p in parts])]
+    least = {}
+    for s, d in zip(start.tolist(), docs.tolist()):
+        w = raw[s : s + 50].tobytes()
+        least[w] = min(least.get(w, d), d)
+    want = [least[raw[s : s + 50].tobytes()] < d for s, d in zip(start.tolist(), docs.tolist())]
+    assert any(want) and substrings.has_previous_factor(raw, start, docs).tolist() == want
+    values, run = rng.integers(0, 9, 300), np.repeat(np.arange(0, 300, 20), 20)
+    want = [max((j for j in range(run[i], i) if values[j] < values[i]), default=-1) for i in range(300)]
+    assert substrings.previous_smaller(values, run).tolist() == want
+
+
+def test_substrings_of_a_long_text(spark):
+    rng = random.Random(16)
+    long = random_text(rng, 300_000, 1_000_000)  # over 2 MB: many pieces of windows
+    docs = [(1, long[500_000:600_000]), (2, long), (3, long[-70:] + "é")]
+    assert sorted(map(tuple, substrings.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=str) == brute_substrings(docs)
+
+
 def test_window_pieces(monkeypatch):
     rng = np.random.default_rng(6)
     raw = rng.integers(97, 100, 5000).astype(np.uint8)
