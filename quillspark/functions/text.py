@@ -100,10 +100,18 @@ def any_match(text: Column, patterns: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [text.rlike(p) for p in patterns])
 
 
+# What is a local address and so no secret, and the least length of a secret known by its name.
+LOCALHOST = r"^(?:localhost|127\.0\.0\.1)$|^http://(?:127\.0\.0\.1|localhost)"
+NAMED_CHARS = 8
+
+
 def secret_like(name: Column, value: Column) -> Column:
-    """By its name, by a known pattern, or long, mixed and of high entropy; placeholders are none."""
+    """By the words of its name, by a known pattern, or long, mixed and of high
+    entropy; placeholders are none. A name counts for values of NAMED_CHARS
+    characters and more that are no local address."""
+    named = identifier_words(name).rlike(SECRET_NAME) & (F.length(value) >= NAMED_CHARS) & ~value.rlike(LOCALHOST)
     mixed = (F.length(value) >= 32) & value.rlike("[A-Za-z]") & value.rlike("[0-9]") & ~value.rlike(r"\s") & (entropy(value) >= 3.5)
-    return ~value.rlike(PLACEHOLDER) & (F.coalesce(name.rlike(SECRET_NAME), F.lit(False)) | any_match(value, SECRET_PATTERNS) | mixed)
+    return ~value.rlike(PLACEHOLDER) & (F.coalesce(named, F.lit(False)) | any_match(value, SECRET_PATTERNS) | mixed)
 
 
 def config_kind(value: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .cuts import cut
+
 DIRECTIONS = ("incoming", "outgoing", "both")
 
 
@@ -58,26 +60,68 @@ def callers_without(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame, start: DataFrame, rounds: int) -> DataFrame:
-    """Nodes within ``rounds`` steps of ``start`` (node), with the least number of steps."""
-    seen = start.select("node", F.lit(0).alias("steps"))
+    """Nodes within ``rounds`` steps of ``start`` (node), with the least number
+    of steps. Each round joins what the last one found first."""
+    seen = cut(start.select("node", F.lit(0).alias("steps")).distinct())
     for k in range(1, rounds + 1):
-        step = seen.where(F.col("steps") == k - 1).join(edges.select(F.col("source").alias("node"), F.col("target").alias("next")), "node")
-        seen = seen.union(step.select(F.col("next").alias("node"), F.lit(k).alias("steps"))).groupBy("node").agg(F.min("steps").alias("steps"))
+        step = seen.where(F.col("steps") == k - 1).join(edges.select(F.col("source").alias("node"), F.col("target").alias("next")), "node").select(F.col("next").alias("node")).distinct()
+        seen = cut(seen.union(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(k).alias("steps"))))
     return seen
 
 
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """Nodes that lie on a directed cycle or between two: nodes without an edge
-    in or without one out are taken away, round by round, as long as there are
-    any. A chain takes half as many rounds as it has edges."""
-    now = edges.select("source", "target").distinct()
-    n = now.count()
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges of nodes with edges in and out, as far as taking the others away leaves any."""
+    now, n = edges, edges.count()
     while True:
         now = now.join(now.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-        now = now.join(now.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target")
-        now = now.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else now.localCheckpoint()
+        now = cut(now.join(now.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
         left = now.count()
         if left == n:
-            break
+            return now
         n = left
-    return now.select(F.col("source").alias("node")).distinct()
+
+
+def _spread(edges: DataFrame, marks: DataFrame) -> DataFrame:
+    """The least mark (node, mark) that reaches each node along the edges; rounds until none changes."""
+    now, before = marks, None
+    while True:
+        sent = edges.join(now.withColumnRenamed("node", "source"), "source").select(F.col("target").alias("node"), "mark")
+        now = cut(now.union(sent).groupBy("node").agg(F.min("mark").alias("mark")))
+        state = now.agg(F.count("node"), F.sum(F.xxhash64("node", "mark").cast("decimal(38,0)"))).first()
+        if state == before:
+            return now
+        before = state
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(node, cycle): the nodes that lie on a directed cycle, with the least
+    node of their strongly connected component.
+
+    The least node that reaches a node is its mark; the nodes of one mark that
+    reach the marking node again are its component. These are taken away and
+    the rest is marked anew, until no edge is left; nothing is capped.
+    """
+    loops = edges.where("source = target").select(F.col("source").alias("node"), F.col("source").alias("cycle")).distinct()
+    now = _trimmed(cut(edges.select("source", "target").where("source <> target").distinct()))
+    found = loops
+    while not now.isEmpty():
+        nodes = now.select(F.col("source").alias("node")).distinct()
+        marks = _spread(now, nodes.withColumn("mark", F.col("node")))
+        mark = lambda side: marks.select(F.col("node").alias(side), F.col("mark").alias(f"{side}_mark"))
+        inside = cut(now.join(mark("source"), "source").join(mark("target"), "target").where("source_mark = target_mark").select("source", "target"))
+        back = inside.select(F.col("target").alias("source"), F.col("source").alias("target"))
+        roots = marks.where("node = mark")
+        hit = _spread(back, roots).join(marks.withColumnRenamed("mark", "own"), "node").where("mark = own").select("node", F.col("mark").alias("cycle"))
+        hit = cut(hit)
+        # A node that nothing else marks and that doesn't come back to itself is no cycle.
+        some = hit.groupBy("cycle").agg(F.count("node").alias("n")).where("n > 1").select("cycle")
+        found = found.union(hit.join(some, "cycle", "left_semi").select("node", "cycle"))
+        gone = hit.select("node")
+        now = now.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti")
+        now = _trimmed(cut(now.select("source", "target")))
+    return found.groupBy("node").agg(F.min("cycle").alias("cycle"))
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Nodes that lie on a directed cycle."""
+    return cycles(edges).select("node")

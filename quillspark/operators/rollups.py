@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .cuts import cut
 
 
 def repeated(rows: DataFrame, value: list[str], file: str, order: list[str], least: int = 3, least_files: int = 1) -> DataFrame:
@@ -37,6 +38,7 @@ def hash_tree(leaves: DataFrame, path: str, leaf_hash: str, depth: int) -> DataF
             out = out.unionByName(made.select(F.col("parent").alias("node"), F.lit("root").alias("kind"), F.lit(None).cast("string").alias("parent"), "hash"))
             break
         made = made.select(F.col("parent").alias("node"), F.lit("dir").alias("kind"), F.when(above == "", ".").otherwise(above).alias("parent"), "hash")
+        made = cut(made)  # a level is read by its parents and by the result
         out = out.unionByName(made)
         waiting = waiting.where(F.col("level") < d).unionByName(made.withColumn("level", F.lit(d - 1)))
     return out
@@ -72,6 +74,13 @@ def backlinks(edges: DataFrame, source: str, target: str) -> DataFrame:
     return edges.groupBy(target).agg(F.sort_array(F.collect_set(source)).alias("sources"))
 
 
+def linked_both_ways(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """(side, id, others): what each target is linked from, and what each source links to."""
+    into = backlinks(edges, source, target).select(F.lit("target").alias("side"), F.col(target).cast("string").alias("id"), F.col("sources").alias("others"))
+    out = backlinks(edges, target, source).select(F.lit("source").alias("side"), F.col(source).cast("string").alias("id"), F.col("sources").alias("others"))
+    return into.unionByName(out)
+
+
 def owners(edges: DataFrame, owner: str, target: str) -> DataFrame:
     """Targets that several owners claim."""
     agg = edges.groupBy(target).agg(F.count_distinct(owner).alias("n_owners"), F.min(owner).alias("first_owner"))

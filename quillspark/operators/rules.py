@@ -207,10 +207,26 @@ REGISTRY: dict[str, Rule] = {
 
 
 def run(context: Context, rules: dict[str, Rule] | None = None) -> DataFrame:
-    """All findings of all rules, in their fixed order."""
+    """All findings of all rules, in their fixed order. A rule that can't be
+    planned gives one finding of its own name and error, and stops no other."""
     rules = REGISTRY if rules is None else rules
-    every = reduce(DataFrame.unionByName, [rule(context) for rule in rules.values()])
-    return every.orderBy("file", F.coalesce("line", F.lit(0)), F.coalesce("column", F.lit(0)), "rule_id", "message")
+    spark = next(iter(context.tables.values())).sparkSession
+
+    def made(name: str, rule: Rule) -> DataFrame:
+        try:
+            found = rule(context)
+            found.schema  # noqa: B018  the plan is checked here
+            return found
+        except Exception as error:
+            head = spark.range(1).withColumn("file", F.lit(None).cast("string"))
+            return findings(head, name, F.lit(f"the rule failed: {str(error).splitlines()[0]}"))
+
+    return in_order(reduce(DataFrame.unionByName, [made(name, rule) for name, rule in rules.items()]))
+
+
+def in_order(found: DataFrame) -> DataFrame:
+    """Findings by file, line, column, rule and message; no line or column counts as 0."""
+    return found.orderBy("file", F.coalesce("line", F.lit(0)), F.coalesce("column", F.lit(0)), "rule_id", "message")
 
 
 def finding_key() -> Column:

@@ -78,11 +78,11 @@ def ordinals(spark, sf_dir):
     return events.numbered(table(spark, sf_dir, "conversations"), ["conv_id"], [F.col("turn"), F.col("role"), F.col("text")], 0, "ordinal").select("conv_id", "turn", "ordinal")
 
 
-@query("""with a as (select count(*) as n from events where event_type = 'click'), b as (select event_id from events where event_type = 'signup' and event_id < 2000)
+@query("""with a as (select count(*) as n from events where event_type = 'click'), b as (select event_id from events where event_type = 'signup')
 select event_id, (select n from a) + (select count(*) from b) <= 100000 as admitted from b""")
 def admission_capacity(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return events.admitted(e.where("event_type = 'signup' and event_id < 2000").select("event_id"), e.where("event_type = 'click'"), 100000)
+    return events.admitted(e.where("event_type = 'signup'").select("event_id"), e.where("event_type = 'click'"), 100000)
 
 
 @query("""with a as (select event_id, ts, value, 0 as l from events where event_id % 2 = 0 union all select event_id, ts, -value, 1 from events where event_id % 3 = 0)

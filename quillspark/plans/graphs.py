@@ -34,7 +34,7 @@ def edge_impact(spark, sf_dir):
 
 
 @query("""with nodes as (select p_partkey as id, p_brand as path, p_name as name, p_partkey % 2 = 0 as exported from part),
-refs as (select l_orderkey * 10 + l_linenumber as ref, 'Brand#' || (l_suppkey % 25 + 1) as path, p_name as name from lineitem join part on p_partkey = l_partkey where l_orderkey < 500),
+refs as (select l_orderkey * 10 + l_linenumber as ref, 'Brand#' || (l_suppkey % 25 + 1) as path, p_name as name from lineitem join part on p_partkey = l_partkey),
 imports as (select distinct 'Brand#' || (s_suppkey % 25 + 1) as path, p_name as name, 'Brand#' || (s_suppkey % 7 + 1) as target_path from supplier, part where p_size = s_suppkey % 50),
 own as (select path, name, min(id) as own from nodes group by all having count(*) = 1),
 via as (select i.path, i.name, min(id) as via from imports i join nodes n on n.path = i.target_path and n.name = i.name and n.exported group by all having count(*) = 1),
@@ -45,7 +45,7 @@ def resolve_precedence(spark, sf_dir):
     p, s, li = (table(spark, sf_dir, t) for t in ("part", "supplier", "lineitem"))
     brand = lambda c, n: F.concat(F.lit("Brand#"), F.col(c) % n + 1)
     nodes = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("path"), F.col("p_name").alias("name"), (F.col("p_partkey") % 2 == 0).alias("exported"))
-    refs = li.where("l_orderkey < 500").join(p, F.col("p_partkey") == F.col("l_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref"), brand("l_suppkey", 25).alias("path"), F.col("p_name").alias("name"))
+    refs = li.join(p, F.col("p_partkey") == F.col("l_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref"), brand("l_suppkey", 25).alias("path"), F.col("p_name").alias("name"))
     imports = s.join(p, F.col("p_size") == F.col("s_suppkey") % 50).select(brand("s_suppkey", 25).alias("path"), F.col("p_name").alias("name"), brand("s_suppkey", 7).alias("target_path")).distinct()
     return graph.resolve(refs, nodes, imports)
 
@@ -88,32 +88,42 @@ def duplicate_owners(spark, sf_dir):
     return rollups.owners(li, "l_returnflag", "target")
 
 
-@query("select n_regionkey as target, list_sort(list(distinct n_name))::varchar as sources from nation group by 1")
+_LINKS = """l as (select distinct 'page/' || page_id as source, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as target from pages)"""
+
+
+@query(f"""with {_LINKS} select 'target' as side, target as id, array_to_string(list_sort(list(source)), ' ') as others from l group by target
+union all select 'source', source, array_to_string(list_sort(list(target)), ' ') from l group by source""")
 def backlinks(spark, sf_dir):
-    found = rollups.backlinks(table(spark, sf_dir, "nation").select("n_name", F.col("n_regionkey").alias("target")), "n_name", "target")
-    return found.select("target", F.concat(F.lit("["), F.array_join("sources", ", "), F.lit("]")).alias("sources"))
+    links = table(spark, sf_dir, "pages").select(F.concat(F.lit("page/"), "page_id").alias("source"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))
+    return rollups.linked_both_ways(links, "source", "target").select("side", "id", F.array_join("others", " ").alias("others"))
+
+
+_CYCLE = """e as (select c_custkey as source, c_custkey // 8 * 8 + (c_custkey * 5 + c_nationkey) % 8 as target from customer
+union select c_custkey, c_custkey + 8 from customer where c_custkey % 16 = 3 union select c_custkey, c_custkey - 3 from customer where c_custkey % 24 = 7)"""
 
 
-_CYCLE = "e as (select n_nationkey as source, (n_nationkey * 7 + n_regionkey) % 25 as target from nation union select n_nationkey, (n_nationkey * 3) % 30 from nation where n_nationkey % 4 = 0)"
+def _customer_graph(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    return (
+        c.select(key.alias("source"), (F.floor(key / 8) * 8 + (key * 5 + F.col("c_nationkey")) % 8).cast("long").alias("target"))
+        .union(c.where(key % 16 == 3).select(key, key + 8))
+        .union(c.where(key % 24 == 7).select(key, key - 3))
+        .distinct()
+    )
 
 
-@query(f"""with recursive {_CYCLE}, r as (select source, target from e union select r.source, e.target from r join e on r.target = e.source),
-c as (select source as node from r where source = target)
-select distinct node::integer as node from c union select distinct a.target::integer from r a join c x on a.source = x.node join r b on b.source = a.target join c y on b.target = y.node""")
+@query(f"""with recursive {_CYCLE}, r as (select source, target from e union select r.source, e.target from r join e on r.target = e.source)
+select a.source as node, min(a.target) as cycle from r a join r b on b.source = a.target and b.target = a.source group by a.source""")
 def dependency_cycles(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    a = n.select(F.col("n_nationkey").cast("long").alias("source"), ((F.col("n_nationkey") * 7 + F.col("n_regionkey")) % 25).cast("long").alias("target"))
-    b = n.where("n_nationkey % 4 = 0").select(F.col("n_nationkey").cast("long").alias("source"), ((F.col("n_nationkey") * 3) % 30).cast("long").alias("target"))
-    return graph.on_cycles(a.union(b)).select(F.col("node").cast("int").alias("node"))
+    return graph.cycles(_customer_graph(spark, sf_dir))
 
 
-@query(f"""with recursive {_CYCLE}, r(node, steps) as (select 1::bigint, 0 union select e.target, r.steps + 1 from r join e on e.source = r.node where r.steps < 3)
+@query(f"""with recursive {_CYCLE}, r(node, steps) as (select source, 0 from e where source % 50 = 1 union select e.target, r.steps + 1 from r join e on e.source = r.node where r.steps < 3)
 select node, min(steps)::integer as steps from r group by node""")
 def reach(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    a = n.select(F.col("n_nationkey").cast("long").alias("source"), ((F.col("n_nationkey") * 7 + F.col("n_regionkey")) % 25).cast("long").alias("target"))
-    b = n.where("n_nationkey % 4 = 0").select(F.col("n_nationkey").cast("long").alias("source"), ((F.col("n_nationkey") * 3) % 30).cast("long").alias("target"))
-    return graph.reach(a.union(b).distinct(), spark.range(1, 2).select(F.col("id").alias("node")), 3)
+    edges = _customer_graph(spark, sf_dir)
+    return graph.reach(edges, edges.where("source % 50 = 1").select(F.col("source").alias("node")), 3)
 
 
 _P = "regexp_extract(url, '://([^?#]*)', 1)"
@@ -135,18 +145,18 @@ def import_boundaries(spark, sf_dir):
     return found.select("file", F.regexp_extract("message", "^must not import (.*)$", 1).alias("source"))
 
 
-@query("""with w as (select distinct doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) as name from documents), s as (select distinct regexp_extract(text, '^([A-Za-z]+)', 1) as name, doc_id as d from documents where doc_id % 50 = 0)
+@query("""with w as (select distinct doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) as name from documents), s as (select distinct regexp_extract(text, '[A-Za-z]{14,}') as name, doc_id as d from documents)
 select doc_id, name, d as defined_in from w join s using (name) where doc_id <> d and name <> ''""")
 def reference_facts(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    symbols = d.where("doc_id % 50 = 0").select(F.regexp_extract("text", "^([A-Za-z]+)", 1).alias("name"), F.col("doc_id").alias("path"), F.lit(True).alias("exported")).where("name <> ''")
+    symbols = d.select(F.regexp_extract("text", "[A-Za-z]{14,}", 0).alias("name"), F.col("doc_id").alias("path"), F.lit(True).alias("exported")).where("name <> ''")
     return facts.reference_facts(d.select(F.col("doc_id").alias("path"), "text"), symbols).select(F.col("path").alias("doc_id"), "name", "defined_in")
 
 
 @query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as no from documents)
 select doc_id, no::integer as line_no, regexp_matches(line, '^Ern?') as is_fence, (sum(regexp_matches(line, '^Ern?')::int) over (partition by doc_id order by no) % 2 = 1 and not regexp_matches(line, '^Ern?')) as in_fence from l""")
 def fence_state(spark, sf_dir):
-    rows = chunks.lines(table(spark, sf_dir, "documents")).withColumn("line", F.when(F.col("line").rlike("^Ern?"), "```").otherwise(F.lit("x")))
+    rows = chunks.lines(table(spark, sf_dir, "documents")).withColumn("line", F.when(F.col("line").rlike("^Ern?"), F.concat(F.lit("```"), "line")).otherwise(F.col("line")))
     return chunks.with_fences(rows).select("doc_id", "line_no", "is_fence", "in_fence")
 
 
@@ -157,6 +167,7 @@ def vector_delta(spark, sf_dir):
     return chunks.vector_delta(d.where("doc_id % 3 <> 0"), d.where("doc_id % 4 <> 0"), "doc_id", "h")
 
 
-@query()
+@query("""with l as (select doc_id::varchar || chr(0) || sha256(text) as line, left(sha256(doc_id::varchar), 3) as part from documents), p as (select part, sha256(string_agg(line, chr(10) order by line)) as h from l group by part)
+select sha256(string_agg(part || chr(0) || h, chr(10) order by part)) as inventory_hash from p""")
 def inventory_hash(spark, sf_dir):
     return rollups.inventory_hash(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), text.text_hash(F.col("text")).alias("h")), "path", "h")

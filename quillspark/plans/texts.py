@@ -26,10 +26,9 @@ def dedupe_exact(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(text.text_hash(F.col("text")).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).drop("h")
 
 
-@query("select doc_id, regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '', 'g') as slug, trim(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', ' ', 'g')) as words from documents")
+@query("select doc_id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') as slug, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as words from documents")
 def rank_texts(spark, sf_dir):
-    head = F.left("text", F.lit(60))
-    return table(spark, sf_dir, "documents").select("doc_id", text.rank_slug(head).alias("slug"), text.rank_text(head).alias("words"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.rank_slug(F.col("text")).alias("slug"), text.rank_text(F.col("text")).alias("words"))
 
 
 _LINES = "l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as no from documents)"
@@ -138,15 +137,17 @@ def folder_rollup(spark, sf_dir):
     return rollups.folders(table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^?#]*)", 1).alias("path")), "path")
 
 
-@query("""with c as (select r_name || '/' || n_name as path, sha256(n_name) as h from nation join region on n_regionkey = r_regionkey),
-f as (select path, string_split(path, '/')[1] as dir, sha256(string_agg(h, chr(10) order by h)) as h from c group by path),
-d as (select dir, sha256(string_agg(h, chr(10) order by h)) as h from f group by dir),
-r as (select sha256(string_agg(h, chr(10) order by h)) as h from d)
-select path || '#' || h as node, 'chunk' as kind, path as parent, h as hash from c union all select path, 'file', dir, h from f union all select dir, 'dir', '.', h from d union all select '.', 'root', null, h from r""")
+@query("""with c as (select regexp_extract(url, '://([^/?#]*)', 1) || '/' || regexp_extract(url, '://[^/?#]*/([^/?#]*)', 1) || '/' || page_id as path, sha256(html) as h from pages),
+f as (select path, regexp_replace(path, '/[^/]*$', '') as dir, sha256(string_agg(h, chr(10) order by h)) as h from c group by path),
+d as (select dir, regexp_replace(dir, '/[^/]*$', '') as up, sha256(string_agg(h, chr(10) order by h)) as h from f group by dir),
+t as (select up, sha256(string_agg(h, chr(10) order by h)) as h from d group by up),
+r as (select sha256(string_agg(h, chr(10) order by h)) as h from t)
+select path || '#' || h as node, 'chunk' as kind, path as parent, h as hash from c union all select path, 'file', dir, h from f union all select dir, 'dir', up, h from d
+union all select up, 'dir', '.', h from t union all select '.', 'root', null, h from r""")
 def merkle_tree(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    leaves = n.select(F.concat_ws("/", "r_name", "n_name").alias("path"), text.text_hash(F.col("n_name")).alias("h"))
-    return rollups.hash_tree(leaves, "path", "h", 1)
+    part = lambda x: F.regexp_extract("url", x, 1)
+    leaves = table(spark, sf_dir, "pages").select(F.concat_ws("/", part("://([^/?#]*)"), part("://[^/?#]*/([^/?#]*)"), "page_id").alias("path"), text.text_hash(F.col("html")).alias("h"))
+    return rollups.hash_tree(leaves, "path", "h", 2)
 
 
 @query("""with o as (select doc_id, sha256(text) as h from documents where doc_id % 3 <> 0), n as (select doc_id, case when doc_id % 5 = 0 then sha256(text || 'x') else sha256(text) end as h from documents where doc_id % 4 <> 0)
@@ -201,12 +202,24 @@ def findings_union_sorted(spark, sf_dir):
     }
     found = rules.run(rules.Context({"files": d}), registry)
     known = table(spark, sf_dir, "labels").select(F.concat(F.lit("doc/"), "doc_id").alias("file"), (F.col("toxic") == 1).alias("known"))
-    return found.join(known, "file", "left").select("rule_id", "severity", "file", F.coalesce("known", F.lit(False)).alias("known"))
+    found = rules.in_order(found.join(known, "file", "left"))
+    return found.select("rule_id", "severity", "file", F.coalesce("known", F.lit(False)).alias("known"))
 
 
-@query("select d.doc_id, l.doc_id is not null as approved from documents d left join (select * from labels where quality = 1) l on d.doc_id = l.doc_id")
+_GATE = ["doc_id", "gate", "rule_id", "severity", "file", "scope"]
+_GATE_SQL = "doc_id, 'commit' as gate, case when quality = 1 then 'q' else 'p' end as rule_id, case when toxic = 1 then 'error' else 'warning' end as severity, 'doc/' || doc_id as file, case when doc_id % 3 = 0 then null else 's' || doc_id % 3 end as scope"
+
+
+@query(f"""with f as (select {_GATE_SQL} from labels), a as (select distinct {_GATE_SQL.replace("doc_id % 3 = 0", "doc_id % 6 = 0")} from labels where quality = 1)
+select {", ".join("f." + c for c in _GATE)}, a.gate is not null as approved from f left join a on {" and ".join(f"f.{c} is not distinct from a.{c}" for c in _GATE)}""")
 def gate_resolution(spark, sf_dir):
-    return rules.gates(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").where("quality = 1"), ["doc_id"])
+    labels = table(spark, sf_dir, "labels")
+
+    def gates(rows, every):
+        scope = F.when(F.col("doc_id") % every != 0, F.concat(F.lit("s"), F.col("doc_id") % 3))
+        return rows.select("doc_id", F.lit("commit").alias("gate"), F.when(F.col("quality") == 1, "q").otherwise("p").alias("rule_id"), F.when(F.col("toxic") == 1, "error").otherwise("warning").alias("severity"), F.concat(F.lit("doc/"), "doc_id").alias("file"), scope.alias("scope"))
+
+    return rules.gates(gates(labels, 3), gates(labels.where("quality = 1"), 6), _GATE)
 
 
 @query("select doc_id, source from documents order by source, doc_id limit 50 offset 100")
@@ -216,14 +229,25 @@ def offset_page(spark, sf_dir):
 
 
 
-@query(r"""with r as (select doc_id, unnest(range(1, 8)) as no, unnest(['# Top', 'text', '```', '## inside', '```', '## Sub', '# End']) as line from documents),
-f as (select *, regexp_matches(line, '^\s{0,3}(```|~~~)') as is_fence, sum(regexp_matches(line, '^\s{0,3}(```|~~~)')::int) over (partition by doc_id order by no) % 2 = 1 as odd from r),
-h as (select doc_id, no, length(regexp_extract(line, '^(#{1,6})\s', 1)) as level, regexp_extract(line, '^#{1,6}\s+(.*)$', 1) as heading from f where not is_fence and not odd and regexp_matches(line, '^#{1,6}\s'))
-select a.doc_id, lower(a.heading) as slug, a.heading, a.level::integer as level, a.no::integer as start_line, coalesce(min(b.no) - 1, 7)::integer as end_line
-from h a left join h b on a.doc_id = b.doc_id and b.no > a.no and b.level <= a.level group by all""")
+_HEADED = "html"
+for _n in range(1, 7):
+    _HEADED = f"regexp_replace({_HEADED}, '<h{_n}[^>]*>', chr(10) || '{'#' * _n} ', 'g')"
+_HEADED = f"regexp_replace(regexp_replace({_HEADED}, '<(?:script|style|pre)>', chr(10) || '```' || chr(10), 'g'), '</(?:h[1-6]|script|style|pre)>', chr(10), 'g')"
+
+
+@query(rf"""with t as (select page_id as doc_id, string_split(regexp_replace({_HEADED}, '<[^>]*>|&[a-z]+;', '', 'g'), chr(10)) as a from pages),
+r as (select doc_id, len(a) as n, unnest(range(1, len(a) + 1)) as no, unnest(a) as line from t),
+f as (select *, regexp_matches(line, '^\s{{0,3}}(```|~~~)') as is_fence, sum(regexp_matches(line, '^\s{{0,3}}(```|~~~)')::int) over (partition by doc_id order by no) % 2 = 1 as odd from r),
+h as (select doc_id, n, no, length(regexp_extract(line, '^(#{{1,6}})\s', 1)) as level, regexp_extract(line, '^#{{1,6}}\s+(.+?)\s*#*\s*$', 1) as heading from f where not is_fence and not odd and regexp_matches(line, '^#{{1,6}}\s+(.+?)\s*#*\s*$'))
+select a.doc_id, a.heading, a.level::integer as level, a.no::integer as start_line, coalesce(min(b.no) - 1, a.n)::integer as end_line
+from h a left join h b on a.doc_id = b.doc_id and b.no > a.no and b.level <= a.level group by a.doc_id, a.heading, a.level, a.no, a.n""")
 def markdown_sections(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("# Top\ntext\n```\n## inside\n```\n## Sub\n# End").alias("text"))
-    return chunks.sections(d)
+    body = F.col("html")
+    for n in range(1, 7):
+        body = F.regexp_replace(body, f"<h{n}[^>]*>", "\n" + "#" * n + " ")
+    body = F.regexp_replace(F.regexp_replace(body, "<(?:script|style|pre)>", "\n```\n"), "</(?:h[1-6]|script|style|pre)>", "\n")
+    d = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.regexp_replace(body, "<[^>]*>|&[a-z]+;", "").alias("text"))
+    return chunks.sections(d).select("doc_id", "heading", "level", "start_line", "end_line")
 
 
 @query()

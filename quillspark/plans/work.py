@@ -15,15 +15,15 @@ _STATE_SQL = "case kind " + " ".join(f"when '{k}' then '{v}'" for k, v in work.T
 def _states(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     kind = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in _KINDS.items()])
-    log = e.where("event_id % 2 = 0").select("event_id", "ts", F.col("user_id").alias("task"), F.when(kind.startswith("check"), F.lit("c1")).alias("check"), kind.alias("kind"))
-    tasks = spark.range(0, 200).select(F.col("id").alias("task"), F.array(F.lit("c1")).alias("checks"))
-    leases = spark.range(0, 40).select(F.concat(F.lit("l"), "id").alias("lease_id"), (F.col("id") * 5).alias("task"), F.lit("active").alias("status"), F.lit(1).alias("updated_at"), F.lit("a").alias("agent"))
+    log = e.select("event_id", "ts", F.col("user_id").alias("task"), F.when(kind.startswith("check"), F.lit("c1")).alias("check"), kind.alias("kind"))
+    tasks = e.select(F.col("user_id").alias("task"), F.array(F.lit("c1")).alias("checks")).distinct()
+    leases = tasks.where("task % 5 = 0").select(F.concat(F.lit("l"), "task").alias("lease_id"), "task", F.lit("active").alias("status"), F.lit(1).alias("updated_at"), F.lit("a").alias("agent"))
     return work.task_states(tasks, log, leases)
 
 
-_TASKS = f"""with l as (select user_id as task, {_KIND_SQL} as kind, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events where event_id % 2 = 0),
-s as (select t.range as task, t.range % 5 = 0 as leased, case when t.range % 5 = 0 and (kind is null or kind = 'claimed') then 'claimed' else coalesce({_STATE_SQL}, 'planned') end as status
-  from range(200) t left join (select * from l where n = 1) l on l.task = t.range)"""
+_TASKS = f"""with l as (select user_id as task, {_KIND_SQL} as kind, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events),
+s as (select l.task, l.task % 5 = 0 as leased, case when l.task % 5 = 0 and (kind is null or kind = 'claimed') then 'claimed' else coalesce({_STATE_SQL}, 'planned') end as status
+  from l where n = 1)"""
 
 
 @query(_TASKS + " select task, status, leased from s")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import globs, text
@@ -16,7 +17,7 @@ def discovered(spark: SparkSession, root: str, patterns: list[str], most_kb: int
     """Files under ``root`` that the globs admit: path, size, content. Larger
     ones than ``most_kb`` are left out; too many are an error."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + root.rstrip("/") + "/", "")
+    rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^\\Q" + root.rstrip("/") + "/\\E", "")
     rows = raw.select(rel.alias("path"), F.col("length").alias("size"), "content").where(globs.matches(F.col("path"), patterns) & (F.col("size") <= most_kb * 1024))
     if rows.select("path").limit(most_files + 1).count() > most_files:
         raise ValueError(f"over {most_files} files")
@@ -47,10 +48,13 @@ def commits(rows: DataFrame, line: str = "value") -> DataFrame:
     return rows.where(F.size(f) == 6).select(f[0].alias("short"), f[1].alias("hash"), f[2].try_cast("long").alias("committed_at"), f[3].alias("date"), f[4].alias("author"), f[5].alias("subject"))
 
 
-def file_history(rows: DataFrame, line: str = "value", most: int = 50) -> DataFrame:
-    """Lines of five fields, the last of which may hold tabs."""
+def file_history(rows: DataFrame, line: str = "value", path: str = "path", order: str = "ordinal", most: int = 5) -> DataFrame:
+    """The newest ``most`` commits of each file: lines of short hash, hash,
+    date, author and subject, parted by tabs; a subject may hold tabs.
+    ``order``: the place of a line in the file's log, newest first."""
     f = F.split(line, "\t", 5)
-    return rows.where(F.size(f) == 5).select(*[f[i].alias(n) for i, n in enumerate(("hash", "time", "author", "refs", "subject"))]).limit(most)
+    good = rows.where(F.size(f) == 5).withColumn("__n", F.row_number().over(W.partitionBy(path).orderBy(order))).where(F.col("__n") <= most)
+    return good.select(path, *[f[i].alias(n) for i, n in enumerate(("short", "hash", "date", "author", "subject"))])
 
 
 def sarif(rows: DataFrame, body: str) -> DataFrame:

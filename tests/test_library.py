@@ -3,6 +3,7 @@
 import json
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,7 +148,7 @@ def test_long_chains_are_no_cycles(spark):
 def test_rules(spark):
     context = rules.Context({
         "files": spark.createDataFrame([("a/x.py", "# head\ntry:\n    pass\nexcept:\n    pass"), ("compat/y.ts", "")], "path string, text string"),
-        "literals": spark.createDataFrame([("a/x.py", k, 1, "v", "same", "string") for k in range(3)] + [("a/x.py", 9, 1, "token", "q1w2e3", "string"), ("a/x.py", 9, 2, "u", "https://h/p", "string")], "file string, line int, column int, name string, value string, value_kind string"),
+        "literals": spark.createDataFrame([("a/x.py", k, 1, "v", "same", "string") for k in range(3)] + [("a/x.py", 9, 1, "token", "q1w2e3r4", "string"), ("a/x.py", 9, 2, "u", "https://h/p", "string")], "file string, line int, column int, name string, value string, value_kind string"),
         "symbols": spark.createDataFrame([("a/x.py", 1, 1, 10, "f", "function", True, ["a"]), ("a/x.py", 2, 1, 11, "E", "enum", True, [])], "file string, line int, column int, id long, name string, kind string, exported boolean, params array<string>"),
         "imports": spark.createDataFrame([("a/x.py", 1, "../../deep", "b/index.ts", ["S as T"])], "file string, line int, source string, resolved string, specifiers array<string>"),
         "comments": spark.createDataFrame([("a/x.py", 1, "noqa"), ("a/x.py", 2, "noqa reason: old thing"), ("a/x.py", 3, "@deprecated")], "file string, line int, text string"),
@@ -257,7 +258,7 @@ def test_query_against_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
 
     def rows(df):
-        cell = lambda x: f"{x:.9g}" if isinstance(x, float) and x == x else "null" if x is None or x != x or str(x) == "<NA>" else str(x)
+        cell = lambda x: "null" if x is None or x is pd.NA or x is pd.NaT or isinstance(x, float) and x != x else f"{x:.9g}" if isinstance(x, float) else str(x)
         return sorted(tuple(map(cell, r)) for r in df[sorted(df.columns)].astype(object).values.tolist())
 
     norm = lambda r: [tuple(c.removesuffix(".0") for c in x) for x in r]
