@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -78,3 +78,19 @@ def matches(path: Column, patterns: list[str]) -> Column:
         return F.lit(False)
     hit = reduce(lambda a, b: a | b, yes)
     return hit & ~reduce(lambda a, b: a | b, no) if no else hit
+
+
+def explained(files: DataFrame, path: str, patterns: list[str]) -> DataFrame:
+    """(path, pattern, negated, matched): a row for each file and pattern, the patterns being the program's own."""
+    each = [F.struct(F.lit(p).alias("pattern"), F.lit(p.startswith("!")).alias("negated"), F.col(path).rlike(regex_of(p)).alias("matched")) for p in patterns]
+    return files.select(path, F.inline(F.array(*each)))
+
+
+def in_every_scope(path: Column, scopes: list[list[str]]) -> Column:
+    """Whether a path fits every one of several groups of globs."""
+    return reduce(lambda a, b: a & b, [matches(path, s) for s in scopes], F.lit(True))
+
+
+def under(name: Column, path: str) -> Column:
+    """Whether a name belongs to a path: begins with ``path#``, taken literally."""
+    return name.startswith(path + "#")

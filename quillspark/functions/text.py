@@ -165,7 +165,8 @@ def fuzzy_score(query: str, *fields: Column) -> Column:
     needle = "".join(c for c in query.lower() if c.isascii() and c.isalnum())
     if not needle:
         return F.lit(1)
-    scattered = ".*".join(needle)
+    # Each letter's first place behind the one before; a regular expression that never goes back.
+    scattered = "^" + "".join(f"[^{c}]*{c}" for c in needle)
 
     def one(field: Column) -> Column:
         v = rank_slug(field)

@@ -253,3 +253,96 @@ def gates(found: DataFrame, approvals: DataFrame, key: list[str]) -> DataFrame:
     ok = approvals.select(*[F.col(k).alias(f"__{k}") for k in key]).distinct().withColumn("__ok", F.lit(True))
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key])
     return found.join(ok, on, "left").withColumn("approved", F.coalesce("__ok", F.lit(False))).drop("__ok", *[f"__{k}" for k in key])
+
+
+def selected(validators: DataFrame, ids: list[str] | None = None, topics: list[str] | None = None, conventions: list[str] | None = None) -> DataFrame:
+    """Validators (id, topics, conventions) named by id, by a topic or by a convention; all, if nothing is asked for."""
+    tests = []
+    if ids:
+        tests.append(F.col("id").isin(*ids))
+    for column, wanted in (("topics", topics), ("conventions", conventions)):
+        if wanted:
+            tests.append(F.arrays_overlap(F.col(column), F.array(*[F.lit(w) for w in wanted])))
+    return validators.where(reduce(lambda a, b: a | b, tests)) if tests else validators
+
+
+def widened(files: DataFrame, targets: DataFrame, analysis: list[str]) -> DataFrame:
+    """The target files (path) and all that the analysis globs fit."""
+    return targets.select("path").union(files.where(globs.matches(F.col("path"), analysis)).select("path")).distinct()
+
+
+def boundary_literals(least: int = 3, least_files: int = 1, ignore: tuple[str, ...] = ()) -> Rule:
+    """String values with a letter or digit that occur often in the targets."""
+
+    def rule(c: Context) -> DataFrame:
+        from .literals import ignored
+        from .rollups import repeated
+
+        rows = c.literals.where((F.col("value_kind") == "string") & F.col("value").rlike("[A-Za-z0-9]") & ~ignored(F.col("value"), list(ignore)))
+        agg = repeated(rows, ["value"], "file", ["file", "line", "column"], least, least_files)
+        return findings(agg.select("value", "n", "n_files", "first.*"), "boundary-literals", F.concat(F.lit("appears "), "n", F.lit(" times in "), "n_files", F.lit(" files")), "warning")
+
+    return rule
+
+
+def sensitive_changes(surfaces: dict[str, list[str]], require: dict[str, list[str]], need: str) -> Rule:
+    """For each surface that asks for ``need`` (approval, tests or docs) and
+    that changed files (table ``changed``: path) touch, a finding at the first of them."""
+
+    def rule(c: Context) -> DataFrame:
+        from .joins import glob_join
+
+        asking = {k: v for k, v in surfaces.items() if need in require.get(k, [])}
+        if not asking:
+            return findings(c.tables["changed"].where("false"), "sensitive-changes", F.lit(""), file="path")
+        first = glob_join(c.tables["changed"].select("path").distinct(), "path", asking, "surface").groupBy("surface").agg(F.min("path").alias("file"))
+        return findings(first.withColumn("line", F.lit(1)), "sensitive-changes", F.concat(F.lit("surface "), "surface", F.lit(f" requires {need}")))
+
+    return rule
+
+
+def folder_structure(root: str, allowed: list[str]) -> Rule:
+    """Folders right under ``root`` that aren't allowed."""
+    pattern = f"^\\Q{root.rstrip('/')}/\\E([^/]+)/"
+
+    def rule(c: Context) -> DataFrame:
+        rows = c.files.where(F.col("path").rlike(pattern)).withColumn("folder", F.regexp_extract("path", pattern, 1))
+        bad = rows.where(~F.col("folder").isin(*allowed)).groupBy("folder").agg(F.min("path").alias("path"))
+        return findings(bad, "folder-structure", F.concat(F.lit("folder not allowed: "), "folder"), file="path")
+
+    return rule
+
+
+def restricted_text(words: list[str]) -> Rule:
+    """Restricted names anywhere in a text, as whole words."""
+    pattern = r"\b(" + "|".join(rf"\Q{w}\E" for w in words) + r")\b"
+
+    def rule(c: Context) -> DataFrame:
+        lines = c.files.select(F.col("path").alias("file"), F.posexplode(F.split("text", "\n")).alias("n", "code")).where(F.col("code").rlike(pattern))
+        each = lines.select("file", (F.col("n") + 1).alias("line"), F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(pattern), F.lit(1)))).alias("name"))
+        return findings(each, "restricted-text", F.concat(F.lit("restricted: "), "name"))
+
+    return rule
+
+
+def malformed(found: DataFrame, rule_ids: list[str]) -> DataFrame:
+    """Findings with ``problems``: what is wrong with their shape; those without any are left out."""
+    tests = {
+        "unknown rule": ~F.coalesce(F.col("rule_id").isin(*rule_ids), F.lit(False)),
+        "invalid severity": ~F.coalesce(F.col("severity").isin("error", "warning"), F.lit(False)),
+        "missing file": F.coalesce(F.col("file"), F.lit("")) == "",
+        "invalid line": F.coalesce(F.col("line"), F.lit(0)) < 1,
+        "missing message": F.coalesce(F.col("message"), F.lit("")) == "",
+    }
+    problems = F.filter(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]), lambda x: x.isNotNull())
+    return found.withColumn("problems", problems).where(F.size("problems") > 0)
+
+
+def fixed_texts(files: DataFrame, edits: DataFrame, safety: tuple[str, ...] = ("safe",)) -> DataFrame:
+    """(path, text, n_edits) of the files that edits (file, start, end,
+    replacement, safety) change. Files with edits that overlap are left as they
+    are. Edits apply from the last to the first, so that offsets hold."""
+    wanted = overlapping_fixes(edits.where(F.col("safety").isin(*safety)))
+    lists = wanted.groupBy(F.col("file").alias("path")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "replacement")), asc=False).alias("edits"), F.max("overlaps").alias("bad")).where("not bad")
+    apply = lambda t, e: F.concat(F.substring(t, F.lit(1), e["start"]), e["replacement"], F.substring(t, e["end"] + 1, F.length(t)))
+    return files.join(lists, "path").select("path", F.aggregate("edits", F.col("text"), apply).alias("text"), F.size("edits").alias("n_edits"))
