@@ -193,13 +193,22 @@ def _best(rows: DataFrame, model: Model) -> list:
             raw, edges = textkit.buffers(batch.column(0))
             h, _, at = textkit.words_of(raw, edges, textkit.ALNUM)
             x = shared.value.word_scores(h)
-            # The 64 best suffice: all are judged against the same length.
-            found = [sorted((g[2] for g in segments(x[a:b])), reverse=True)[:64] for a, b in zip(at[:-1], at[1:])]
+            found = [[g[2] for g in segments(x[a:b])] for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.diff(at)), pa.array(found, pa.list_(pa.float64()))], names=["toxic", "n", "scores"])
 
     return rows.mapInArrow(scanned, "toxic int, n long, scores array<double>").collect()
 
 
+def _word_end(raw: np.ndarray, at: int, end: int) -> int:
+    """Where the word that begins at ``at`` ends, ``end`` at the latest."""
+    size = 64
+    while True:
+        stop = np.flatnonzero(~textkit.ALNUM[raw[at : min(end, at + size)]])
+        if len(stop) or at + size >= end:
+            return at + int(stop[0]) if len(stop) else end
+        size *= 8
+
+
 def score(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``df`` with score, predicted and the significant passages: byte offsets
     in the text's UTF-8, score and p-value. Columns of these names are replaced.
@@ -231,9 +240,8 @@ def score(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFra
                     evidence[i] = _evidence(p, m.settings.alpha)
                     for (u, w, v), q in zip(spans, p):
                         if q <= m.settings.alpha:
-                            last, end = int(starts[a + w - 1]), int(edges[i + 1])
-                            stop = np.flatnonzero(~textkit.ALNUM[raw[last : min(end, last + 4096)]])
-                            found[i].append({"start": int(starts[a + u] - edges[i]), "end": (last + int(stop[0]) if len(stop) else min(end, last + 4096)) - int(edges[i]), "score": v, "p_value": q})
+                            stop = _word_end(raw, int(starts[a + w - 1]), int(edges[i + 1]))
+                            found[i].append({"start": int(starts[a + u] - edges[i]), "end": stop - int(edges[i]), "score": v, "p_value": q})
                 values = m.score(evidence)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(values), pa.array((values >= 0.5).astype(np.int32)), pa.array(found, pa.list_(passage))], names=[*kept, *added])
 

@@ -35,14 +35,16 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 class Node:
     """A host label or a path segment. ``paths``: the root of the paths of a
-    host that ends here; ``heads``: rules whose last path piece starts here."""
+    host that ends here; ``heads``: rules whose last path piece starts here;
+    ``lengths``: the different lengths of these pieces."""
 
-    __slots__ = ("heads", "next", "paths")
+    __slots__ = ("heads", "lengths", "next", "paths")
 
     def __init__(self) -> None:
         self.next: dict[str, Node] = {}
         self.paths: Node | None = None
         self.heads: dict[str, tuple[int, str, str]] = {}
+        self.lengths: set[int] = set()
 
 
 def build_trie(rules: Iterable[Rule]) -> Node:
@@ -57,6 +59,7 @@ def build_trie(rules: Iterable[Rule]) -> Node:
         for segment in whole:
             node = node.next.setdefault(segment, Node())
         entry = (len(host) + len(path), host + path, verdict)
+        node.lengths.add(len(head))
         if head not in node.heads or verdict == "block":
             node.heads[head] = entry
     return root
@@ -77,7 +80,7 @@ def match(root: Node, host: str, path: str) -> tuple[int, str, str] | None:
             continue
         for segment in segments:
             # Heads are found by their lengths, not one by one.
-            for n in {len(h) for h in at.heads}:
+            for n in at.lengths:
                 e = at.heads.get(segment[:n]) if n <= len(segment) else None
                 if e and (best is None or (e[0], e[2] == "block") > (best[0], best[2] == "block")):
                     best = e
