@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .storage import cut
-from .substrings import without_spans
+from .substrings import among, met_twice, without_spans
 
 #: Most nodes of one side of a block.
 BLOCK = 512
@@ -281,6 +281,29 @@ def passages(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return of[new], x[new], x[new] + PART
 
 
+def shared_keys(table: DataFrame) -> DataFrame:
+    """(node, key) of the keys that several nodes have, and of a few others: a
+    bitmap of fixed size, made from 32 bits of each key, keeps most keys that
+    stand alone from being shuffled. Without it the result is the same."""
+    rows = table.select("nodes", "keys")
+
+    def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        lists = batch.column(1).flatten()
+        nodes = batch.column(0).flatten().fill_null(0).to_numpy(zero_copy_only=False)
+        return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(nodes, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+
+    partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    several = table.sparkSession.sparkContext.broadcast(met_twice(rows, lambda batches: map(flat, batches), 2 * partitions))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, nodes = flat(batch)
+            some = several.value.has(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(keys[some].view(np.int64))], names=["node", "key"])
+
+    return rows.mapInArrow(kept, "node long, key long")
+
+
 def stars(keys: DataFrame) -> DataFrame:
     """Edges (a, b) from each node of a key to the key's least node. ``keys``: key, node."""
     shared = keys.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("__last")).where("b < __last").drop("__last")
@@ -412,12 +435,12 @@ def near_duplicates(docs: DataFrame, units: Units, keys: Keys, ratio: Fraction)
     each = table.select("doc_id", "hash", F.posexplode(F.arrays_zip("sizes", "nodes")).alias("place", "unit"))
     each = each.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "place", "hash", F.col("unit.nodes").alias("node")).where("node is not null")
     classes = cut(each.groupBy("node").agg(F.min(F.struct("doc_id", "place", "hash")).alias("first"), F.count("node").alias("copies")), "classes")
-    pairs = table.select(F.explode(F.arrays_zip("nodes", "keys")).alias("unit")).select(F.col("unit.nodes").alias("node"), F.explode("unit.keys").alias("key"))
-    candidates = components(stars(pairs))
-    wanted = candidates.join(classes, "node").select(F.col("first.doc_id").alias("__id"), F.col("first.hash").alias("__hash"), F.struct(F.col("first.place").alias("place"), "node", "component", "copies").alias("w"))
-    wanted = wanted.groupBy("__id", "__hash").agg(F.collect_list("w").alias("wanted"))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("__id"), text_hash(F.col("text")).alias("__hash"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(wanted, ["__id", "__hash"]).select("text", "wanted")
+    candidates = components(stars(cut(shared_keys(table), "keys")))
+    wanted = candidates.join(classes, "node").select(F.col("first.doc_id").alias("doc"), F.col("first.hash").alias("version"), F.struct(F.col("first.place").alias("place"), "node", "component", "copies").alias("w"))
+    wanted = cut(wanted.groupBy("doc", "version").agg(F.collect_list("w").alias("wanted")), "wanted")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), text_hash(F.col("text")).alias("version"), F.col("text").cast("string").alias("text"))
+    # Only texts that candidates come from are shuffled.
+    texts = texts.where(among(wanted)).join(wanted, ["doc", "version"]).select("text", "wanted")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.slices(batches, 0):

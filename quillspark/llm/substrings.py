@@ -170,28 +170,27 @@ def _placed(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (high >> np.uint64(32)).astype(np.int64), (high & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def shared_hashes(docs: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], buckets: int) -> Bitmap:
-    """A bitmap of FILTER_BITS bits in which each hash that different texts
-    have sets the bit of its place in the hash range. ``hashes``: of a batch
-    of texts, places in it and their hashes. The bitmap's size doesn't depend
-    on the data, and each bucket makes its own stretch of it."""
+Hashed = Iterator[tuple[np.ndarray, np.ndarray]]
+
+
+def met_twice(rows: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Hashed], buckets: int) -> Bitmap:
+    """A bitmap of FILTER_BITS bits in which each hash that several owners
+    have sets the bit of its place in the hash range. ``hashes``: of a task's
+    batches, 64-bit hashes and their owners' numbers. The bitmap's size doesn't
+    depend on the data, and each bucket makes its own stretch of it."""
     width = -(-FILTER_BITS // buckets // 8) * 8
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, many, texts, seen = [], 0, 0, set()
+        waiting, many = [], 0
 
         def batch_of() -> pa.RecordBatch:
             rows = list(_dealt(np.concatenate([h for h, _ in waiting]), np.concatenate([t for _, t in waiting]), buckets))
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "places"])
 
-        for batch in textkit.slices(batches, 1):
-            new = [k for k, i in enumerate(batch.column(0).to_pylist()) if not (i in seen or seen.add(i))]
-            raw, edges = textkit.buffers(batch.column(1).take(pa.array(new, pa.int32())))
-            at, h = hashes(raw, edges)
+        for h, owners in hashes(batches):
             if len(h):
-                waiting.append((h, texts + np.searchsorted(edges, at, "right") - 1))
+                waiting.append((h, owners))
                 many += len(h)
-            texts += len(new)
             if many >= GATHER:
                 yield batch_of()
                 waiting, many = [], 0
@@ -206,12 +205,28 @@ def shared_hashes(docs: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], tu
         return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     out = np.zeros(width // 8 * buckets, np.uint8)
-    found = docs.select(F.unhex(F.sha2("text", 256)), "text").mapInArrow(gathered, "bucket int, places binary").groupBy("bucket").applyInPandas(met, "bucket int, bits binary")
+    found = rows.mapInArrow(gathered, "bucket int, places binary").groupBy("bucket").applyInPandas(met, "bucket int, bits binary")
     for r in found.toLocalIterator():
         out[width // 8 * r["bucket"] : width // 8 * (r["bucket"] + 1)] = np.frombuffer(r["bits"], np.uint8)
     return Bitmap(out, buckets)
 
 
+def shared_hashes(docs: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], buckets: int) -> Bitmap:
+    """Of the hashes that different texts have. ``hashes``: of a batch of
+    texts, places in it and their hashes."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Hashed:
+        texts, seen = 0, set()
+        for batch in textkit.slices(batches, 1):
+            new = [k for k, i in enumerate(batch.column(0).to_pylist()) if not (i in seen or seen.add(i))]
+            raw, edges = textkit.buffers(batch.column(1).take(pa.array(new, pa.int32())))
+            at, h = hashes(raw, edges)
+            yield h, texts + np.searchsorted(edges, at, "right") - 1
+            texts += len(new)
+
+    return met_twice(docs.select(F.unhex(F.sha2("text", 256)), "text"), each, buckets)
+
+
 def _stretches(docs: DataFrame, buckets: int) -> DataFrame:
     """Of texts (doc, text, version): the bytes that the windows of each
     shared anchor cover, the anchor's bucket, and where they start. Only
@@ -410,7 +425,7 @@ def _copies(docs: DataFrame) -> DataFrame:
     return rows.join(firsts, "sha").where("doc > first").select("doc", "version", "size")
 
 
-def _among(rows: DataFrame) -> Column:
+def among(rows: DataFrame) -> Column:
     """Whether a document is in ``rows`` (doc, version), by a bitmap of
     TOUCHED_BITS bits: true of all that are, and of few others. One row of 4 KB
     for each 32,768 bits comes to the driver."""
@@ -438,7 +453,7 @@ def without_spans(df: DataFrame, lost: DataFrame, more_of: dict[str, Column] | N
     more = [c for c in lost.columns if c not in ("doc", "version", "spans")]
     number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     own = list(more_of or {})
-    df = df.withColumns(more_of or {}).withColumn("maybe", _among(lost))
+    df = df.withColumns(more_of or {}).withColumn("maybe", among(lost))
     same = [F.col("doc").alias("doc_id"), number(F.octet_length("text")).alias("n_bytes"), number(F.lit(0)).alias("n_removed"), number(F.lit(0)).alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")]
     kept = df.where("not maybe").select(*same, *own, *[F.lit(None).cast(lost.schema[c].dataType).alias(c) for c in more])
     df = df.where("maybe").join(lost, ["doc", "version"], "left").select("doc", "text", "spans", *own, *more)
@@ -482,7 +497,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     of any length are read whole, PIECE windows at once.
     """
     copies = cut(_copies(docs), "copies")
-    df = _versioned(docs).withColumn("maybe", _among(copies))
+    df = _versioned(docs).withColumn("maybe", among(copies))
     doubtful = cut(df.where("maybe").join(copies, ["doc", "version"], "left_anti").select("doc", "text", "version"), "doubtful")
     df = df.where("not maybe").drop("maybe").union(doubtful)
     lost = cut(removed_spans(df.where("doc is not null and text is not null")), "lost")
