@@ -292,12 +292,16 @@ def shared_keys(table: DataFrame) -> DataFrame:
         nodes = batch.column(0).flatten().fill_null(0).to_numpy(zero_copy_only=False)
         return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(nodes, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                yield flat(batch.slice(k, 1000))
+
     partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    several = table.sparkSession.sparkContext.broadcast(met_twice(rows, lambda batches: map(flat, batches), 2 * partitions))
+    several = table.sparkSession.sparkContext.broadcast(met_twice(rows, parts, 2 * partitions))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, nodes = flat(batch)
+        for keys, nodes in parts(batches):
             some = several.value.has(keys)
             yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(keys[some].view(np.int64))], names=["node", "key"])
 

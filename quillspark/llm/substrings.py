@@ -44,7 +44,7 @@ HALF = (SPAN - GRAM) // 2
 #: Windows looked at at once; a power of two.
 PIECE = 1 << 16
 #: Anchors that a task gathers before it deals them to buckets.
-GATHER = 2_000_000
+GATHER = 500_000
 #: Size of the bitmaps of shared hashes, which are broadcast. A larger one lets
 #: fewer other stretches through; the result is the same with any.
 FILTER_BITS = 1 << 28

@@ -69,7 +69,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes of text that are worked on at once (a longer text alone may have more).
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
