@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 20
+#: Bytes whose temporary arrays (some 60 bytes for each) are held at once.
+SEGMENT = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -37,8 +38,11 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2^64."""
-    size = max(SEGMENT + 1, 1 << (n - 1).bit_length()) if n > 1 else SEGMENT + 1
+    """The first n powers, or more, of the hash base and of its inverse modulo
+    2^64. Those that a segment or a slice needs are kept, longer ones aren't."""
+    size = 2 * SEGMENT + 1
+    if n > size:
+        return _powers(BASE, n), _powers(BASE_INVERSE, n)
     if size not in _POWERS:
         _POWERS.clear()
         _POWERS[size] = _powers(BASE, size), _powers(BASE_INVERSE, size)
@@ -69,7 +73,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes of text that are worked on at once (a longer text alone may have more).
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
