@@ -101,17 +101,19 @@ def find_hits(index: Index, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int
                 yield n, start[hit], where
 
 
-def _mark(df: DataFrame, index: Index, kept: list[str], last: bool) -> DataFrame:
-    """``df`` (kept columns, text, spans and items so far) with what ``index`` adds."""
+def _mark(df: DataFrame, index: Index, kept: list[str], text: int, last: bool) -> DataFrame:
+    """``df`` (kept columns, the text behind them if its place ``text`` isn't
+    among them, spans and items so far) with what ``index`` adds."""
     shared = df.sparkSession.sparkContext.broadcast(index)
     schema = df.schema
+    spans_at = len(schema) - 2
     if last:
         schema = T.StructType([*[f for f in schema if f.name != "__text"], T.StructField("__n", T.LongType()), T.StructField("__hit", T.LongType())])
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
-        for batch in textkit.slices(batches, len(kept)):
-            raw, edges = textkit.buffers(batch.column(len(kept)))
+        for batch in textkit.slices(batches, text):
+            raw, edges = textkit.buffers(batch.column(text))
             h, _, at = textkit.words_of(raw, edges, textkit.ALNUM)
             step = np.zeros(len(h) + 1, np.int64)
             pairs = []
@@ -123,12 +125,12 @@ def _mark(df: DataFrame, index: Index, kept: list[str], last: bool) -> DataFrame
                 many = bounds[where + 1] - bounds[where]
                 k = np.repeat(bounds[where] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
                 pairs.append(np.column_stack([np.repeat(doc, many), owners[k]]))
-            items: list[list[str]] = [x or [] for x in batch.column(len(kept) + 2).to_pylist()]
+            items: list[list[str]] = [x or [] for x in batch.column(spans_at + 1).to_pylist()]
             if pairs:
                 for d, i in np.unique(np.concatenate(pairs), axis=0).tolist():
                     if i >= 0:
                         items[d].append(ix.items[i])
-            for d, old in enumerate(batch.column(len(kept) + 1).to_pylist()):
+            for d, old in enumerate(batch.column(spans_at).to_pylist()):
                 if old:
                     old = np.frombuffer(old, np.int64).reshape(-1, 2) + at[d]
                     np.add.at(step, old[:, 0], 1)
@@ -138,7 +140,7 @@ def _mark(df: DataFrame, index: Index, kept: list[str], last: bool) -> DataFrame
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 x = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]])))
                 spans.append(x.astype(np.int64).tobytes() if len(x) else None)
-            columns = [*batch.columns[: len(kept)], *([] if last else [batch.column(len(kept))]), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))]
+            columns = [*batch.columns[: len(kept) if last else spans_at], pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))]
             if last:
                 total = np.concatenate([[0], np.cumsum(hit)])
                 columns += [pa.array(np.diff(at)), pa.array((total[at[1:]] - total[at[:-1]]).astype(np.int64))]
@@ -156,13 +158,14 @@ def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None,
     repeated items count once; repeated documents are judged alike.
     """
     kept = [c for c in (["doc_id"] if keep is None else keep) if c not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
-    df = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("__text"), F.lit(None).cast("binary").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
+    df, text = textkit.with_text(docs, kept, text_col)
+    df = df.select("*", F.lit(None).cast("binary").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(-(-chars // INDEX_CHARS)) or 1
     for k in range(parts):
         part = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        df = _mark(df, build_index([(r["item_id"], r["text"]) for r in part.distinct().collect()]), kept, k == parts - 1)
+        df = _mark(df, build_index([(r["item_id"], r["text"]) for r in part.distinct().collect()]), kept, text, k == parts - 1)
         if k < parts - 1:
             df = cut(df, "decontamination")
     ids = F.array_sort(F.array_distinct("__items"))

@@ -219,12 +219,12 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> DataF
     """
     kept = [c for c in df.columns if c not in ("lang_pred", "score", "lang_rejected")]
     shared = df.sparkSession.sparkContext.broadcast(model)
-    base = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    base, text = textkit.with_text(df, kept, text_col)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in textkit.slices(batches, len(kept)):
-            raw, at = textkit.buffers(batch.column(len(kept)))
+        for batch in textkit.slices(batches, text):
+            raw, at = textkit.buffers(batch.column(text))
             n = batch.num_rows
             langs, scores, out = [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
             if m is not None:

@@ -11,6 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes whose temporary arrays (some 60 bytes for each) are held at once.
 SEGMENT = 1 << 18
@@ -76,6 +79,16 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 SLICE = 1 << 20
 
 
+def with_text(df: DataFrame, kept: list[str], text_col: str) -> tuple[DataFrame, int]:
+    """The columns ``kept`` of ``df`` and the place of the text among them; it
+    comes behind them, as ``__text``, only if it isn't one of them as a string.
+    So no text goes to a worker twice."""
+    columns = [F.col(f"`{c}`") for c in kept]
+    if text_col in kept and df.schema[text_col].dataType == T.StringType():
+        return df.select(*columns), kept.index(text_col)
+    return df.select(*columns, F.col(f"`{text_col}`").cast("string").alias("__text")), len(kept)
+
+
 def slices(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of rows with at most SLICE bytes in column k, or one row."""
     for batch in batches:
