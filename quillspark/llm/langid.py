@@ -10,6 +10,7 @@ and the rejection threshold is set so that it costs few right answers.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -169,9 +170,10 @@ def train(rows: Iterable[Counts], labels: np.ndarray, languages: list[str], s: S
 def fit(docs: DataFrame, s: Settings = Settings(), text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id") -> Model | None:
     """A model of the labelled rows of ``docs`` (null without any).
 
-    The sample is drawn by a hash of text and key, at a rate for each language
-    that follows from its count over all rows; only its subword counts come
-    to the driver.
+    The sample is drawn by a hash of key and language, at a rate for each
+    language that follows from its count over all rows. Its subword counts are
+    made where the texts are read; one task trains on them, which the size of
+    the sample bounds, and only the model comes to the driver.
     """
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(key_col, lang_col, F.lit(s.seed)).alias("h"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -182,8 +184,7 @@ def fit(docs: DataFrame, s: Settings = Settings(), text_col: str = "text", lang_
     rates = {r["lang"]: min(1.0, quota / r["count"]) for r in sizes}
     rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in rates.items()])
     unit = F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)
-    # The limit only guards the driver: the rates leave about half of it.
-    drawn = rows.where(unit < rate).select("h", "lang", "text").limit(2 * s.sample)
+    drawn = rows.where(unit < rate).select("h", "lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.slices(batches, 2):
@@ -195,13 +196,18 @@ def fit(docs: DataFrame, s: Settings = Settings(), text_col: str = "text", lang_
                 found.append(packed(k, c[k]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["h", "lang", "counts"])
 
-    got = drawn.mapInArrow(counted, "h long, lang string, counts binary").collect()
-    got.sort(key=lambda r: (r["h"], r["lang"]))
-    languages = sorted({r["lang"] for r in got})
-    if not got:
-        return None
-    index = {x: i for i, x in enumerate(languages)}
-    return train((unpacked(r["counts"]) for r in got), np.array([index[r["lang"]] for r in got]), languages, s)
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(row for batch in batches for row in zip(*(x.to_pylist() for x in batch.columns)))
+        if got:
+            languages = sorted({lang for _, lang, _ in got})
+            index = {x: i for i, x in enumerate(languages)}
+            model = train((unpacked(counts) for _, _, counts in got), np.array([index[lang] for _, lang, _ in got]), languages, s)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # The limit only guards the training task: the rates leave about half of it.
+    sample = drawn.mapInArrow(counted, "h long, lang string, counts binary").limit(2 * s.sample).repartition(1)
+    got = sample.mapInArrow(trained, "model binary").first()
+    return pickle.loads(got["model"]) if got else None
 
 
 def _has_letter(text: str) -> bool:
