@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, mixing, sharding, similarity, substrings, topk, toxicity, urlfilter
+from . import decontamination, langid, linededup, mixing, sharding, similarity, substrings, topk, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,10 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.paragraph_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def _url_sql() -> str:
     values = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
     return rf"""
@@ -172,6 +176,17 @@ select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(gone, 0)::bigint as
 from d left join t on t.r = d.r left join u on u.r = d.r
 """
 
+_LINES_SQL = """
+with d as (select row_number() over () as r, doc_id, coalesce(doc_id, -9223372036854775808) as id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+l as (select r, id, unnest(lines) as line, unnest(range(len(lines))) as i from d),
+k as (
+  select r, id, i, line, translate(trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+g as (select key, max(id) as last from k where length(key) >= 20 group by key having count(distinct r) >= 3),
+j as (select r, i, line, coalesce(id < last, false) as gone from k left join g using (key)),
+t as (select r, count(*)::bigint as n_lines, sum(gone::int)::bigint as n_dropped, coalesce(string_agg(line, chr(10) order by i) filter (not gone), '') as kept from j group by r)
+select doc_id, n_lines, n_dropped, sha256(kept) as kept_sha256 from d join t using (r)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_url_filters": op2_url_filters,
@@ -183,6 +198,7 @@ QUERIES: dict[str, Query] = {
     "op8_top_k": op8_top_k,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_paragraph_dedup": op10_paragraph_dedup,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -193,4 +209,5 @@ ORACLES: dict[str, str] = {
     "op7_sharding": _shard_sql(),
     "op8_top_k": _TOP_K_SQL,
     "op9_suffix_dedup": _SUBSTRING_SQL,
+    "op11_line_dedup": _LINES_SQL,
 }

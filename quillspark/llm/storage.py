@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a new local one only where the
-    session names none (single-machine tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where the session names none, a
+    new one is made and set, but only on a single machine; else it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -28,3 +30,32 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """A database of its own in the shared folder, for tables that are spent
+    before the result is read; ``close`` deletes their files."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.name = spark, f"{name}_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE DATABASE {self.name} LOCATION '{shared_folder(spark)}/{self.name}'")
+
+    def sorted_run(self, df: DataFrame, by: list[str]) -> str:
+        """``df`` written in buckets of the hash of ``by``, each sorted by it: joins
+        and groupings by these columns then need no shuffle. Returns the name."""
+        table = f"{self.name}.run_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(buckets, *by).sortBy(*by).format("parquet").saveAsTable(table)
+        return table
+
+    def parts(self, df: DataFrame, by: str) -> DataFrame:
+        """``df`` written with a folder for each value of ``by``."""
+        table = f"{self.name}.parts_{uuid.uuid4().hex}"
+        df.write.partitionBy(by).format("parquet").option("compression", "zstd").saveAsTable(table)
+        return self.spark.table(table)
+
+    def drop(self, table: str) -> None:
+        self.spark.sql(f"DROP TABLE {table}")
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP DATABASE {self.name} CASCADE")
