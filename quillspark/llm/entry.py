@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, linededup, mixing, sharding, similarity, substrings, topk, toxicity, urlfilter
+from . import clustering, decontamination, langid, linededup, mixing, sharding, similarity, substrings, topk, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +70,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(table(spark, sf_dir, "embeddings"))
+
+
 def _url_sql() -> str:
     values = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
     return rf"""
@@ -187,6 +191,30 @@ t as (select r, count(*)::bigint as n_lines, sum(gone::int)::bigint as n_dropped
 select doc_id, n_lines, n_dropped, sha256(kept) as kept_sha256 from d join t using (r)
 """
 
+
+
+def _cluster_sql(k: int = 40, rounds: int = 5) -> str:
+    near = lambda c: f"""(
+  select r, any_value(v) as v, any_value(vec_id) as vec_id, arg_min(c, (d, c)) as c, min(d) as d from (
+    select e.r, e.vec_id, e.v, k.c, list_sum(list_transform(list_zip(e.v, k.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::bigint as d from e, {c} k) group by r)"""
+    steps = [
+        f"k{n + 1} as (select k.c, coalesce(m.v, k.v) as v from k{n} k left join (select c, list(cast((s - ((s % n) + n) % n) / n as bigint) order by i) as v from ("
+        f"select c, i, sum(x)::bigint as s, count(*) as n from (select c, unnest(v) as x, unnest(range(64)) as i from {near(f'k{n}')}) group by c, i) group by c) m on m.c = k.c)"
+        for n in range(rounds)
+    ]
+    return f"""
+with e as (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+k0 as (select c, v from (select v, row_number() over (order by sha256('2:' || vec_id) nulls last, v) - 1 as c from e) where c < {k}),
+{", ".join(steps)},
+z as {near(f"k{rounds}")}
+select vec_id, z.c::integer as cluster, d as distance, (sum(d) over (partition by z.c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia,
+  sha256(array_to_string(k.v, ',')) as centroid_sha256
+from z join k{rounds} k on k.c = z.c
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_url_filters": op2_url_filters,
@@ -199,6 +227,7 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_paragraph_dedup": op10_paragraph_dedup,
     "op11_line_dedup": op11_line_dedup,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 ORACLES: dict[str, str] = {
@@ -210,4 +239,5 @@ ORACLES: dict[str, str] = {
     "op8_top_k": _TOP_K_SQL,
     "op9_suffix_dedup": _SUBSTRING_SQL,
     "op11_line_dedup": _LINES_SQL,
+    "op13_centroid_clustering": _cluster_sql(),
 }
