@@ -112,7 +112,7 @@ def lost_lines(docs: DataFrame, length: int, documents: int, batches: int = BATC
             runs.add(lines.where(F.col("batch") == b))
         # Rows of a very common line can be split here: both sides are shuffled by adaptive execution.
         repeated = cut(runs.repeated(), "line-repeats")
-        lost = lines.join(repeated, HASH).where("doc < last").groupBy("doc", "version").agg(F.sort_array(F.collect_set("line")).alias("lost"))
+        lost = lines.join(repeated.hint("merge"), HASH).where("doc < last").groupBy("doc", "version").agg(F.sort_array(F.collect_set("line")).alias("lost"))
         return cut(lost, "lost-lines")
     finally:
         scratch.close()
@@ -130,7 +130,7 @@ def deduplicated(docs: DataFrame, length: int = 20, documents: int = 3, batches:
     the empty text if it loses all lines; other columns play no part.
     """
     lost = lost_lines(docs.select("doc_id", "text"), length, documents, batches)
-    df = docs.select("doc_id", _id(), _version(), lines_of(F.col("text")).alias("lines")).join(lost, ["doc", "version"], "left")
+    df = docs.select("doc_id", _id(), _version(), lines_of(F.col("text")).alias("lines")).join(lost.hint("merge"), ["doc", "version"], "left")
     # What is kept are the slices between the lost lines.
     cuts = F.concat(F.array(F.lit(-1)), F.coalesce("lost", F.array().cast("array<int>")), F.array(F.size("lines")))
     gaps = F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts) - 1), lambda a, b: F.struct((a + 2).alias("at"), (b - a - 1).alias("many")))
