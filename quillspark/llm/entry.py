@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clustering, decontamination, langid, linededup, mixing, sharding, similarity, substrings, topk, toxicity, urlfilter
+from . import clustering, conversations, decontamination, langid, linededup, mixing, sharding, similarity, substrings, topk, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +70,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.clustered(table(spark, sf_dir, "embeddings"))
 
@@ -215,6 +219,64 @@ from z join k{rounds} k on k.c = z.c
 """
 
 
+def _repair_sql() -> str:
+    """Distances to the end and audits are carried backward over the symbols of
+    a conversation, as (cost, audit) for each of the four states."""
+    state = lambda k: f"acc.s{k}"
+    step = lambda cost, letter, s: f"{{'c': {cost} + {s}.c, 'a': '{letter}' || {s}.a}}"
+    fill, kept = (2, 2, 3, 2), {"s": (1, None, None, None), "u": (2, 2, None, 2), "a": (None, None, 3, None)}
+    never = "{'c': 1000000000, 'a': ''}"
+
+    def base(q: int) -> str:
+        extra = "case when x between 'A' and 'Z' then 3 else 0 end"
+        keep = " ".join(f"when lower(x) = '{i}' then {step(extra, 'K', state(to[q]))}" for i, to in kept.items() if to[q] is not None)
+        rerole = f"case when x = '-' then {never} else {step(f'3 + {extra}', 'R', state(fill[q]))} end"
+        return f"list_min([{step(4, 'D', state(q))}, {rerole}, case {keep} else {never} end])"
+
+    def inserted(b: str) -> str:
+        two, three = f"list_min([{b}.s2, {step(3, 'I', f'{b}.s3')}])", f"list_min([{b}.s3, {step(3, 'I', f'{b}.s2')}])"
+        return f"{{'s0': list_min([{b}.s0, {step(3, 'I', f'({two})')}]), 's1': list_min([{b}.s1, {step(3, 'I', f'({two})')}]), 's2': {two}, 's3': {three}}}"
+
+    bases = "{" + ", ".join(f"'s{q}': {base(q)}" for q in range(4)) + "}"
+    ends = f"{{'s0': {{'c': 0, 'a': ''}}, 's1': {never}, 's2': {never}, 's3': {{'c': 0, 'a': ''}}}}"
+    shift = "xor(z // 2, case when z % 2 = 1 then 3988292384 else 0 end)"
+    crc = f"xor(list_reduce(list_transform(string_split(k, ''), lambda t: ord(t)::bigint), lambda z0, t: list_reduce(range(8), lambda z, n: {shift}, xor(z0, t)), 4294967295::bigint), 4294967295)"
+    filled = "case when q in (0, 1, 3) then 2 else 3 end"
+    return rf"""
+with recursive r as (select *, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+f as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc} % 20 as fate from r),
+d as (
+  select conv_id, turn, case when fate = 4 then 'user' else role end as role, case fate when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+    unnest(range(case when fate = 3 then 2 else 1 end)) as copy from f where fate <> 0),
+n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as seq from d),
+o as (
+  select *, row_number() over (partition by conv_id, role, text order by seq) > 1 as again, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare from n),
+g as (
+  select *, left(role, 1) as initial, case when bare = '' then 'blank' when again then 'duplicate' when right(bare, 1) not in ('.', '!', '?') then 'truncated' else 'none' end as fault,
+    lag(left(role, 1)) over (partition by conv_id order by seq) as before from o),
+y as (select *, case when initial in ('s', 'u', 'a') then initial else 'o' end as good from g),
+h as (select *, case when fault in ('blank', 'duplicate') then '-' when fault = 'truncated' then upper(good) else good end as symbol from y),
+c as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (fault = 'blank')::bigint as blank, count(*) filter (fault = 'duplicate')::bigint as duplicate,
+    count(*) filter (fault = 'truncated')::bigint as truncated, count(*) filter (before || initial not in ('su', 'ua', 'au'))::bigint as illegal, list(symbol order by seq desc) as symbols
+  from h group by conv_id),
+b as (select *, list_reduce(symbols, lambda acc, x: list_transform([{bases}], lambda w: {inserted("w")})[1], {inserted(ends)}) as best from c),
+p as (select *, best.s0.c::bigint as cost, best.s0.a as audit from b),
+walk as (
+  select conv_id, audit, 1 as pos, 0 as seq, 0 as q, ''::varchar as done, ''::varchar as sep from p
+  union all
+  select w.conv_id, w.audit, w.pos + 1, w.seq + (w.letter <> 'I')::int,
+    case w.letter when 'D' then q when 'K' then (case h.initial when 's' then 1 when 'u' then 2 else 3 end) else {filled} end,
+    case w.letter when 'D' then done else done || sep || (case when w.letter = 'K' then h.role when {filled} = 2 then 'user' else 'assistant' end) || ':' || (case when w.letter = 'I' then '' else h.text end) end,
+    case when w.letter = 'D' then sep else chr(10) end
+  from (select *, substr(audit, pos, 1) as letter from walk where pos <= length(audit)) w left join h on h.conv_id is not distinct from w.conv_id and h.seq = w.seq + 1),
+z as (select conv_id, done from walk where pos = length(audit) + 1)
+select a.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(cost, 0) as cost, coalesce(audit, '') as audit, sha256(coalesce(done, '')) as repaired_sha256
+from (select distinct conv_id from conversations) a left join p on p.conv_id is not distinct from a.conv_id left join z on z.conv_id is not distinct from a.conv_id
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_url_filters": op2_url_filters,
@@ -227,6 +289,7 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_paragraph_dedup": op10_paragraph_dedup,
     "op11_line_dedup": op11_line_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 
@@ -239,5 +302,6 @@ ORACLES: dict[str, str] = {
     "op8_top_k": _TOP_K_SQL,
     "op9_suffix_dedup": _SUBSTRING_SQL,
     "op11_line_dedup": _LINES_SQL,
+    "op12_conversation_repair": _repair_sql(),
     "op13_centroid_clustering": _cluster_sql(),
 }
