@@ -438,7 +438,7 @@ def near_duplicates(docs: DataFrame, units: Units, keys: Keys, ratio: Fraction)
     table = described(docs, units, keys)
     each = table.select("doc_id", "hash", F.posexplode(F.arrays_zip("sizes", "nodes")).alias("place", "unit"))
     each = each.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "place", "hash", F.col("unit.nodes").alias("node")).where("node is not null")
-    classes = cut(each.groupBy("node").agg(F.min(F.struct("doc_id", "place", "hash")).alias("first"), F.count("node").alias("copies")), "classes")
+    classes = cut(each.groupBy("node").agg(F.min(F.struct("doc_id", "place", "hash")).alias("first"), F.min(F.when(F.col("doc_id") != _NO_ID, F.col("doc_id"))).alias("least"), F.count("node").alias("copies")), "classes")
     candidates = components(stars(cut(shared_keys(table), "keys")))
     wanted = candidates.join(classes, "node").select(F.col("first.doc_id").alias("doc"), F.col("first.hash").alias("version"), F.struct(F.col("first.place").alias("place"), "node", "component", "copies").alias("w"))
     wanted = cut(wanted.groupBy("doc", "version").agg(F.collect_list("w").alias("wanted")), "wanted")
@@ -465,11 +465,11 @@ def near_duplicates(docs: DataFrame, units: Units, keys: Keys, ratio: Fraction)
     joined = components(forest.where("node <> root").select(F.greatest("node", "root").alias("a"), F.least("node", "root").alias("b")))
     counts = forest.groupBy("node").agg(F.sum("links").alias("links"))
     known = classes.join(joined, "node", "left").join(counts, "node", "left")
-    known = known.select("node", "first", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    known = known.select("node", "first", "least", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     known = known.where("links > 0")
     known = cut(known, "known")
-    first = cut(known.groupBy("component").agg(F.min("first").alias("group_first")), "firsts")
-    return table, cut(known.join(first, "component").select("node", "component", "links", "group_first"), "groups")
+    first = cut(known.groupBy("component").agg(F.min("first").alias("group_first"), F.min("least").alias("group_least")), "firsts")
+    return table, cut(known.join(first, "component").select("node", "component", "links", "group_first", "group_least"), "groups")
 
 
 def jaccard_groups(docs: DataFrame, words: int, ratio: Fraction) -> DataFrame:
@@ -480,15 +480,13 @@ def jaccard_groups(docs: DataFrame, words: int, ratio: Fraction) -> DataFrame:
     similarity is at least ``ratio``; component_id is the least doc_id that
     links reach, n_links the number of documents linked with directly, copies
     included. Null, empty and wordless texts have an empty set and no links.
-    Repeated rows are copies of each other. A null doc_id stays null where it
-    is not linked with another.
+    Repeated rows are copies of each other. A null doc_id is linked as any
+    other, but component_id is null only where all that it reaches are null.
     """
     table, groups = near_duplicates(docs, Units(words), SizedParts(ratio), ratio)
     rows = table.select("doc_id", F.col("sizes")[0].cast("long").alias("n_shingles"), F.col("nodes")[0].alias("node"))
     df = rows.join(groups, "node", "left")
-    # The least id stands for null; a group's component is its least real id only if it has no null one.
-    least = F.when(F.col("group_first.doc_id") == _NO_ID, F.lit(None).cast("long")).otherwise(F.col("group_first.doc_id"))
-    return df.select("doc_id", "n_shingles", F.coalesce(least, "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    return df.select("doc_id", "n_shingles", F.coalesce("group_least", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def paragraph_groups(docs: DataFrame, words: int = 5, ratio: Fraction = Fraction(4, 5), least: int = 10) -> DataFrame:
