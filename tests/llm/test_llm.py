@@ -96,8 +96,8 @@ def brute_groups(rows, n, ratio):
                 links[b] += 1
     least = {}
     for a, (i, _) in enumerate(rows):
-        least[find(a)] = min(least.get(find(a), 1 << 60), i)
-    return sorted((i, len(sets[a]), least[find(a)], links[a]) for a, (i, _) in enumerate(rows))
+        least[find(a)] = min((x for x in (least.get(find(a)), i) if x is not None), default=None)
+    return sorted(((i, len(sets[a]), least[find(a)], links[a]) for a, (i, _) in enumerate(rows)), key=str)
 
 
 @pytest.mark.parametrize(("n", "ratio"), [(3, Fraction(9, 10)), (5, Fraction(4, 5))])
@@ -116,7 +116,7 @@ def test_jaccard_against_all_pairs(spark, n, ratio, monkeypatch):
             rows.append((len(rows) * 7 % 1009, " ".join(copy)))
     rows += [(2000, ""), (2001, None)]
     got = similarity.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), n, ratio)
-    assert sorted(map(tuple, got.collect())) == brute_groups(rows, n, ratio)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_groups(rows, n, ratio)
 
 
 def test_jaccard_edges(spark, odd_rows):
@@ -126,6 +126,10 @@ def test_jaccard_edges(spark, odd_rows):
     assert by[4, 0].component_id == 4 and by[5, 0].component_id == 5 and by[6, 0].n_links == 0
     assert by[8, 39_999].component_id == 7
     assert by[14, 1].component_id == 13 and by[13, 1].n_links == 1
+    assert sorted(map(tuple, got), key=str) == brute_groups([r[:2] for r in odd_rows], 3, Fraction(9, 10))
+    nulls = [(None, "a b c d"), (None, "a b c d"), (9, "e f g h"), (None, "e f g h"), (7, "e f g h"), (None, "alone"), (None, None)]
+    got = similarity.jaccard_groups(spark.createDataFrame(nulls, "doc_id long, text string"), 3, Fraction(9, 10)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_groups(nulls, 3, Fraction(9, 10))
     assert similarity.jaccard_groups(frame(spark, []), 3, Fraction(9, 10)).collect() == []
 
 
@@ -531,6 +535,52 @@ def test_mixing(spark, odd_rows):
     assert full.count() == sum(r.copies for r in odd)
 
 
+def brute_mixture(rows):
+    """Targets of sources by name, then documents one by one in the order of their keys."""
+    size = [len(words_of(t, r"[^\x20\x09-\x0D]+")) for _, t, _ in rows]
+    total = {}
+    for n, (_, _, s) in zip(size, rows):
+        total[s] = total.get(s, 0) + n
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    weight, open_, target = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}, set(order), {}
+    while open_:
+        level = (1.5 * sum(total.values()) - sum(target.values())) / sum(weight[s] for s in open_)
+        over = {s for s in open_ if weight[s] * level > 2 * total[s]}
+        target |= {s: 2.0 * total[s] for s in over} if over else {s: weight[s] * level for s in open_}
+        open_ = open_ - over if over else set()
+    out = []
+    for s in order:
+        keyed = []
+        for n, (i, t, mine) in zip(size, rows):
+            if mine == s:
+                h = int(hashlib.md5(":".join(["11", *([str(i)] if i is not None else []), *([t] if t is not None else [])]).encode()).hexdigest()[:13], 16)
+                keyed.append((-math.log((h + 0.5) / 2.0**52) / (1 if 3 <= len(t or "") / max(n, 1) <= 13 else 0.25), h, i if i is not None else -(1 << 63), n, i))
+        epochs = int(target[s] // total[s]) if total[s] else 0
+        rest, upto = target[s] - epochs * total[s], 0
+        for *_, n, i in sorted(keyed):
+            upto += n
+            copies = epochs + (rest > 0 and 2 * upto - n <= 2 * rest and n > 0)
+            out.append((i, n, total[s], round(target[s], 6), copies * n, copies))
+    return sorted(out, key=str)
+
+
+def test_mixing_of_repeated_rows(spark, odd_rows):
+    rng = random.Random(8)
+    rows = [(1, "w x y z", "a")] * 10 + [(2 + k, random_text(rng, 3), "b") for k in range(4)]
+    rows += [(100 + k % 7, random_text(random.Random(k % 7), 1 + k % 7), "c") for k in range(60)] + [(i, t, s) for i, t, _, s, *_ in odd_rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(*r[:3], round(r.target, 6), *r[4:]) for r in mixing.mixture(df).collect()]
+    assert sorted(got, key=str) == brute_mixture(rows)
+    full = mixing.mixed(df.withColumn("n", F.monotonically_increasing_id()))
+    assert full.count() == sum(r[5] for r in got)
+    want = {}
+    for i, *_, copies in got:
+        want[i] = want.get(i, 0) + copies
+    assert {r.doc_id: r["count"] for r in full.groupBy("doc_id").count().collect()} == {i: n for i, n in want.items() if n}
+    ten = mixing.mixture(spark.createDataFrame(rows[:10], df.schema)).agg(F.sum("taken")).first()[0]
+    assert ten == 60  # the whole target
+
+
 def test_sharding(spark, odd_rows):
     names = [f"s{k}" for k in range(7)]
     table = sharding.lookup_table(names, 1009)
