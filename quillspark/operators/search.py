@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
+from . import postings
 
 # Fixed values of the scoring rules.
 BOTH, VECTOR_ONLY, LEXICAL_ONLY = (0.7, 0.3), 0.95, 0.85
@@ -87,6 +88,20 @@ def bm25(df: DataFrame, query: str, k: int, id_col: str = "doc_id", body: str =
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("bm25"), id_col)))
 
 
+def lexical(index: postings.Index, query: str, k: int, id_col: str = "doc_id") -> DataFrame:
+    """What ``bm25`` returns, from a written index of words of ASCII letters and digits."""
+    wanted = [(t,) for t in query_tokens(query)]
+    best = postings.search(index, wanted, k, postings.smoothed_frequency).select(F.col("id").alias(id_col), F.col("score").alias("bm25"))
+    return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("bm25"), id_col)))
+
+
+def knowledge(index: postings.Index, query: str, limit: int) -> DataFrame:
+    """The best ``limit`` chunks (id, score) for any of the query's tokens as
+    prefixes, over all fields. The index splits words at ``_``, so a token with
+    one is a phrase whose last word is a prefix."""
+    return postings.search(index, postings.phrases(query_tokens(query), "[a-z0-9]+"), limit)
+
+
 def fuse(by_vector: DataFrame, by_words: DataFrame, limit: int, id_col: str, keep: Column | None = None) -> DataFrame:
     """Candidates of both searches in one order. ``by_vector``: id, vector;
     ``by_words``: id, rank. ``keep`` filters the lexical side after its limit."""
@@ -97,13 +112,15 @@ def fuse(by_vector: DataFrame, by_words: DataFrame, limit: int, id_col: str, kee
     return both.withColumn("combined", combined).orderBy(F.desc("combined"), id_col).limit(limit)
 
 
-def hybrid(chunks: DataFrame, vectors_: DataFrame, query: str, query_vector: list[float], limit: int, chunk_id: str = "doc_id", vec_id: str = "vec_id", allowed: Column | None = None, keep: Column | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame | postings.Index, vectors_: DataFrame, query: str, query_vector: list[float], limit: int, chunk_id: str = "doc_id", vec_id: str = "vec_id", allowed: Column | None = None, keep: Column | None = None) -> DataFrame:
     """id, vector, lexical and combined scores of the best ``limit`` chunks.
-    ``allowed`` restricts vectors before their limit, ``keep`` words after theirs."""
+    ``chunks``: a table, which is read whole, or its index. ``allowed`` restricts
+    vectors before their limit, ``keep`` words after theirs."""
     limit = clamp(limit)
     pool = vectors_ if allowed is None else vectors_.where(allowed)
     by_vector = top_k(pool, query_vector, VECTOR_OVERFETCH * limit, vec_id).select(F.col(vec_id).alias(chunk_id), F.col("score").alias("vector"))
-    by_words = bm25(chunks, query, LEXICAL_OVERFETCH * limit, chunk_id)
+    words = lexical if isinstance(chunks, postings.Index) else bm25
+    by_words = words(chunks, query, LEXICAL_OVERFETCH * limit, chunk_id)
     return fuse(by_vector, by_words, limit, chunk_id, keep)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from ..operators import search
+from ..operators import postings, search
 from .registry import query, table
 
 #: A fixed query vector and text.
@@ -105,7 +105,56 @@ lex as (select doc_id, bm25, row_number() over (order by bm25 desc, doc_id) as r
 
 @query("with " + _bm25_sql(20) + " select doc_id, round(bm25, 6) as bm25, rank::integer as rank from lex")
 def lexical_bm25(spark, sf_dir):
-    return search.bm25(table(spark, sf_dir, "documents"), WORDS, 20).withColumn("bm25", F.round("bm25", 6))
+    return search.lexical(text_index(spark, sf_dir), WORDS, 20).withColumn("bm25", F.round("bm25", 6))
+
+
+def text_index(spark, sf_dir):
+    """The words of all documents, shared by the queries that search them."""
+    docs = table(spark, sf_dir, "documents")
+    return postings.index_of("document words", docs, docs, "doc_id", ["text"], postings.ASCII)
+
+
+_CHUNK_FIELDS = ["path", "heading", "symbol", "language", "kind", "preview", "text"]
+_KNOWLEDGE = "en_an src7 that_with ing vi_le doc0 zzzz"
+
+
+def _knowledge_sql(limit: int) -> str:
+    wanted = postings.phrases(search.query_tokens(_KNOWLEDGE), "[a-z0-9]+")
+
+    def count(field: str, p: tuple[str, ...]) -> str:
+        if len(p) == 1:
+            return f"len(list_filter({field}, lambda x: starts_with(x, '{p[0]}')))"
+        at = " and ".join([*(f"{field}[k + {j}] = '{w}'" for j, w in enumerate(p[:-1])), f"starts_with({field}[k + {len(p) - 1}], '{p[-1]}')"])
+        return f"len(list_filter(range(1, len({field}) + {2 - len(p)}), lambda k: {at}))"
+
+    split = lambda c: rf"list_filter(regexp_split_to_array(strip_accents(lower(coalesce({c}, ''))), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+    words = ", ".join(f"{split(c)} as w{i}" for i, c in enumerate(_CHUNK_FIELDS))
+    length = " + ".join(f"len(w{i})" for i in range(len(_CHUNK_FIELDS)))
+    tf = ", ".join(f"({' + '.join(count(f'w{f}', p) for f in range(len(_CHUNK_FIELDS)))})::double as tf{i}" for i, p in enumerate(wanted))
+    df = ", ".join(f"sum((tf{i} > 0)::int)::double as df{i}" for i in range(len(wanted)))
+    term = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6::double) * tf{i} * 2.2::double / (tf{i} + 1.2::double * (0.25::double + 0.75::double * len / avg))" for i in range(len(wanted)))
+    some = " or ".join(f"tf{i} > 0" for i in range(len(wanted)))
+    return f"""
+with c as (
+  select doc_id, source || '/doc' || doc_id || '.txt' as path, split_part(coalesce(text, ''), chr(10), 1) as heading, split_part(coalesce(text, ''), ' ', 1) as symbol, lang as language, 'document' as kind,
+    left(coalesce(text, ''), 240) as preview, text from documents),
+w as (select doc_id, {words} from c),
+t as (select doc_id, ({length})::double as len, {tf} from w),
+s as (select count(*)::double as n, avg(len) as avg, {df} from t)
+select doc_id, round(score, 6) as score from (select doc_id, {term} as score from t, s where {some}) order by round(score, 6) desc, doc_id limit {limit}"""
+
+
+@query(_knowledge_sql(40))
+def knowledge_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    body = F.coalesce("text", F.lit(""))
+    chunks = docs.select(
+        "doc_id", F.concat("source", F.lit("/doc"), "doc_id", F.lit(".txt")).alias("path"), F.substring_index(body, "\n", 1).alias("heading"), F.substring_index(body, " ", 1).alias("symbol"), F.col("lang").alias("language"),
+        F.lit("document").alias("kind"), F.substring(body, 1, 240).alias("preview"), "text",
+    )
+    index = postings.index_of("knowledge chunks", docs, chunks, "doc_id", _CHUNK_FIELDS, postings.UNICODE)
+    found = search.knowledge(index, _KNOWLEDGE, 40)
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id")
 
 
 def _hybrid_sql(limit: int, where: str = "", keep: str = "") -> str:
@@ -123,12 +172,12 @@ def _rounded(df):
 
 @query(_hybrid_sql(10))
 def hybrid_search(spark, sf_dir):
-    return _rounded(search.hybrid(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), WORDS, PROBE, 10))
+    return _rounded(search.hybrid(text_index(spark, sf_dir), table(spark, sf_dir, "embeddings"), WORDS, PROBE, 10))
 
 
 @query(_hybrid_sql(10, "where label = 2", "where doc_id % 2 = 0"))
 def hybrid_post_limit_filter(spark, sf_dir):
-    return _rounded(search.hybrid(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), WORDS, PROBE, 10, allowed=F.col("label") == 2, keep=F.col("doc_id") % 2 == 0))
+    return _rounded(search.hybrid(text_index(spark, sf_dir), table(spark, sf_dir, "embeddings"), WORDS, PROBE, 10, allowed=F.col("label") == 2, keep=F.col("doc_id") % 2 == 0))
 
 
 @query(r"""
