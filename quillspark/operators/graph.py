@@ -43,6 +43,39 @@ def resolve(references: DataFrame, nodes: DataFrame, imports: DataFrame) -> Data
     return df.select("ref", F.coalesce("own", "via", "any").alias("target"), how.alias("how"))
 
 
+def resolve_all(references: DataFrame, nodes: DataFrame, imports: DataFrame) -> DataFrame:
+    """(ref, target, how) of references that may name the module they come from.
+
+    A Python reference with a source has the one exported node of its name in
+    the module, or for a whole module its only exported node, and nothing else
+    is tried. Others have the one node of the name in their file, else the one
+    target of the file's imports of that name, else the one of the project. A
+    named import leads to the exported nodes of that name, a default one to the
+    exported ``default`` or else the only exported node, others nowhere.
+
+    ``references``: ref, path, name, kind, language, source, source_path (the
+    module's file or null). ``nodes``: id, path, name, exported. ``imports``:
+    path, name, kind, target_path.
+    """
+    once = lambda df, by: df.groupBy(*by).agg(F.count("id").alias("n"), F.min("id").alias("id")).where("n = 1").drop("n")
+    offered = nodes.where("exported").select(F.col("path").alias("target_path"), "name", "id")
+    sole = once(offered, ["target_path"])
+    terminal = (F.col("language") == "python") & F.col("source").isNotNull()
+    sourced = references.where(terminal).withColumn("target_path", F.col("source_path"))
+    sourced = sourced.join(once(offered, ["target_path", "name"]).withColumnRenamed("id", "named"), ["target_path", "name"], "left").join(sole.withColumnRenamed("id", "sole"), "target_path", "left")
+    module = sourced.select("ref", F.coalesce("named", F.when(F.col("kind") == "import-module", F.col("sole"))).alias("target")).withColumn("how", F.when(F.col("target").isNotNull(), "module"))
+    default = offered.where("name = 'default'").select("target_path", "id")
+    default = default.union(sole.join(default.select("target_path").distinct(), "target_path", "left_anti").select("target_path", "id"))
+    named = imports.where("kind = 'import-named'").join(offered, ["target_path", "name"]).select("path", "name", "id")
+    whole = imports.where("kind = 'import-default'").join(default, "target_path").select("path", "name", "id")
+    via = once(named.union(whole), ["path", "name"]).withColumnRenamed("id", "via")
+    own = once(nodes, ["path", "name"]).withColumnRenamed("id", "own")
+    any_ = once(nodes, ["name"]).withColumnRenamed("id", "any")
+    rest = references.where(~F.coalesce(terminal, F.lit(False))).join(own, ["path", "name"], "left").join(via, ["path", "name"], "left").join(any_, "name", "left")
+    how = F.when(F.col("own").isNotNull(), "same-file").when(F.col("via").isNotNull(), "import").when(F.col("any").isNotNull(), "project")
+    return module.union(rest.select("ref", F.coalesce("own", "via", "any").alias("target"), how.alias("how")))
+
+
 def emitted(references: DataFrame, resolved: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges from the node around each resolved call or identifier to its
     target, without loops: the node of the same file that begins last before it."""
