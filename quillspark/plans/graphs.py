@@ -119,6 +119,18 @@ def dependency_cycles(spark, sf_dir):
     return graph.cycles(_customer_graph(spark, sf_dir))
 
 
+@query(f"""with recursive {_CYCLE}, r as (select source, target from e union select r.source, e.target from r join e on r.target = e.source),
+own as (select a.source as node, min(a.target) as cycle from r a join r b on b.source = a.target and b.target = a.source group by a.source),
+i as (select source, target, a.cycle from e join own a on a.node = source join own b on b.node = target and b.cycle = a.cycle),
+h(node, cycle, d) as (select distinct cycle, cycle, 0 from own union select i.source, h.cycle, h.d + 1 from h join i on i.target = h.node and i.cycle = h.cycle where h.d < 200),
+m as (select node, cycle, min(d) as d from h group by node, cycle),
+n as (select source, i.cycle, arg_min(target, d * 10000000 + target) as next from i join m on m.node = target and m.cycle = i.cycle group by source, i.cycle),
+w(cycle, position, node) as (select distinct cycle, 0::bigint, cycle from own union all select w.cycle, position + 1, next from w join n on n.source = w.node and n.cycle = w.cycle where next <> w.cycle)
+select cycle, position, node from w""")
+def cycle_paths(spark, sf_dir):
+    return graph.cycle_paths(_customer_graph(spark, sf_dir))
+
+
 @query(f"""with recursive {_CYCLE}, r(node, steps) as (select source, 0 from e where source % 50 = 1 union select e.target, r.steps + 1 from r join e on e.source = r.node where r.steps < 3)
 select node, min(steps)::integer as steps from r group by node""")
 def reach(spark, sf_dir):
