@@ -22,11 +22,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkit
-from .storage import cut
+from .storage import cut, spent
 from .substrings import among, met_twice, without_spans
 
-#: Most nodes of one side of a block.
-BLOCK = 512
+#: Most nodes of one side of a block, and shingles if these are of several nodes.
+BLOCK, SHINGLES = 512, 1 << 20
 _NO_ID = -(1 << 63)
 
 def signature(x: np.ndarray) -> int:
@@ -298,7 +298,8 @@ def shared_keys(table: DataFrame) -> DataFrame:
                 yield flat(batch.slice(k, 1000))
 
     partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    several = table.sparkSession.sparkContext.broadcast(met_twice(rows, parts, 2 * partitions))
+    expected = table.agg(F.sum(F.aggregate("keys", F.lit(0).cast("long"), lambda n, k: n + F.size(k)))).first()[0] or 0
+    several = table.sparkSession.sparkContext.broadcast(met_twice(rows, parts, 2 * partitions, expected))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, nodes in parts(batches):
@@ -324,9 +325,10 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select("b", "a"))
         least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = cut(both.where("b > a").join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")), "large")
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        last = cut(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = large.join(last, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        old, now = now, cut(small.union(last.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        spent(old, least, large, last)
         state = now.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -395,20 +397,24 @@ def _linked(part: pd.DataFrame, ratio: Fraction) -> tuple[np.ndarray, np.ndarray
 def links(nodes: DataFrame, ratio: Fraction) -> DataFrame:
     """(node, root, links) of each block of ``nodes`` (node, component, copies, size, shingles).
 
-    Components of up to BLOCK nodes share blocks. Larger ones are dealt by
-    size band, as similar sets are in the same band or neighbours, and by hash
-    inside a band; each pair of such blocks that can hold links is a block.
+    Components of up to BLOCK nodes and SHINGLES shingles share blocks. Larger
+    ones are dealt by size band, as similar sets are in the same band or
+    neighbours, and by hash inside a band; each pair of such blocks that can
+    hold links is a block. So a task holds a bounded number of shingles unless
+    single sets are larger.
     """
     nodes = nodes.withColumn("band", F.floor(F.log("size") / -np.log(float(ratio)) + 1e-9).cast("int"))
-    sizes = nodes.select("component", "band").groupBy("component", "band").agg(F.count("band").alias("many"))
-    total = F.sum("many").over(W.partitionBy("component"))
+    sizes = nodes.groupBy("component", "band").agg(F.count("band").alias("many"), F.sum(F.col("size").cast("long")).alias("mass"))
+    total, mass = (F.sum(c).over(W.partitionBy("component")) for c in ("many", "mass"))
     per = W.partitionBy("component").orderBy("band")
     near = lambda f, d: F.when(f("band").over(per) == F.col("band") + d, f("parts").over(per)).otherwise(0)
-    sizes = sizes.withColumn("total", total).withColumn("parts", F.ceil(F.col("many") / BLOCK).cast("int"))
+    parts = F.ceil(F.greatest(F.col("many") / BLOCK, F.least(F.col("mass") / SHINGLES, F.col("many")))).cast("int")
+    sizes = sizes.withColumn("small", (total <= BLOCK) & (mass <= SHINGLES)).withColumn("parts", parts)
     sizes = cut(sizes.withColumn("after", near(F.lead, 1)).withColumn("before", near(F.lag, -1)), "block-sizes")
-    small = sizes.where(F.col("total") <= BLOCK).agg(F.sum("many")).first()[0] or 0
-    packs = max(1, -(-int(small) // BLOCK))
-    df = nodes.join(sizes.select("component", "band", "total", "parts", "before", "after"), ["component", "band"])
+    few, light = sizes.where("small").agg(F.sum("many"), F.sum("mass")).first()
+    packs = max(1, -(-int(few or 0) // BLOCK), -(-int(light or 0) // SHINGLES))
+    # A merge join at every size, so that one plan's figures hold for all.
+    df = nodes.join(sizes.select("component", "band", "small", "parts", "before", "after").hint("merge"), ["component", "band"])
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     cell = lambda i, j, k, l, side: F.struct(F.concat_ws("/", F.col("component"), i, j, k, l).alias("cell"), side.alias("side"))
@@ -417,7 +423,7 @@ def links(nodes: DataFrame, ratio: Fraction) -> DataFrame:
     above = F.transform(upto(F.col("after")), lambda x: cell(band, me, band + 1, x, F.lit(0)))
     below = F.transform(upto(F.col("before")), lambda x: cell(band - 1, x, band, me, F.lit(1)))
     packed = F.array(F.struct(F.concat(F.lit("p"), F.pmod(F.xxhash64("component"), F.lit(packs))).alias("cell"), F.lit(0).alias("side")))
-    df = df.withColumn("mine", mine).withColumn("at", F.explode(F.when(F.col("total") <= BLOCK, packed).otherwise(F.concat(within, above, below))))
+    df = df.withColumn("mine", mine).withColumn("at", F.explode(F.when(F.col("small"), packed).otherwise(F.concat(within, above, below))))
     df = df.select("at.cell", "at.side", "node", "component", "copies", "shingles")
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -439,12 +445,15 @@ def near_duplicates(docs: DataFrame, units: Units, keys: Keys, ratio: Fraction)
     each = table.select("doc_id", "hash", F.posexplode(F.arrays_zip("sizes", "nodes")).alias("place", "unit"))
     each = each.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "place", "hash", F.col("unit.nodes").alias("node")).where("node is not null")
     classes = cut(each.groupBy("node").agg(F.min(F.struct("doc_id", "place", "hash")).alias("first"), F.min(F.when(F.col("doc_id") != _NO_ID, F.col("doc_id"))).alias("least"), F.count("node").alias("copies")), "classes")
-    candidates = components(stars(cut(shared_keys(table), "keys")))
+    shared = cut(shared_keys(table), "keys")
+    candidates = components(stars(shared))
+    whole, table = table, cut(table.drop("keys"), "units")
+    spent(whole, shared)
     wanted = candidates.join(classes, "node").select(F.col("first.doc_id").alias("doc"), F.col("first.hash").alias("version"), F.struct(F.col("first.place").alias("place"), "node", "component", "copies").alias("w"))
     wanted = cut(wanted.groupBy("doc", "version").agg(F.collect_list("w").alias("wanted")), "wanted")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), text_hash(F.col("text")).alias("version"), F.col("text").cast("string").alias("text"))
     # Only texts that candidates come from are shuffled.
-    texts = texts.where(among(wanted)).join(wanted, ["doc", "version"]).select("text", "wanted")
+    texts = texts.where(among(wanted)).join(wanted.hint("merge"), ["doc", "version"]).select("text", "wanted")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.slices(batches, 0):
@@ -461,7 +470,9 @@ def near_duplicates(docs: DataFrame, units: Units, keys: Keys, ratio: Fraction)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["node", "component", "copies", "size", "shingles"])
 
     found = texts.mapInArrow(shingles, "node long, component long, copies long, size int, shingles binary")
-    forest = cut(links(cut(found, "shingles"), ratio), "links")
+    sets = cut(found, "shingles")
+    forest = cut(links(sets, ratio), "links")
+    spent(sets, wanted)
     joined = components(forest.where("node <> root").select(F.greatest("node", "root").alias("a"), F.least("node", "root").alias("b")))
     counts = forest.groupBy("node").agg(F.sum("links").alias("links"))
     known = classes.join(joined, "node", "left").join(counts, "node", "left")
@@ -469,7 +480,9 @@ def near_duplicates(docs: DataFrame, units: Units, keys: Keys, ratio: Fraction)
     known = known.where("links > 0")
     known = cut(known, "known")
     first = cut(known.groupBy("component").agg(F.min("first").alias("group_first"), F.min("least").alias("group_least")), "firsts")
-    return table, cut(known.join(first, "component").select("node", "component", "links", "group_first", "group_least"), "groups")
+    groups = cut(known.join(first, "component").select("node", "component", "links", "group_first", "group_least"), "groups")
+    spent(known, first, forest, classes)
+    return table, groups
 
 
 def jaccard_groups(docs: DataFrame, words: int, ratio: Fraction) -> DataFrame:

@@ -32,6 +32,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spent(*tables: DataFrame) -> None:
+    """Delete the files of written cut points that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        top = shared_folder(spark).split(":", 1)[-1].lstrip("/")
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if folder.split(":", 1)[-1].lstrip("/").startswith(top + "/"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """A database of its own in the shared folder, for tables that are spent
     before the result is read; ``close`` deletes their files."""

@@ -48,6 +48,9 @@ GATHER = 500_000
 #: Size of the bitmaps of shared hashes, which are broadcast. A larger one lets
 #: fewer other stretches through; the result is the same with any.
 FILTER_BITS = 1 << 28
+#: Hashes of a bucket in which repeats are looked for; and hashes for each bit
+#: from which on a bitmap would be full, so that none is made.
+PLACES, CROWDED = 1 << 24, 16
 #: Size of the bitmap of documents that may lose bytes, likewise.
 TOUCHED_BITS = 1 << 23
 #: Stretches of a bucket, on average, and the most of an anchor that goes to one.
@@ -173,11 +176,16 @@ def _placed(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 Hashed = Iterator[tuple[np.ndarray, np.ndarray]]
 
 
-def met_twice(rows: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Hashed], buckets: int) -> Bitmap:
+def met_twice(rows: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Hashed], buckets: int, expected: int) -> Bitmap:
     """A bitmap of FILTER_BITS bits in which each hash that several owners
     have sets the bit of its place in the hash range. ``hashes``: of a task's
-    batches, 64-bit hashes and their owners' numbers. The bitmap's size doesn't
-    depend on the data, and each bucket makes its own stretch of it."""
+    batches, 64-bit hashes and their owners' numbers, some ``expected`` in all.
+    The bitmap's size doesn't depend on the data, and each bucket makes its
+    own stretch of it; there are as many as keep each at PLACES hashes, and
+    ``buckets`` at least. Where the bitmap would be full, all bits are set."""
+    if expected > CROWDED * FILTER_BITS:
+        return Bitmap(np.full(1, 255, np.uint8), 1)
+    buckets = max(buckets, -(-expected // PLACES))
     width = -(-FILTER_BITS // buckets // 8) * 8
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,9 +219,9 @@ def met_twice(rows: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Hash
     return Bitmap(out, buckets)
 
 
-def shared_hashes(docs: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], buckets: int) -> Bitmap:
+def shared_hashes(docs: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], buckets: int, expected: int) -> Bitmap:
     """Of the hashes that different texts have. ``hashes``: of a batch of
-    texts, places in it and their hashes."""
+    texts, places in it and their hashes, some ``expected`` in all."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Hashed:
         texts, seen = 0, set()
@@ -224,7 +232,7 @@ def shared_hashes(docs: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], tu
             yield h, texts + np.searchsorted(edges, at, "right") - 1
             texts += len(new)
 
-    return met_twice(docs.select(F.unhex(F.sha2("text", 256)), "text"), each, buckets)
+    return met_twice(docs.select(F.unhex(F.sha2("text", 256)), "text"), each, buckets, expected)
 
 
 def _stretches(docs: DataFrame, buckets: int) -> DataFrame:
@@ -232,13 +240,15 @@ def _stretches(docs: DataFrame, buckets: int) -> DataFrame:
     shared anchor cover, the anchor's bucket, and where they start. Only
     windows with shared bytes before or behind the anchor count."""
     sc = docs.sparkSession.sparkContext
-    anchors = sc.broadcast(shared_hashes(docs, _all_anchors, buckets))
+    # A window of SPAN bytes picks one of its grams, so about one gram in 16 is an anchor.
+    expected = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 12
+    anchors = sc.broadcast(shared_hashes(docs, _all_anchors, buckets, expected))
 
     def sides(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first, _, _, _, left, right, before, behind = _sides(raw, edges, anchors.value)
         return np.concatenate([first[before], first[behind]]), np.concatenate([left[before], right[behind]])
 
-    around = sc.broadcast(shared_hashes(docs, sides, buckets))
+    around = sc.broadcast(shared_hashes(docs, sides, buckets, 2 * expected))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.slices(batches, 1):
