@@ -10,7 +10,7 @@ the document's evidence gives the score.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit
+from .storage import cut, spent
 
 
 @dataclass(frozen=True)
@@ -156,15 +157,18 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model |
     scores = np.array([r["odds"] for r in got]) - s.drift
     clean = np.array([r["clean"] for r in got])
     model = Model(vocabulary, scores, 1.0, _decay(scores, clean, s.drift), np.zeros(3), s)
-    found = _best(rows.where("back").select("text", "toxic"), model)
+    held = cut(rows.where("back").select("text", "toxic"), "toxicity-held-back")
+    found = _measured(held, model, lambda x, n: (max((g[2] for g in segments(x)), default=0.0), 0.0))
     if not found:
         return None
-    n, best, toxic = (np.array(x, float) for x in zip(*[(r["n"], max(r["scores"], default=0.0), r["toxic"]) for r in found]))
+    n, best, _, toxic = (np.array(x, float) for x in zip(*found))
     ok = toxic == 0
     tail = float((n[ok] * np.exp(-model.decay * best[ok])).sum())
     model.scale = max(1.0, float((best[ok] > 0).sum())) / max(tail, 1.0)
-    evidence = np.array([_evidence([model.p_value(x, r["n"]) for x in r["scores"]], s.alpha) for r in found])
+    found = _measured(held, model, lambda x, n: _evidence([model.p_value(g[2], n) for g in segments(x)], s.alpha))
+    evidence, toxic = np.array([r[1:3] for r in found]), np.array([r[3] for r in found], float)
     model.curve = _logistic(evidence, toxic, np.where(toxic == 1, 1 / rates[1], 1 / rates[0]))
+    spent(held)
     return model
 
 
@@ -184,19 +188,19 @@ def _decay(scores: np.ndarray, clean: np.ndarray, drift: float) -> float:
     return max(lo, 1e-2)
 
 
-def _best(rows: DataFrame, model: Model) -> list:
-    """Number of words and segment scores of each row."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def _measured(rows: DataFrame, model: Model, measure: Callable[[np.ndarray, int], tuple[float, float]]) -> list:
+    """Number of words, two measures of the word scores, and the label of each
+    row: four numbers for each text of the sample, however long it is."""
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.slices(batches, 0):
             raw, edges = textkit.buffers(batch.column(0))
             h, _, at = textkit.words_of(raw, edges, textkit.ALNUM)
-            x = shared.value.word_scores(h)
-            found = [[g[2] for g in segments(x[a:b])] for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.diff(at)), pa.array(found, pa.list_(pa.float64()))], names=["toxic", "n", "scores"])
+            x = model.word_scores(h)
+            found = [measure(x[a:b], int(b - a)) for a, b in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.diff(at)), *(pa.array([float(f[k]) for f in found], pa.float64()) for k in (0, 1)), batch.column(1)], names=["n", "one", "two", "toxic"])
 
-    return rows.mapInArrow(scanned, "toxic int, n long, scores array<double>").collect()
+    return sorted(map(tuple, rows.mapInArrow(scanned, "n long, one double, two double, toxic int").collect()))
 
 
 def _word_end(raw: np.ndarray, at: int, end: int) -> int:
