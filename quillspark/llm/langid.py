@@ -3,9 +3,12 @@
 A text is the average of the embeddings of its subwords (byte n-grams inside
 words, hashed into a fixed table); a linear softmax on it gives the language.
 Embeddings and softmax are trained together by stochastic gradient descent in
-numpy, on subword counts of a bounded sample of labelled rows. On a part of
-the sample that the training doesn't see, the softmax gets its temperature,
-and the rejection threshold is set so that it costs few right answers.
+numpy, on subword counts of a bounded sample of labelled rows. One class more
+stands for no language: it is learnt from texts of the sample whose letters
+are shuffled or drawn at random, and takes its share of the probability. On a
+part of the sample that the training doesn't see, the softmax gets its
+temperature, and the rejection threshold is set so that it costs few right
+answers.
 """
 
 from __future__ import annotations
@@ -52,6 +55,8 @@ class Settings:
 
 @dataclass
 class Model:
+    """The last column of ``weights`` and ``bias`` is that of no language."""
+
     languages: list[str]
     table: np.ndarray
     weights: np.ndarray
@@ -102,6 +107,22 @@ def subword_counts(raw: np.ndarray, s: Settings) -> np.ndarray:
     return counts
 
 
+#: Letters from which on a text has a scrambled copy in the sample.
+SCRAMBLED = 40
+
+
+def scrambled(text: str, seed: int) -> np.ndarray | None:
+    """Bytes of the text with its letters shuffled, or (odd seeds) drawn at
+    random from a to z; blanks and marks stay. None for a text of few letters."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).copy()
+    letter = np.flatnonzero(((codes | 0x20) - 0x61 < 26) | (codes >= 0x80))
+    if len(letter) < SCRAMBLED:
+        return None
+    rng = np.random.default_rng(seed & (1 << 63) - 1)
+    codes[letter] = rng.integers(0x61, 0x7B, len(letter)) if seed & 1 else rng.permutation(codes[letter])
+    return np.frombuffer(codes.tobytes().decode("utf-32-le").encode(), np.uint8)
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     z = np.exp(z - z.max(1, keepdims=True))
     return z / z.sum(1, keepdims=True)
@@ -122,15 +143,16 @@ def unpacked(data: bytes) -> Counts:
 
 
 def train(rows: Iterable[Counts], labels: np.ndarray, languages: list[str], s: Settings) -> Model:
-    """Fit on subword counts (buckets and counts of each row); ``labels`` are indices of ``languages``."""
+    """Fit on subword counts (buckets and counts of each row); ``labels`` are
+    indices of ``languages``, or their number for a text of no language."""
     rng = np.random.default_rng(s.seed)
     shares = [(k, (c / max(1, c.sum())).astype(np.float32)) for k, c in rows]
     order = rng.permutation(len(shares))
     back = order[: max(int(len(shares) * s.held_back), len(shares) - s.fitted)]
     fit = order[len(back) :]
     table = rng.normal(0, 0.1, (s.buckets, s.width)).astype(np.float32)
-    weights = rng.normal(0, 0.1, (s.width, len(languages))).astype(np.float32)
-    bias = np.zeros(len(languages), np.float32)
+    weights = rng.normal(0, 0.1, (s.width, len(languages) + 1)).astype(np.float32)
+    bias = np.zeros(len(languages) + 1, np.float32)
     each = max(1, -(-len(fit) // s.batch))
     epochs = max(s.epochs, -(-s.least_steps // each))
     steps, done = epochs * each, 0
@@ -160,10 +182,12 @@ def train(rows: Iterable[Counts], labels: np.ndarray, languages: list[str], s: S
         grid = np.geomspace(0.25, 8, 41)
         model.temperature = float(grid[np.argmin([-np.log(np.maximum(_softmax(z / t)[at, labels[back]], 1e-12)).mean() for t in grid])])
         p = _softmax(z / model.temperature)
-        right = np.sort(p.max(1)[p.argmax(1) == labels[back]])
+        right = np.sort(p.max(1)[(p.argmax(1) == labels[back]) & (labels[back] < len(languages))])
+        junk = np.sort(p[:, :-1].max(1)[labels[back] == len(languages)])
         if len(right):
-            # An answer likelier than all others together is never rejected.
-            model.threshold = float(min(0.5, right[int(len(right) * s.lost)]))
+            # Between what nearly all junk stays below and what nearly all right answers reach.
+            low, high = junk[int(len(junk) * 0.99)] if len(junk) else 0.25, right[int(len(right) * s.lost)]
+            model.threshold = float(min(0.5, np.sqrt(low * high) if low < high else high))
     return model
 
 
@@ -177,6 +201,7 @@ def fit(docs: DataFrame, s: Settings = Settings(), text_col: str = "text", lang_
     """
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(key_col, lang_col, F.lit(s.seed)).alias("h"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    # Of the languages only the most frequent are learnt; what is written in others is for rejection.
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.languages).collect()
     if not sizes:
         return None
@@ -189,23 +214,29 @@ def fit(docs: DataFrame, s: Settings = Settings(), text_col: str = "text", lang_
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.slices(batches, 2):
             raw, at = textkit.buffers(batch.column(2))
-            found = []
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                c = subword_counts(raw[a:b], s)
-                k = np.flatnonzero(c)
-                found.append(packed(k, c[k]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["h", "lang", "counts"])
+            found, of = [], []
+            for k, (h, a, b) in enumerate(zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist())):
+                junk = scrambled(raw[a:b].tobytes().decode("utf-8", "replace"), h >> 8) if (h >> 32) % len(rates) == 0 else None
+                for real, x in ((True, raw[a:b]), (False, junk)):
+                    if x is not None:
+                        c = subword_counts(x, s)
+                        some = np.flatnonzero(c)
+                        found.append(packed(some, c[some]))
+                        of.append((k, real))
+            at, real = pa.array([k for k, _ in of], pa.int32()), pa.array([r for _, r in of], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), real, batch.column(1).take(at), pa.array(found, pa.binary())], names=["h", "real", "lang", "counts"])
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted(row for batch in batches for row in zip(*(x.to_pylist() for x in batch.columns)))
         if got:
-            languages = sorted({lang for _, lang, _ in got})
+            languages = sorted({lang for _, _, lang, _ in got})
             index = {x: i for i, x in enumerate(languages)}
-            model = train((unpacked(counts) for _, _, counts in got), np.array([index[lang] for _, lang, _ in got]), languages, s)
+            labels = np.array([index[lang] if real else len(languages) for _, real, lang, _ in got])
+            model = train((unpacked(counts) for *_, counts in got), labels, languages, s)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    # The limit only guards the training task: the rates leave about half of it.
-    sample = drawn.mapInArrow(counted, "h long, lang string, counts binary").limit(2 * s.sample).repartition(1)
+    # The limit only guards the training task: the rates leave about a third of it.
+    sample = drawn.mapInArrow(counted, "h long, real boolean, lang string, counts binary").limit(4 * s.sample).repartition(1)
     got = sample.mapInArrow(trained, "model binary").first()
     return pickle.loads(got["model"]) if got else None
 
@@ -232,12 +263,16 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> DataF
         for batch in textkit.slices(batches, text):
             raw, at = textkit.buffers(batch.column(text))
             n = batch.num_rows
+            letters = np.concatenate([[0], np.cumsum(_LETTERS[raw])])
             langs, scores, out = [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
             if m is not None:
                 for k in range(0, n, 128):
                     rows = range(k, min(n, k + 128))
                     p = m.probabilities(np.stack([subword_counts(raw[at[i] : at[i + 1]], m.settings) for i in rows]).astype(np.float32))
-                    best = p.argmax(1)
+                    few = letters[at[k + 1 : k + len(rows) + 1]] - letters[at[k : k + len(rows)]] < SCRAMBLED
+                    p[few, -1] = 0
+                    p[few] = (p[few] + 1e-30) / (p[few] + 1e-30).sum(1, keepdims=True)
+                    best = p[:, :-1].argmax(1)
                     for j, i in enumerate(rows):
                         piece = raw[at[i] : at[i + 1]]
                         ascii_letter = _LETTERS[piece] & (piece < 0x80)
