@@ -641,6 +641,30 @@ def test_language_id(spark, odd_rows):
     assert langid.predict(df.limit(0), model).collect() == []
 
 
+def test_junk_is_rejected(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = langid.fit(docs)
+    rng = random.Random(2)
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)) for n in (200, 900, 5000)] + ["qwrt zxcv bnmp " * 20, "xkcd" * 100]
+    real = [r.text for r in docs.where("length(text) > 200").orderBy("doc_id").limit(40).collect()]
+    scrambled = ["".join(rng.sample(t, len(t))) for t in real[:10]]
+    df = spark.createDataFrame([(0, t) for t in junk + scrambled] + [(1, t) for t in real], "real int, text string")
+    got = langid.predict(df, model).collect()
+    assert all(r.lang_rejected for r in got if not r.real) and not any(r.lang_rejected for r in got if r.real)
+    # The forward pass, text by text.
+    for r in got:
+        c = langid.subword_counts(np.frombuffer(r.text.encode(), np.uint8), model.settings)
+        inner = sum(n / c.sum() * model.table[b].astype(float) for b, n in enumerate(c) if n)
+        z = [(sum(x * w for x, w in zip(inner, model.weights[:, k])) + model.bias[k]) / model.temperature for k in range(len(model.languages) + 1)]
+        e = [math.exp(x - max(z)) for x in z]
+        p = [x / sum(e) for x in e]
+        best = max(range(len(model.languages)), key=lambda k: p[k])
+        assert r.lang_pred == model.languages[best] and abs(r.score - p[best]) < 1e-3
+    few = langid.predict(spark.createDataFrame([("xyz",), ("the",), ("q",)], "text string"), model).collect()
+    assert all(0 <= r.score <= 1 for r in few)
+    assert langid.scrambled("few letters", 1) is None
+
+
 def test_rejection_threshold_is_a_quantile():
     rng = np.random.default_rng(4)
     s = langid.Settings(least_steps=1, epochs=1)
@@ -724,6 +748,50 @@ def test_toxicity(spark, odd_rows):
     assert toxicity.score(df.limit(0), model).collect() == []
 
 
+@pytest.mark.parametrize(("places", "crowded"), [(50, 16), (1 << 24, 0)])
+def test_filters_of_any_size_change_nothing(spark, places, crowded, monkeypatch):
+    rng = random.Random(14)
+    lines = [random_text(rng, 14) for _ in range(12)]
+    rows = [(k, "\n".join(rng.sample(lines, 4) + [random_text(rng, 30)])) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(substrings, "PLACES", places)
+    monkeypatch.setattr(substrings, "CROWDED", crowded)
+    monkeypatch.setattr(similarity, "SHINGLES", 300)
+    assert sorted(map(tuple, substrings.deduplicated(df).collect())) == sorted(brute_substrings(rows))
+    near = [(100 + k, " ".join(x for n, x in enumerate(rows[k % 7][1].split()) if n != k % 60)) for k in range(40)]
+    got = similarity.jaccard_groups(spark.createDataFrame(near, df.schema), 3, Fraction(9, 10))
+    assert sorted(map(tuple, got.collect()), key=str) == brute_groups(near, 3, Fraction(9, 10))
+
+
+def test_spent_tables_are_deleted(spark, tmp_path, monkeypatch):
+    from quillspark.llm import storage
+
+    monkeypatch.setattr(storage, "shared_folder", lambda _: str(tmp_path))
+    rows = [(k, f"alpha beta gamma delta {'x' * (k % 3)} epsilon zeta eta theta iota {k // 20}") for k in range(60)]
+    similarity.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, Fraction(9, 10)).collect()
+    left = {p.name.rpartition("-")[0] for p in tmp_path.iterdir()}
+    assert not left & {"keys", "least", "large", "shingles", "wanted", "classes", "known", "firsts"} and "groups" in left
+    outside = tmp_path.parent / f"{tmp_path.name}-outside"
+    spark.range(3).write.parquet(str(outside))
+    storage.spent(spark.read.parquet(str(outside)))
+    assert outside.exists()
+
+
+def test_corpus_queries_against_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "benchmark", "conversations"):
+        con.execute(f"create view {t} as select * from read_parquet('{SMALL}/{t}.parquet')")
+    for name, sql in entry.ORACLES.items():
+        got, want = entry.QUERIES[name](spark, SMALL), con.sql(sql)
+        assert sorted(got.columns) == sorted(want.columns), name
+        cell = lambda x: f"{x:.9g}" if isinstance(x, float) else str(x)
+        order = sorted(got.columns)
+        rows = [sorted(tuple(map(cell, (r[c] for c in order))) for r in found) for found in ([r.asDict() for r in got.collect()], [dict(zip(want.columns, r)) for r in want.fetchall()])]
+        assert rows[0] == rows[1], name
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -732,7 +800,7 @@ def test_pipeline(spark):
     now = docs
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         before = [(r.doc_id, r.text) for r in now.collect()]
-        after = stage(spark, now, SMALL)
+        source, after = now, stage(spark, now, SMALL)
         rows = [(r.doc_id, r.text) for r in after.collect()]
         if k < 4:
             assert after.columns == docs.columns, name
@@ -744,4 +812,24 @@ def test_pipeline(spark):
         if k == 4:
             assert len(rows) == len(before) and set(after.columns) == {*docs.columns, "shard"}
         now = spark.createDataFrame(after.collect(), after.schema)
+        if k == 0:
+            model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+            assert sorted(rows) == sorted((r.doc_id, r.text) for r in langid.predict(docs, model).collect() if not r.lang_rejected)
+        if k == 3:
+            plan = {}
+            for i, *_, copies in brute_mixture([(r.doc_id, r.text, r.source) for r in source.collect()]):
+                plan[i] = plan.get(i, 0) + copies
+            assert {i: [x for x, _ in rows].count(i) for i in plan} == plan
+        if k == 4:
+            places = sharding.lookup_table(entry.SHARDS, entry.SLOTS)
+            assert all(r.shard == entry.SHARDS[places[int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16) % entry.SLOTS]] for r in after.collect())
     assert corpus_pipeline.run(spark, SMALL).count() == now.count()
+
+
+def test_pipeline_of_an_empty_table(spark):
+    import corpus_pipeline
+
+    now = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, SMALL)
+        assert now.collect() == []
