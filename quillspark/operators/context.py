@@ -105,14 +105,15 @@ def evidence(found: DataFrame, covered: DataFrame, most: int = 6) -> DataFrame:
     """(definition, n_findings, evidence): the findings (file) of the files
     each definition covers (file, definition), and the first ``most`` of their keys."""
     key = found.select("file", finding_key().alias("key"))
-    hits = covered.join(key, "file")
-    return hits.groupBy("definition").agg(F.count("key").alias("n_findings"), F.slice(F.sort_array(F.collect_set("key")), 1, most).alias("evidence"))
+    hits = covered.join(key, "file").groupBy("definition", "key").agg(F.count("key").alias("n"))
+    ranked = hits.withColumn("place", F.row_number().over(W.partitionBy("definition").orderBy("key")))
+    first = F.sort_array(F.collect_list(F.when(F.col("place") <= most, F.col("key"))))
+    return ranked.groupBy("definition").agg(F.sum("n").alias("n_findings"), first.alias("evidence"))
 
 
-def domain_edges(areas: DataFrame) -> DataFrame:
-    """(source, relation, target) of areas (id, owns, depends_on, downstream)."""
-    each = [areas.select(F.col("id").alias("source"), F.lit(r).alias("relation"), F.explode(c).alias("target")) for c, r in (("owns", "owns"), ("depends_on", "depends-on"), ("downstream", "downstream"))]
-    return reduce(DataFrame.union, each).distinct()
+def domain_edges(*relations: DataFrame) -> DataFrame:
+    """All different edges (source, relation, target) of areas: what they own, depend on and feed."""
+    return reduce(DataFrame.union, [r.select("source", "relation", "target") for r in relations]).distinct()
 
 
 def surface_checks(files: DataFrame, path: str, surfaces: dict[str, list[str]], conventions: dict[str, list[str]], checks: DataFrame) -> DataFrame:

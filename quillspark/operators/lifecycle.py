@@ -34,26 +34,65 @@ def change_queue(states: DataFrame, dependencies: DataFrame) -> DataFrame:
     return df.select("change", "status", queue.alias("queue"), "n_blockers")
 
 
-def task_step_issue(kind: Column, change_status: Column, task_status: Column, n_blockers: Column, checks_passed: Column) -> Column:
-    """Why a task may not take a step; null where it may."""
+def work_queue(states: DataFrame, dependencies: DataFrame, tasks: DataFrame, task_needs: DataFrame) -> DataFrame:
+    """(kind, change, task, status, queue, reasons): the tasks of changes that
+    have any, and the other changes themselves, as far as they are ready or blocked.
+
+    ``states``: change, status. ``dependencies``: change, needs. ``tasks``:
+    change, task, status. ``task_needs``: change, task, needs (a task of the
+    change). What holds a change up holds up its tasks; a missing or unclosed
+    need is a reason. Planned items without reasons are ready, unclosed ones
+    with reasons blocked.
+    """
+
+    def held(rows: DataFrame, known: DataFrame, by: list[str], on: list[str]) -> DataFrame:
+        met = rows.join(known, on, "left").where("__needed is null or __needed <> 'closed'")
+        reason = F.when(F.col("__needed").isNull(), F.concat(F.lit("missing "), F.col("needs").cast("string"))).otherwise(F.concat(F.lit("waits for "), F.col("needs").cast("string")))
+        return met.groupBy(*by).agg(F.collect_set(reason).alias("reasons"))
+
+    of_change = held(dependencies, states.select(F.col("change").alias("needs"), F.col("status").alias("__needed")), ["change"], ["needs"]).withColumnRenamed("reasons", "outer")
+    of_task = held(task_needs, tasks.select("change", F.col("task").alias("needs"), F.col("status").alias("__needed")), ["change", "task"], ["change", "needs"])
+    none = F.array().cast("array<string>")
+    each = tasks.select(F.lit("task").alias("kind"), "change", "task", "status").join(of_task, ["change", "task"], "left")
+    whole = states.join(tasks.select("change").distinct(), "change", "left_anti").select(F.lit("change").alias("kind"), "change", F.lit(None).cast(tasks.schema["task"].dataType).alias("task"), "status", F.lit(None).cast("array<string>").alias("reasons"))
+    df = each.select(*whole.columns).unionByName(whole).join(of_change, "change", "left")
+    df = df.withColumn("reasons", F.sort_array(F.array_distinct(F.concat(F.coalesce("reasons", none), F.coalesce("outer", none))))).drop("outer")
+    queue = F.when((F.col("status") == "planned") & (F.size("reasons") == 0), "ready").when((F.col("status") != "closed") & (F.size("reasons") > 0), "blocked")
+    return df.withColumn("queue", queue).where("queue is not null").select("kind", "change", "task", "status", "queue", "reasons")
+
+
+def _listed(*issues: Column) -> Column:
+    return F.array_compact(F.array(*issues))
+
+
+def task_step_issues(kind: Column, change_status: Column, task_status: Column, n_blockers: Column, checks_passed: Column) -> Column:
+    """All that keeps a task from taking a step; empty where nothing does. What
+    ends the matter stands alone; else the status comes first, then the rest."""
     wrong = F.coalesce(*[F.when(kind == k, ~task_status.isin(*v)) for k, v in STEPS.items()], F.lit(False))
+    held, unchecked = kind.isin(*HELD) & (n_blockers > 0), (kind == "closed") & ~checks_passed
+    hint = (
+        F.when((kind == "started") & ~held, "claim it first")
+        .when(kind == "review", "start it and complete its checks first")
+        .when(kind == "ready", "only blocked or reviewed tasks can be ready")
+        .when((kind == "closed") & wrong, "move it to review first")
+    )
+    every = _listed(F.concat(F.lit("status is "), task_status), F.when(held, "open dependencies"), hint, F.when(unchecked, "checks must pass"))
     return (
-        F.when(task_status.isNull(), "unknown task")
-        .when(change_status == "closed", "the change is closed")
-        .when(task_status == "closed", "the task is closed")
-        .when(kind.isin(*HELD) & (n_blockers > 0), "open dependencies")
-        .when(wrong, F.concat(F.lit("not from "), task_status))
-        .when((kind == "closed") & ~checks_passed, "checks must pass")
+        F.when(task_status.isNull(), F.array(F.lit("unknown task")))
+        .when(change_status == "closed", F.array(F.lit("the change is closed")))
+        .when(task_status == "closed", F.array(F.lit("the task is closed")))
+        .when(wrong | held | unchecked, every)
+        .otherwise(F.array().cast("array<string>"))
     )
 
 
-def change_step_issue(kind: Column, status: Column, n_unfinished: Column) -> Column:
-    """Why a change may not take a step; null where it may."""
-    return (
-        F.when((kind == "started") & (status == "closed"), "the change is closed")
-        .when(kind.isin("review", "closed") & (n_unfinished > 0), "unfinished tasks")
-        .when((kind == "closed") & ~status.isin("review", "ready"), F.concat(F.lit("not from "), status))
-        .when(~kind.isin("started", "review", "closed", "ready") & (status == "closed"), "the change is closed")
+def change_step_issues(kind: Column, status: Column, n_unfinished: Column) -> Column:
+    """All that keeps a change from taking a step; empty where nothing does."""
+    return _listed(
+        F.when((kind == "started") & (status == "closed"), "the change is closed"),
+        F.when(kind.isin("review", "closed") & (n_unfinished > 0), "unfinished tasks"),
+        F.when((kind == "closed") & ~status.isin("review", "ready"), F.concat(F.lit("status is "), status, F.lit("; move it to review first"))),
+        F.when(~kind.isin("started", "review", "closed", "ready") & (status == "closed"), "the change is closed"),
     )
 
 

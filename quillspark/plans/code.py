@@ -154,13 +154,14 @@ def change_queue(spark, sf_dir):
 
 
 @query(f"""with {_CHANGES}, e as (select event_id, user_id as change, case event_id % 6 when 0 then 'claimed' when 1 then 'started' when 2 then 'review' when 3 then 'ready' when 4 then 'closed' else 'blocked' end as kind, event_id % 11 > 2 as passed from events)
-select event_id, kind, case when t.status is null then 'unknown task' when s.status = 'closed' then 'the change is closed' when t.status = 'closed' then 'the task is closed'
-  when kind in ('claimed', 'started', 'closed') and coalesce(b.n, 0) > 0 and event_id % 2 = 0 then 'open dependencies'
-  when (kind = 'claimed' and t.status not in ('planned')) or (kind = 'started' and t.status not in ('claimed')) or (kind = 'review' and t.status not in ('running', 'ready')) or (kind = 'ready' and t.status not in ('blocked', 'review')) or (kind = 'closed' and t.status not in ('review', 'ready')) then 'not from ' || t.status
-  when kind = 'closed' and not passed then 'checks must pass' end as task_issue,
-  case when kind = 'started' and s.status = 'closed' then 'the change is closed' when kind in ('review', 'closed') and coalesce(b.n, 0) > 0 then 'unfinished tasks' when kind = 'closed' and s.status not in ('review', 'ready') then 'not from ' || s.status
-  when kind not in ('started', 'review', 'closed', 'ready') and s.status = 'closed' then 'the change is closed' end as change_issue
-from e join s using (change) left join s t on t.change = e.change + 1 left join b on b.change = e.change""")
+select event_id, kind, array_to_string(case when t.status is null then ['unknown task'] when s.status = 'closed' then ['the change is closed'] when t.status = 'closed' then ['the task is closed']
+  when w.wrong or w.held or (kind = 'closed' and not passed) then list_filter(['status is ' || t.status, case when w.held then 'open dependencies' end,
+    case when kind = 'started' and not w.held then 'claim it first' when kind = 'review' then 'start it and complete its checks first' when kind = 'ready' then 'only blocked or reviewed tasks can be ready' when kind = 'closed' and w.wrong then 'move it to review first' end,
+    case when kind = 'closed' and not passed then 'checks must pass' end], lambda x: x is not null) else []::varchar[] end, '; ') as task_issues,
+  array_to_string(list_filter([case when kind = 'started' and s.status = 'closed' then 'the change is closed' end, case when kind in ('review', 'closed') and coalesce(b.n, 0) > 0 then 'unfinished tasks' end,
+    case when kind = 'closed' and s.status not in ('review', 'ready') then 'status is ' || s.status || '; move it to review first' end, case when kind not in ('started', 'review', 'closed', 'ready') and s.status = 'closed' then 'the change is closed' end], lambda x: x is not null), '; ') as change_issues
+from e join s using (change) left join s t on t.change = e.change + 1 left join b on b.change = e.change, lateral (select kind in ('claimed', 'started', 'closed') and coalesce(b.n, 0) > 0 and event_id % 2 = 0 as held,
+  (kind = 'claimed' and t.status not in ('planned')) or (kind = 'started' and t.status not in ('claimed')) or (kind = 'review' and t.status not in ('running', 'ready')) or (kind = 'ready' and t.status not in ('blocked', 'review')) or (kind = 'closed' and t.status not in ('review', 'ready')) as wrong) w""")
 def lifecycle_steps(spark, sf_dir):
     states = _changes(spark, sf_dir)
     blocked = lifecycle.change_queue(states, states.select("change", (F.col("change") + 2).alias("needs")))
@@ -169,7 +170,27 @@ def lifecycle_steps(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("change"), kind.alias("kind"))
     df = e.join(blocked, "change").join(states.select((F.col("change") - 1).alias("change"), F.col("status").alias("task")), "change", "left")
     held = F.when(F.col("event_id") % 2 == 0, F.col("n_blockers")).otherwise(0)
-    return df.select("event_id", "kind", lifecycle.task_step_issue(F.col("kind"), F.col("status"), F.col("task"), held, F.col("event_id") % 11 > 2).alias("task_issue"), lifecycle.change_step_issue(F.col("kind"), F.col("status"), F.col("n_blockers")).alias("change_issue"))
+    of_task = lifecycle.task_step_issues(F.col("kind"), F.col("status"), F.col("task"), held, F.col("event_id") % 11 > 2)
+    of_change = lifecycle.change_step_issues(F.col("kind"), F.col("status"), F.col("n_blockers"))
+    return df.select("event_id", "kind", F.array_join(of_task, "; ").alias("task_issues"), F.array_join(of_change, "; ").alias("change_issues"))
+
+
+@query(f"""with {_CHANGES},
+t as (select s.change, s.change * 10 + k as task, case k when 0 then s.status when 1 then 'planned' else 'closed' end as status from s, (select unnest([0, 1, 2]) as k) where s.change % 3 = 0),
+d as (select change, change + 2 as needs from s where change % 4 = 0 union all select change, change + 7 from s where change % 5 = 0),
+tn as (select change, change * 10 + 1 as task, change * 10 + k as needs from s, (select unnest([0, 2, 5]) as k) where change % 6 = 0 and (k < 5 or change % 12 = 0)),
+cb as (select d.change, case when n.change is null then 'missing ' else 'waits for ' end || needs as reason from d left join s n on n.change = d.needs where n.change is null or n.status <> 'closed'),
+tb as (select tn.change, tn.task, case when n.task is null then 'missing ' else 'waits for ' end || needs as reason from tn left join t n on n.change = tn.change and n.task = tn.needs where n.task is null or n.status <> 'closed'),
+i as (select 'task' as kind, change, task, status from t union all select 'change', change, null, status from s where change not in (select change from t)),
+r as (select i.*, coalesce((select list(distinct reason) from (select reason from cb where cb.change = i.change union select reason from tb where tb.change = i.change and tb.task = i.task)), []) as reasons from i)
+select kind, change, task, status, case when len(reasons) = 0 then 'ready' else 'blocked' end as queue, array_to_string(list_sort(reasons), ', ') as reasons from r where (status = 'planned' and len(reasons) = 0) or (status <> 'closed' and len(reasons) > 0)""")
+def change_work_queue(spark, sf_dir):
+    states, change = _changes(spark, sf_dir), F.col("change")
+    some = states.where(change % 3 == 0)
+    tasks = some.select("change", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"), "status").select("change", (change * 10 + F.col("k")).alias("task"), F.when(F.col("k") == 0, F.col("status")).when(F.col("k") == 1, "planned").otherwise("closed").alias("status"))
+    needs = states.where(change % 4 == 0).select("change", (change + 2).alias("needs")).union(states.where(change % 5 == 0).select("change", change + 7))
+    inner = states.where(change % 6 == 0).select("change", (change * 10 + 1).alias("task"), F.explode(F.array(F.lit(0), F.lit(2), F.lit(5))).alias("k")).where((F.col("k") < 5) | (change % 12 == 0)).select("change", "task", (change * 10 + F.col("k")).alias("needs"))
+    return lifecycle.work_queue(states, needs, tasks, inner).withColumn("reasons", F.array_join("reasons", ", "))
 
 
 @query(f"""with l as (select user_id as change, {_AS(_KINDS)} as kind, row_number() over (partition by user_id order by ts desc, {_AS(_KINDS)} desc) as n from events where event_id % 4 <> 0),

@@ -128,9 +128,9 @@ def definition_evidence(spark, sf_dir):
 @query("""select distinct 's' || l_suppkey as source, 'owns' as relation, 'p' || l_partkey as target from lineitem union select distinct 's' || l_suppkey, 'depends-on', 's' || (l_suppkey + 1) from lineitem where l_linenumber > 2 union select distinct 's' || l_suppkey, 'downstream', 'o' || l_orderkey % 10 from lineitem""")
 def domain_edges(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    named = lambda p, c: F.array_distinct(F.collect_list(F.concat(F.lit(p), c)))
-    areas = li.groupBy(F.concat(F.lit("s"), "l_suppkey").alias("id")).agg(named("p", F.col("l_partkey")).alias("owns"), F.array_distinct(F.collect_list(F.when(F.col("l_linenumber") > 2, F.concat(F.lit("s"), F.col("l_suppkey") + 1)))).alias("depends_on"), named("o", F.col("l_orderkey") % 10).alias("downstream"))
-    return context.domain_edges(areas)
+    me = F.concat(F.lit("s"), "l_suppkey").alias("source")
+    named = lambda relation, p, c, rows=li: rows.select(me, F.lit(relation).alias("relation"), F.concat(F.lit(p), c).alias("target"))
+    return context.domain_edges(named("owns", "p", F.col("l_partkey")), named("depends-on", "s", F.col("l_suppkey") + 1, li.where("l_linenumber > 2")), named("downstream", "o", F.col("l_orderkey") % 10))
 
 
 _SURFACES, _CONVENTIONS = {"es": ["*/es/**"], "html": ["**/*.html"], "none": ["nothing/**"]}, {"c-en": ["*/en/**"], "c-html": ["*/**/*.html"]}
@@ -139,7 +139,7 @@ _SURFACES, _CONVENTIONS = {"es": ["*/es/**"], "html": ["**/*.html"], "none": ["n
 @query(f"""with p as (select distinct {_PATH} as path from pages),
 t as (select path, 'es' as surface from p where regexp_matches(path, '{globs.regex_of("*/es/**")}') union all select path, 'html' from p where regexp_matches(path, '{globs.regex_of("**/*.html")}')),
 c as (select path, 'c-en' as c from p where regexp_matches(path, '{globs.regex_of("*/en/**")}') union all select path, 'c-html' from p where regexp_matches(path, '{globs.regex_of("*/**/*.html")}'))
-select surface, count(distinct path) as n_files, array_to_string(list_sort(list(distinct c) filter (c is not null)), ',') as conventions, case surface when 'es' then 'k1,k2' else '' end as checks from t left join c using (path) group by surface""")
+select surface, count(distinct path) as n_files, coalesce(array_to_string(list_sort(list(distinct c) filter (c is not null)), ','), '') as conventions, case surface when 'es' then 'k1,k2' else '' end as checks from t left join c using (path) group by surface""")
 def surface_checks(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^?#]*)", 1).alias("path"))
     checks = spark.createDataFrame([("es", "k2"), ("es", "k1"), ("gone", "k3")], "surface string, check string")
