@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .cuts import cut
+
 
 def linked(events: DataFrame, links: dict[str, DataFrame], key: str) -> DataFrame:
     """Events that have a link in every one of ``links`` (each with the column ``key``)."""
@@ -48,6 +50,22 @@ def pruned(jobs: DataFrame, terminal: Column, at: str, cutoff: Column, most: int
     return marked.withColumn("pruned", F.coalesce(gone, F.lit(False))).drop("__kept")
 
 
+def pruned_pair(jobs: DataFrame, children: DataFrame, terminal: Column, at: str, cutoff: Column, most: int, id_col: str, parent: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What pruning leaves of ``jobs`` and of their ``children``, and one row of
+    counts: deleted_runs, deleted_children, retained_terminal.
+
+    Both sides follow from one written table of marks, so they fit each other
+    whenever they are read. Children of no job go as well. Publish them by one
+    rename or pointer after both are written.
+    """
+    marks = cut(pruned(jobs.select(id_col, at, terminal.alias("__end")), F.col("__end"), at, cutoff, most, id_col).select(id_col, "__end", "pruned"))
+    left = marks.where("not pruned").select(id_col)
+    kept, theirs = jobs.join(left, id_col, "left_semi"), children.join(left.withColumnRenamed(id_col, parent), parent, "left_semi")
+    runs = marks.agg(F.count_if("pruned").alias("deleted_runs"), F.count_if(F.col("__end") & ~F.col("pruned")).alias("retained_terminal"))
+    gone = children.join(left.withColumnRenamed(id_col, parent), parent, "left_anti").agg(F.count(F.lit(1)).alias("deleted_children"))
+    return kept, theirs, runs.join(F.broadcast(gone)).select("deleted_runs", "deleted_children", "retained_terminal")
+
+
 def latest(rows: DataFrame, by: list[str], at: str, id_col: str) -> DataFrame:
     """The last row of each key by time, then id; an aggregation, so hot keys combine before the shuffle."""
     every = F.struct(*[F.col(c) for c in rows.columns])

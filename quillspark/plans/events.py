@@ -137,3 +137,17 @@ def work_queue(spark, sf_dir):
     before = o.withColumn("blocker", F.lag("o_orderkey").over(w)).withColumn("bs", F.lag("o_orderstatus").over(w))
     blocked = F.coalesce(F.col("bs") != "F", F.lit(False))
     return before.select("o_orderkey", "blocker", blocked.alias("blocked"), ((F.col("o_orderstatus") == "O") & ~blocked).alias("ready"))
+
+
+_CASCADE = """r as (select o_orderkey, o_orderdate, row_number() over (order by o_orderdate desc, o_orderkey desc) as n from orders where o_orderstatus <> 'P'),
+k as (select o.o_orderkey, o.o_orderstatus from orders o left join r using (o_orderkey) where not coalesce(r.o_orderdate < timestamp '1997-01-01' or r.n > 4000, false)),
+c as (select (select count(*) from orders) - (select count(*) from k) as deleted_runs, (select count(*) from lineitem where l_orderkey not in (select o_orderkey from k)) as deleted_children, (select count(*) from k where o_orderstatus <> 'P') as retained_terminal)"""
+
+
+@query(f"""with {_CASCADE} select 'run' as part, o_orderkey as id, count(*) as n, deleted_runs, deleted_children, retained_terminal from k, c group by all
+union all select 'child', l_orderkey, count(*), deleted_runs, deleted_children, retained_terminal from lineitem join k on l_orderkey = o_orderkey, c group by all""")
+def prune_cascade(spark, sf_dir):
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    runs, children, counts = events.pruned_pair(o, li, F.col("o_orderstatus") != "P", "o_orderdate", F.lit("1997-01-01").cast("timestamp_ntz"), 4000, "o_orderkey", "l_orderkey")
+    part = lambda name, df, key: df.groupBy(F.lit(name).alias("part"), F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return part("run", runs, "o_orderkey").union(part("child", children, "l_orderkey")).join(F.broadcast(counts))

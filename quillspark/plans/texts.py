@@ -258,3 +258,45 @@ def markdown_chunks(spark, sf_dir):
 @query()
 def fact_extract_python(spark, sf_dir):
     return facts.python_facts(files.generated(spark, 20, 1))
+
+
+@query(r"""with recursive t as (select doc_id, text, regexp_extract_all(text, '\s*[\p{L}\p{N}_]+|\s*[^\s\p{L}\p{N}_]|\s+$') as w from documents where length(text) > 0),
+u as (select doc_id, unnest(w) as w, unnest(range(1, len(w) + 1)) as k from t),
+v as (select doc_id, k, regexp_extract(w, '^\s*') as s, (sum(length(w)) over (partition by doc_id order by k))::integer - length(w) as o from u),
+b as (select doc_id, count(*)::integer as n, list(o + length(s) order by k) as o, list(case when contains(s, chr(10)) then o + length(regexp_extract(s, '^[\s\S]*\n')) else -1 end order by k) as ln, list(case when s <> '' then o + length(s) else -1 end order by k) as bl from v group by doc_id),
+r as (
+  select doc_id, -1 as piece_no, 0 as start, 0 as e, 1 as i, 0 as n_tokens from b
+  union all
+  select r.doc_id, piece_no + 1, r.e, f.e::integer, f.i::integer, (f.i - r.i)::integer from r join b on b.doc_id = r.doc_id and r.i <= b.n,
+    lateral (select least(r.i + 64, b.n + 1) as j) x,
+    lateral (select case when x.j > b.n then null else b.o[x.j] end as at, list_max(b.ln[r.i:x.j]) as ml, list_max(b.bl[r.i:x.j]) as mb) y,
+    lateral (select r.e + (y.at - r.e) // 2 as half) z,
+    lateral (select case when y.at is null then (select length(text) from t where t.doc_id = r.doc_id) when y.ml > z.half then y.ml when y.mb > z.half then y.mb else y.at end as e,
+      case when y.at is null then x.j when y.ml > z.half then r.i - 1 + list_position(b.ln[r.i:x.j], y.ml) when y.mb > z.half then r.i - 1 + list_position(b.bl[r.i:x.j], y.mb) else x.j end as i) f)
+select r.doc_id, piece_no, start, e as "end", n_tokens, md5(substr(text, start + 1, e - start)) as piece_md5 from r join t using (doc_id) where piece_no >= 0""")
+def token_pieces(spark, sf_dir):
+    """Pieces of all documents with at most 64 words and marks each."""
+    found = chunks.token_pieces(table(spark, sf_dir, "documents"), 64, "doc_id", "text")
+    return found.select("doc_id", "piece_no", "start", "end", "n_tokens", F.md5("piece").alias("piece_md5"))
+
+
+_ID = "left(md5(base || ':duplicate:' || {n} || ':' || doc_id % 50), 4)"
+
+
+def _free_ids_sql(rounds: int) -> str:
+    """The rounds one after the other; the last select fails the comparison if rows still wait."""
+    steps, done = [], "select doc_id, base, base as unique_id from d where n = 1"
+    for k in range(1, rounds + 1):
+        waiting = "select doc_id, base from d where n > 1" if k == 1 else f"select doc_id, base from c{k - 1} where doc_id not in (select doc_id from g{k - 1})"
+        steps.append(f"c{k} as materialized (select *, {_ID.format(n=k)} as unique_id from ({waiting}))")
+        steps.append(f"g{k} as materialized (select doc_id, base, unique_id from (select *, row_number() over (partition by unique_id order by doc_id) as m from c{k} where unique_id not in (select unique_id from ({done}))) where m = 1)")
+        done += f" union all select doc_id, base, unique_id from g{k}"
+    return f"with b as (select doc_id, lang || '-' || length(text) % 40 as base from documents), d as (select *, row_number() over (partition by base order by doc_id) as n from b), {', '.join(steps)} {done}"
+
+
+@query(_free_ids_sql(9))
+def chunk_ids(spark, sf_dir):
+    """Short ids, so that some collide again and again."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("lang", F.lit("-"), F.length("text") % 40).alias("base"))
+    digest = lambda base, n: F.left(F.md5(F.concat(base, F.lit(":duplicate:"), n.cast("string"), F.lit(":"), (F.col("doc_id") % 50).cast("string"))), F.lit(4))
+    return chunks.free_ids(d, "base", ["doc_id"], digest)
