@@ -3,6 +3,7 @@ gives findings of one schema."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -12,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import globs, text
+from .cuts import cut
 
 COLUMNS = ("rule_id", "severity", "file", "line", "column", "message")
 # What counts as a comment that switches a check off, and as a reason.
@@ -224,6 +226,34 @@ def run(context: Context, rules: dict[str, Rule] | None = None) -> DataFrame:
     return in_order(reduce(DataFrame.unionByName, [made(name, rule) for name, rule in rules.items()]))
 
 
+OUTCOMES = "rule_id string, outcome string, n_findings long, seconds double, error string"
+
+
+def run_apart(context: Context, rules: dict[str, Rule] | None = None) -> tuple[DataFrame, DataFrame]:
+    """All findings of all rules, and a row for each rule on how it went:
+    ``passed``, ``findings`` or ``error``, with its findings, seconds and error.
+
+    Each rule is a job of its own whose findings are written before the next
+    rule runs. One that fails on the way, in a task too, leaves no findings
+    but an error, and stops no other. Outcomes come by rule.
+    """
+    rules = REGISTRY if rules is None else rules
+    spark = next(iter(context.tables.values())).sparkSession
+    written, outcomes = [], []
+    for name, rule in rules.items():
+        began = time.monotonic()
+        try:
+            found = cut(rule(context).select(*COLUMNS))
+            n = found.count()
+            written.append(found)
+            outcomes.append((name, "findings" if n else "passed", n, time.monotonic() - began, None))
+        except Exception as error:  # noqa: BLE001  whatever a rule does is its own
+            said = next((x for x in str(error).splitlines() if x.strip()), type(error).__name__)
+            outcomes.append((name, "error", 0, time.monotonic() - began, said))
+    none = spark.createDataFrame([], "rule_id string, severity string, file string, line int, column int, message string")
+    return reduce(DataFrame.unionByName, written, none), spark.createDataFrame(outcomes, OUTCOMES).orderBy("rule_id")
+
+
 def in_order(found: DataFrame) -> DataFrame:
     """Findings by file, line, column, rule and message; no line or column counts as 0."""
     return found.orderBy("file", F.coalesce("line", F.lit(0)), F.coalesce("column", F.lit(0)), "rule_id", "message")
