@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, imports, refactors, rules
+from ..operators import graph, imports, incremental, refactors, rules
 from .code import _ALIASES, _FILES, _modules
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 _PYTHON = """q as (select p_partkey as k, replace(p_brand, '#', '') as b, replace(p_name, ' ', '_') as n from part),
 m as (select k, b, n, 'lib/' || b || case when k % 4 = 2 then '/sub/' else '/' end || n || case when k % 4 = 1 then '/__init__.py' else '.py' end as path from q),
@@ -83,6 +83,11 @@ select ref, coalesce(named.id, case when kind = 'import-module' then sole.id end
 union all select ref, coalesce(own, via, alone), case when own is not null then 'same-file' when via is not null then 'import' when alone is not null then 'project' end
   from s left join own using (path, name) left join via using (path, name) left join alone using (name) where not (language = 'python' and source is not null)""")
 def resolve_references(spark, sf_dir):
+    return graph.resolve_all(*_facts(spark, sf_dir))
+
+
+def _facts(spark, sf_dir):
+    """References, nodes and imports."""
     part, li, key = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem"), F.col("p_partkey")
     nodes = part.select(key.alias("id"), F.col("p_brand").alias("path"), F.when(key % 9 == 0, "default").otherwise(F.concat("p_name", (key % 40).cast("string"))).alias("name"), ((key % 2 == 0) & (key % 25 < 20)).alias("exported"))
     used = li.join(nodes.select(F.col("id").alias("l_partkey"), "name"), "l_partkey")
@@ -94,7 +99,21 @@ def resolve_references(spark, sf_dir):
         F.when(F.col("l_orderkey") % 8 != 4, "m").alias("source"), F.when(line < 7, brand(line * 3, 25)).alias("source_path"),
     )
     wanted = used.where("l_quantity > 48").select(path, "name", of("import-named", "import-default", "import-namespace").alias("kind"), brand(F.col("l_partkey") + line, 30).alias("target_path")).distinct()
-    return graph.resolve_all(references, nodes, wanted)
+    return references, nodes, wanted
+
+
+@query(ORACLES["resolve_references"])
+def graph_delta(spark, sf_dir):
+    """The same graph, from an earlier state in which some files had other nodes and some were not there yet."""
+    references, nodes, wanted = _facts(spark, sf_dir)
+    paths = references.select("path").union(nodes.select("path")).union(wanted.select("path")).distinct()
+    version = F.when(F.substring("path", 7, 9).cast("int") % 8 == 3, "2").otherwise("1")
+    now = paths.select("path", version.alias("content_hash"), F.lit("p").alias("parser"), F.lit("e").alias("extractor"))
+    before = now.where("path <> 'Brand#7'").withColumn("content_hash", F.lit("1")).union(now.limit(1).select(F.lit("gone.ts"), F.lit("1"), F.lit("p"), F.lit("e")))
+    older = nodes.where((F.col("id") % 5 != 0) | (version == "1")).union(nodes.where("id = 1").select(F.col("id") + 10_000_000, F.lit("gone.ts"), "name", F.lit(True)))
+    facts = lambda n: lambda some: tuple(df.join(some, "path", "left_semi") for df in (n, references, wanted))
+    state = incremental.built(before, facts(older))
+    return incremental.updated(state, now, facts(nodes))[0].resolved
 
 
 @query(r"""with t as (select doc_id, text, regexp_extract_all(text, '[A-Za-z0-9_$]+|[^A-Za-z0-9_$]+') as w from documents where text is not null),
