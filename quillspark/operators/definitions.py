@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rollups
+from .cuts import cut
 from .joins import glob_join
 
 
@@ -49,10 +51,54 @@ def governing(files: DataFrame, path: str, applies: dict[str, list[str]], surfac
     return every.groupBy("convention").agg(F.sort_array(F.collect_set("source")).alias("sources"), F.count_distinct(path).alias("n_files"))
 
 
-def related(seed: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """Ids found from ``seed`` (id) along a fixed sequence of link tables
-    (source, target), one semi-join round each; no fixpoint."""
-    seen = seed.select("id").distinct()
-    for table in links:
-        seen = seen.union(table.join(seen.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id"))).distinct()
-    return seen
+@dataclass(frozen=True)
+class Step:
+    """Definitions of a kind that share a key of the kinds ``by`` with what is
+    known (``own``: or are named), and the kinds of their keys that become
+    known. Without ``by`` and ``own`` those found before give their keys."""
+
+    kind: str
+    by: tuple[str, ...] = ()
+    own: bool = True
+    collect: tuple[str, ...] = ()
+    known: bool = True
+
+
+# The order in which related definitions are looked for. It isn't repeated.
+RELATED_STEPS = (
+    Step("finding", ("file", "validator", "convention"), collect=("file", "validator", "convention", "doc"), known=False),
+    Step("validator", ("file", "topic", "convention"), collect=("topic", "convention", "doc"), known=False),
+    Step("convention", ("topic", "validator", "file", "doc"), known=False),
+    Step("surface", ("convention", "topic", "file"), own=False, collect=("convention", "doc", "topic")),
+    Step("convention", own=False, collect=("topic", "validator", "convention", "doc")),
+    Step("area", ("file", "doc", "surface"), own=False, collect=("doc", "surface")),
+    Step("spec", ("file", "doc", "convention", "area", "surface"), own=False, collect=("doc", "convention", "area", "surface")),
+    Step("change", ("file", "doc", "convention", "area", "spec", "surface"), own=False, collect=("doc", "convention", "area", "spec", "surface")),
+    Step("surface"),
+    Step("validator", ("file", "topic", "convention"), collect=("topic", "convention", "doc"), known=False),
+)
+
+
+def related_context(seed: DataFrame, keys: DataFrame, steps: tuple[Step, ...] = RELATED_STEPS) -> DataFrame:
+    """(kind, id) of the definitions found from what a query names.
+
+    ``seed``: kind and id of files, topics, conventions, validators or
+    findings. ``keys``: kind, id, key_kind and key of each definition, one row
+    for each of its files, topics, docs and links; globs are joined with the
+    files before. What is known, found definitions as well, grows step by step
+    in the fixed order, by one join with the keys each; there is no fixpoint.
+    """
+    known = cut(seed.select("kind", "id").distinct())
+    found = seed.sparkSession.createDataFrame([], "kind string, id string")
+    for step in steps:
+        mine = keys.where(F.col("kind") == step.kind)
+        if step.by or step.own:
+            asked = known.where(F.col("kind").isin(*step.by))
+            hit = mine.join(asked.select(F.col("kind").alias("key_kind"), F.col("id").alias("key")), ["key_kind", "key"], "left_semi").select("kind", "id")
+            if step.own:
+                hit = hit.union(mine.select("kind", "id").join(known, ["kind", "id"], "left_semi"))
+            found = cut(found.union(hit).distinct())
+        taken = mine.where(F.col("key_kind").isin(*step.collect)).join(found, ["kind", "id"], "left_semi").select(F.col("key_kind").alias("kind"), F.col("key").alias("id"))
+        known = known.union(taken)
+        known = cut((known.union(found.where(F.col("kind") == step.kind).select("kind", "id")) if step.known else known).distinct())
+    return found

@@ -52,3 +52,48 @@ def definition_diagnostics(spark, sf_dir):
     defs = n.select(F.lit("nation").alias("kind"), F.col("n_regionkey").cast("string").alias("id"), F.col("n_name").alias("title"))
     links = n.where("n_nationkey % 3 = 0").select(F.col("n_regionkey").cast("string").alias("id"), F.lit("uses").alias("relation"), F.col("n_nationkey").cast("string").alias("target"))
     return definitions.diagnostics(defs, links, table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("id")))
+
+
+#: Definitions made of parts: kind, first letter, every how many, and their keys.
+_DEFINED = [
+    ("validator", "v", 5, {"file": "concat('file', k + 1)", "topic": "concat('t', k - k % 10)", "convention": "concat('c', k + 5)", "doc": "concat('d', k)"}),
+    ("convention", "c", 5, {"topic": "concat('t', k - k % 10 + 30)", "validator": "concat('v', k + 10)", "file": "concat('file', k + 2)", "doc": "concat('d', k + 20)", "convention": "concat('c', k + 15)"}),
+    ("surface", "s", 7, {"convention": "concat('c', k - k % 5)", "topic": "concat('t', k - k % 10 + 50)", "file": "concat('file', k + 3)", "doc": "concat('d', k + 1)"}),
+    ("area", "a", 6, {"file": "concat('file', k + 4)", "doc": "concat('d', k)", "surface": "concat('s', k - k % 7)"}),
+    ("spec", "p", 8, {"file": "concat('file', k)", "doc": "concat('d', k + 2)", "convention": "concat('c', k - k % 5)", "area": "concat('a', k - k % 6)", "surface": "concat('s', k - k % 7 + 7)"}),
+    ("change", "h", 9, {"file": "concat('file', k + 5)", "doc": "concat('d', k + 3)", "convention": "concat('c', k - k % 5 + 5)", "area": "concat('a', k - k % 6 + 6)", "spec": "concat('p', k - k % 8)", "surface": "concat('s', k - k % 7)"}),
+]
+_FINDING = {"file": "concat('file', l_partkey)", "validator": "concat('v', l_partkey - l_partkey % 5)", "convention": "concat('c', l_suppkey - l_suppkey % 5)"}
+_SEED = "select 'file' as kind, concat('file', p_partkey) as id from part where p_partkey % 397 = 5 union all select 'topic', 't1000' union all select 'convention', 'c600' union all select 'validator', 'v300' union all select distinct 'finding', concat('f', l_orderkey) from lineitem where l_orderkey % 3001 = 9 and l_linenumber = 7"
+
+
+def _related_sql() -> str:
+    keys = [f"select '{kind}' as kind, concat('{letter}', k) as id, '{name}' as key_kind, {key} as key from (select p_partkey as k from part where p_partkey % {every} = 0)" for kind, letter, every, links in _DEFINED for name, key in links.items()]
+    keys += [f"select 'finding', concat('f', l_orderkey), '{name}', {key} from lineitem where l_linenumber = 7" for name, key in _FINDING.items()]
+    listed = lambda names: "(" + ", ".join(f"'{n}'" for n in ("", *names)) + ")"
+    steps, found = [f"n0 as materialized (select distinct kind, id from ({_SEED}))", "f0 as materialized (select kind, id from n0 where false)"], 0
+    for i, s in enumerate(definitions.RELATED_STEPS):
+        mine = f"(select * from keys where kind = '{s.kind}')"
+        if s.by or s.own:
+            hit = f"select m.kind, m.id from {mine} m join n{i} n on n.kind = m.key_kind and n.id = m.key where n.kind in {listed(s.by)}"
+            own = f" union select m.kind, m.id from {mine} m join n{i} n on n.kind = m.kind and n.id = m.id" if s.own else ""
+            steps.append(f"f{found + 1} as materialized (select kind, id from f{found} union {hit}{own})")
+            found += 1
+        taken = f"select m.key_kind, m.key from {mine} m join f{found} f on f.kind = m.kind and f.id = m.id where m.key_kind in {listed(s.collect)}"
+        named = f" union select kind, id from f{found} where kind = '{s.kind}'" if s.known else ""
+        steps.append(f"n{i + 1} as materialized (select kind, id from n{i} union {taken}{named})")
+    return f"with keys as materialized (select distinct * from ({' union all '.join(keys)})), {', '.join(steps)} select kind, id from f{found}"
+
+
+@query(_related_sql())
+def related_context(spark, sf_dir):
+    part, li = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    k = part.select(F.col("p_partkey").alias("k"))
+    pairs = lambda links: F.explode(F.array(*[F.struct(F.lit(name).alias("key_kind"), F.expr(key).alias("key")) for name, key in links.items()])).alias("x")
+    keys = li.where("l_linenumber = 7").select(F.lit("finding").alias("kind"), F.concat(F.lit("f"), "l_orderkey").alias("id"), pairs(_FINDING))
+    for kind, letter, every, links in _DEFINED:
+        keys = keys.union(k.where(F.col("k") % every == 0).select(F.lit(kind).alias("kind"), F.concat(F.lit(letter), "k").alias("id"), pairs(links)))
+    files = part.where("p_partkey % 397 = 5").select(F.lit("file").alias("kind"), F.concat(F.lit("file"), "p_partkey").alias("id"))
+    named = spark.createDataFrame([("topic", "t1000"), ("convention", "c600"), ("validator", "v300")], "kind string, id string")
+    findings = li.where("l_orderkey % 3001 = 9 and l_linenumber = 7").select(F.lit("finding"), F.concat(F.lit("f"), "l_orderkey")).distinct()
+    return definitions.related_context(files.union(named).union(findings), keys.select("kind", "id", "x.key_kind", "x.key").distinct())
