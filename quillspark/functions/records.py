@@ -39,10 +39,12 @@ def naming_idiom(language: Column, role: Column, idioms: Mapping[tuple[str, str]
 
 def matches_with_columns(line: Column, pattern: str) -> Column:
     """All matches of a pattern in a line with the columns (from 1) at which
-    they begin: the lengths of what stands between matches and of the matches before."""
+    they begin; the column is carried along in one pass."""
     found, between = F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), F.split(line, pattern)
-    total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
-    return F.transform(found, lambda m, i: F.struct((1 + total(between, i + 1) + total(found, i)).alias("column"), m.alias("match")))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<column:int,match:string>>").alias("out"))
+    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("match")))
+    step = lambda s, p: F.struct((s["at"] + p["gap"] + F.length(p["match"])).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + p["gap"]).alias("column"), p["match"].alias("match")))).alias("out"))
+    return F.aggregate(pairs, start, step, lambda s: s["out"])
 
 
 def offset_of(text: Column, line: Column, column: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -25,11 +26,13 @@ def producer(path: Column, has_facts: Column) -> Column:
 def fact_summary(facts: DataFrame) -> DataFrame:
     """(path, summary) of facts (path, kind, value, ordinal): the first
     different imports, exports, calls and literals of a file, a line for each
-    kind. Different values are grouped first, so a file's repeated facts combine before they meet."""
+    kind. Different values are grouped and ranked first, so no more of a file's facts meet than are shown."""
     kinds = (("import", "imports", MOST_IMPORTS), ("export", "exports", MOST_EXPORTS), ("call", "calls", MOST_CALLS), ("literal", "literals", MOST_LITERALS))
     once = facts.groupBy("path", "kind", "value").agg(F.min("ordinal").alias("at"))
-    lists = [F.transform(F.slice(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("at", "value")))), 1, n), lambda x: x["value"]).alias(name) for k, name, n in kinds]
-    df = once.groupBy("path").agg(*lists)
+    most = F.coalesce(*[F.when(F.col("kind") == k, n) for k, _, n in kinds])
+    first = once.withColumn("place", F.row_number().over(W.partitionBy("path", "kind").orderBy("at", "value"))).where(F.col("place") <= most)
+    lists = [F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("at", "value")))), lambda x: x["value"]).alias(name) for k, name, _ in kinds]
+    df = first.groupBy("path").agg(*lists)
     line = lambda name: F.when(F.size(name) > 0, F.concat(F.lit(f"{name}: "), F.array_join(name, ", ")))
     return df.select("path", F.concat_ws("\n", *[line(name) for _, name, _ in kinds]).alias("summary")).where("summary <> ''")
 

@@ -30,6 +30,7 @@ def hash_tree(leaves: DataFrame, path: str, leaf_hash: str, depth: int) -> DataF
     above = F.regexp_replace(F.col("parent"), "/?[^/]*$", "")
     level = chunks.groupBy("parent").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("hash")), "\n").cast("binary"), 256).alias("hash"))
     level = level.select(F.col("parent").alias("node"), F.lit("file").alias("kind"), F.when(above == "", ".").otherwise(above).alias("parent"), "hash")
+    level = cut(level)  # read by every level above
     out, waiting = chunks.unionByName(level), level.withColumn("level", F.size(F.split("node", "/")) - 1)
     for d in range(depth, -1, -1):
         due = waiting.where(F.col("level") == d)
