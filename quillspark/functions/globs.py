@@ -94,3 +94,25 @@ def in_every_scope(path: Column, scopes: list[list[str]]) -> Column:
 def under(name: Column, path: str) -> Column:
     """Whether a name belongs to a path: begins with ``path#``, taken literally."""
     return name.startswith(path + "#")
+
+
+# What sources end in, and folders that are never watched.
+SOURCES = ("ts", "tsx", "js", "jsx", "svelte", "py")
+UNWATCHED = (".git", "node_modules", "dist", "build", "coverage")
+
+
+def is_source(path: Column) -> Column:
+    return path.rlike(r"\.(?:" + "|".join(SOURCES) + ")$")
+
+
+def default_patterns(workspaces: list[str]) -> list[str]:
+    """What belongs to a project whose workspaces have these roots."""
+    sources = "{" + ",".join(SOURCES) + "}"
+    roots = [f"src/**/*.{sources}", f"tests/**/*.{sources}", "docs/**/*.{md,markdown}", "*.{md,markdown}", "package.json", "tsconfig*.json"]
+    return list(dict.fromkeys([*roots, *(f"{w}/{end}" for w in workspaces for end in (f"**/*.{sources}", "package.json", "tsconfig*.json"))]))
+
+
+def watched(path: Column, ignored: list[str] | None = None) -> Column:
+    """Whether changes of a path count: it is in no built-in folder and fits no ignored pattern."""
+    inside = F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, UNWATCHED)))
+    return ~inside & ~matches(path, ignored) if ignored else ~inside

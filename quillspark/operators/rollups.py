@@ -88,6 +88,15 @@ def owners(edges: DataFrame, owner: str, target: str) -> DataFrame:
     return agg.where("n_owners > 1")
 
 
+def hinted(found: DataFrame, hints: DataFrame, key: str) -> DataFrame:
+    """``found`` (key, change, of ``diff``) where ``hints`` (key) name files
+    that changed though their content doesn't tell: unchanged ones become
+    changed, and those that aren't there deleted."""
+    both = found.join(hints.select(key, F.lit(True).alias("__hint")).distinct(), key, "full_outer")
+    change = F.when(F.col("change").isNull(), "deleted").when((F.col("change") == "unchanged") & F.col("__hint"), "changed").otherwise(F.col("change"))
+    return both.select(key, change.alias("change"))
+
+
 def missing(references: DataFrame, targets: DataFrame, key: str, target_key: str) -> DataFrame:
     """References whose target is not there; null references are none."""
     return references.where(F.col(key).isNotNull()).join(targets.select(F.col(target_key).alias(key)).distinct(), key, "left_anti")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -263,6 +263,17 @@ def finding_key() -> Column:
     return F.concat_ws("\0", "rule_id", "file", F.coalesce(F.col("line").cast("string"), F.lit("")), "message")
 
 
+def write_baseline(found: DataFrame, target: str) -> None:
+    """All current findings with their keys, as lines of JSON under ``target``;
+    what was there is replaced. ``known_findings`` reads it."""
+    found.select(finding_key().alias("key"), "rule_id", "file", "line", "message").write.mode("overwrite").json(target)
+
+
+def known_findings(spark: SparkSession, target: str) -> DataFrame:
+    """The findings (key) of a baseline; lines without a key count for nothing."""
+    return spark.read.schema("key string, rule_id string, file string, line int, message string").json(target).where("key is not null")
+
+
 def with_baseline(found: DataFrame, baseline: DataFrame) -> DataFrame:
     """``found`` with ``known``: whether its key is in ``baseline`` (key)."""
     return found.withColumn("key", finding_key()).join(baseline.select("key", F.lit(True).alias("known")).distinct(), "key", "left").withColumn("known", F.coalesce("known", F.lit(False)))

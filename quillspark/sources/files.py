@@ -65,6 +65,30 @@ def sarif(rows: DataFrame, body: str) -> DataFrame:
     return at.select("tool", F.col("ruleId").alias("rule_id"), F.coalesce("level", F.lit("warning")).alias("severity"), "message", F.col("l.physicalLocation.artifactLocation.uri").alias("file"), F.col("l.physicalLocation.region.startLine").alias("line"), F.col("l.physicalLocation.region.startColumn").alias("column"))
 
 
+_DIAGNOSTIC = "file string, line int, column int, message string, severity string, code string"
+
+
+def diagnostics_json(rows: DataFrame, body: str) -> DataFrame:
+    """Findings (file, line, column, message, severity, code) of tools that
+    print JSON: an array, an object with the array in ``diagnostics``, or a
+    line of JSON for each. What has no message is left out; no severity is a warning."""
+    text = F.trim(F.col(body))
+    nested = F.from_json(F.when(text.startswith("{") & ~F.contains(text, F.lit("\n")), text), f"diagnostics array<struct<{', '.join(x.replace(' ', ':') for x in _DIAGNOSTIC.split(', ')) }>>")["diagnostics"]
+    listed = F.from_json(F.when(text.startswith("["), text), f"array<struct<{', '.join(x.replace(' ', ':') for x in _DIAGNOSTIC.split(', ')) }>>")
+    lines = F.transform(F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x).startswith("{")), lambda x: F.from_json(x, _DIAGNOSTIC))
+    each = rows.select(F.explode(F.when(text.startswith("["), listed).when(nested.isNotNull(), nested).otherwise(lines)).alias("d")).select("d.*")
+    return each.where("message is not null").withColumn("severity", F.coalesce("severity", F.lit("warning")))
+
+
+def definition_files(rows: DataFrame, path: str, body: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The entries of definition files (path, body: a JSON array) as rows of
+    ``schema`` behind their path, and (path, problem) of files that hold none."""
+    entries = F.from_json(F.when(F.trim(body).startswith("["), F.col(body)), f"array<struct<{schema}>>")
+    good = rows.select(path, F.explode(entries).alias("e")).select(path, "e.*")
+    problem = F.when(F.try_parse_json(body).isNull(), "could not be parsed").when(~F.trim(body).startswith("["), "must contain an array")
+    return good, rows.select(path, problem.alias("problem")).where("problem is not null")
+
+
 def diagnostic_lines(rows: DataFrame, line: str, pattern: str, fields: list[str]) -> DataFrame:
     """Fields of a regular expression's groups, of the lines that it fits."""
     return rows.where(F.col(line).rlike(pattern)).select(*[F.regexp_extract(line, pattern, i + 1).alias(f) for i, f in enumerate(fields)])
