@@ -26,8 +26,9 @@ from .storage import cut
 #: Vectors of a tree, and of a leaf.
 TREE, LEAF = 4096, 32
 LEVELS = 256
-#: Distances are computed in floating point only where it is exact.
-EXACT = 1 << 52
+#: Distances are computed in floating point only where it is exact. Components
+#: of at most MOST keep squared distances of 64 dimensions inside a long.
+EXACT, MOST, LONG = 1 << 52, 1 << 27, (1 << 63) - 1
 
 
 @dataclass
@@ -199,11 +200,13 @@ def clustered(df: DataFrame, k: int = 40, rounds: int = 5, dims: int = 64, seed:
     id comes last); with fewer vectors there are fewer centroids. Of equally
     near centroids the first has the vector, so of equal centroids the later
     are empty and stay as they are. Repeated rows count as often as they
-    stand there. Results are exact as far as squared distances fit a long.
+    stand there. Integers beyond MOST (x beyond half a million) count as MOST, so
+    that squared distances of 64 components fit a long; sums beyond a long are
+    its largest value.
     """
     spark, x = df.sparkSession, F.col(f"`{vector_col}`")
     fine = x.isNotNull() & (F.size(x) == dims) & F.forall(x, lambda c: F.coalesce(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")), F.lit(False)))
-    vectors = df.where(fine).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(x, lambda c: F.floor(F.lit(float(LEVELS)) * c.cast("double")).cast("long")).alias("v"))
+    vectors = df.where(fine).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(x, lambda c: F.greatest(F.lit(-MOST), F.least(F.lit(MOST), F.floor(F.lit(float(LEVELS)) * c.cast("double")))).cast("long")).alias("v"))
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary"), 256)
     first = vectors.withColumn("h", digest).orderBy(F.asc_nulls_last("h"), "v").limit(k).select("v").collect()
     if not first:
@@ -220,7 +223,7 @@ def clustered(df: DataFrame, k: int = 40, rounds: int = 5, dims: int = 64, seed:
             yield pa.RecordBatch.from_arrays([pa.array(tree.ids, mask=known == 0), pa.array(cluster.astype(np.int32)), pa.array(distance)], names=["id", "cluster", "distance"])
 
     found = cut(trees.mapInArrow(labelled, "id long, cluster int, distance long"), "clusters")
-    sums = {r["cluster"]: r["d"] for r in found.groupBy("cluster").agg(F.sum("distance").alias("d")).collect()}  # k rows
-    rows = [(c, d, sum(sums.values()), hashlib.sha256(",".join(map(str, centroids[c].tolist())).encode()).hexdigest()) for c, d in sums.items()]
+    sums = {r["cluster"]: r["d"] for r in found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("d")).collect()}  # k rows
+    rows = [(c, min(int(d), LONG), min(int(sum(sums.values())), LONG), hashlib.sha256(",".join(map(str, centroids[c].tolist())).encode()).hexdigest()) for c, d in sums.items()]
     about = spark.createDataFrame(rows, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
     return found.join(F.broadcast(about), "cluster").select(F.col("id").alias(id_col), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")

@@ -175,6 +175,8 @@ def test_clusters_against_all_distances(spark, spread, monkeypatch):
     few = df.where("vec_id < 4")
     assert sorted(map(tuple, clustering.clustered(few, k=9, dims=8).collect()), key=str) == brute_clusters(rows[:4], 9, 5, 8)
     assert clustering.clustered(df.limit(0)).collect() == []
+    huge = spark.createDataFrame([(k, [(-1.0) ** k * 10.0 ** (k * 30)] * 64) for k in range(10)], "vec_id long, embedding array<double>")
+    assert {r.vec_id for r in clustering.clustered(huge, k=3).collect()} == set(range(10))
 
 
 def test_balls_go_as_a_whole():
