@@ -141,7 +141,7 @@ with c as (
 w as (select doc_id, {words} from c),
 t as (select doc_id, ({length})::double as len, {tf} from w),
 s as (select count(*)::double as n, avg(len) as avg, {df} from t)
-select doc_id, round(score, 6) as score from (select doc_id, {term} as score from t, s where {some}) order by round(score, 6) desc, doc_id limit {limit}"""
+select doc_id, round(score, 6) as score from (select doc_id, {term} as score from t, s where {some} order by 2 desc, 1 limit {limit})"""
 
 
 @query(_knowledge_sql(40))
