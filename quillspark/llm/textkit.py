@@ -158,25 +158,3 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         out = out * BASE + h[k : k + m]
     return mix(out)
-
-
-def sequence(h: np.ndarray) -> np.uint64:
-    """The hash of a whole sequence of words."""
-    return grams(h, len(h))[0]
-
-
-def shingle_sets(h: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
-    """Sorted distinct n-word shingles of each text; all its words as one if
-    it has fewer than n; empty without words."""
-    g = grams(h, n)
-    out = []
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-        if b - a >= n:
-            x = np.sort(g[a : b - n + 1])
-            keep = np.empty(len(x), bool)
-            keep[0] = True
-            np.not_equal(x[1:], x[:-1], out=keep[1:])
-            out.append(x[keep])
-        else:
-            out.append(grams(h[a:b], b - a) if b > a else h[:0])
-    return out
