@@ -152,9 +152,9 @@ def scope_drift(spark, sf_dir):
     return context.scope_drift(p, "path", ["*/e[ns]/**"]).withColumn("files", F.array_join("files", ","))
 
 
-@query("with c as (select coalesce(lang, '-') as language, doc_id, case doc_id % 4 when 0 then 'stale' when 1 then 'warming' when 2 then 'idle' else 'odd' end as status from documents where doc_id > 5), r as (select *, row_number() over (partition by language order by case status when 'ready' then 0 when 'warming' then 1 when 'stale' then 2 else 3 end, doc_id) as n from c) select language, status from r where n = 1")
+@query("with c as (select coalesce(lang, '-') as language, doc_id, case doc_id % 4 when 0 then 'stale' when 1 then 'warming' when 2 then 'idle' else 'odd' end as status from documents), r as (select *, row_number() over (partition by language order by case status when 'ready' then 0 when 'warming' then 1 when 'stale' then 2 else 3 end, doc_id) as n from c) select language, status from r where n = 1")
 def producer_status(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id > 5")
+    d = table(spark, sf_dir, "documents")
     status = F.coalesce(*[F.when(F.col("doc_id") % 4 == i, F.lit(s)) for i, s in enumerate(("stale", "warming", "idle"))], F.lit("odd"))
     return context.authoritative(d.select(F.coalesce("lang", F.lit("-")).alias("language"), F.col("doc_id").alias("ordinal"), status.alias("status")), ["ready", "warming", "stale"])
 
@@ -245,12 +245,12 @@ def sensitive_changes(spark, sf_dir):
     return rule(rules.Context({"changed": p})).select("file", "message")
 
 
-@query("""with f as (select doc_id, case when doc_id % 5 = 0 then 'x' else 'r' end as rule_id, case when doc_id % 7 = 0 then 'bad' else 'error' end as severity, source as file, (doc_id % 4)::integer as line, left(text, 3) as message from documents),
+@query("""with f as (select doc_id, case when doc_id % 5 = 0 then 'x' else 'r' end as rule_id, case when doc_id % 7 = 0 then 'bad' else 'error' end as severity, source as file, (doc_id % 4)::integer as line, text as message from documents),
 p as (select doc_id, list_filter([case when rule_id <> 'r' then 'unknown rule' end, case when severity = 'bad' then 'invalid severity' end, case when coalesce(file, '') = '' then 'missing file' end, case when line < 1 then 'invalid line' end, case when coalesce(message, '') = '' then 'missing message' end], lambda x: x is not null) as p from f)
 select doc_id, array_to_string(p, ',') as problems from p where len(p) > 0""")
 def malformed_findings(spark, sf_dir):
     d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
-    found = d.select(k, F.when(k % 5 == 0, "x").otherwise("r").alias("rule_id"), F.when(k % 7 == 0, "bad").otherwise("error").alias("severity"), F.col("source").alias("file"), (k % 4).cast("int").alias("line"), F.left("text", F.lit(3)).alias("message"))
+    found = d.select(k, F.when(k % 5 == 0, "x").otherwise("r").alias("rule_id"), F.when(k % 7 == 0, "bad").otherwise("error").alias("severity"), F.col("source").alias("file"), (k % 4).cast("int").alias("line"), F.col("text").alias("message"))
     return rules.malformed(found, ["r"]).select("doc_id", F.array_join("problems", ",").alias("problems"))
 
 

@@ -45,13 +45,16 @@ def file_coverage(spark, sf_dir):
     return pages.join(found, "path").select("page_id", F.concat(F.lit("["), F.array_join("definitions", ", "), F.lit("]")).alias("definitions"))
 
 
-@query("""select 'duplicate-id' as code, n_regionkey::varchar as id, 'nation' as detail from nation group by n_regionkey having count(*) > 1
-union all select 'missing-reference', n_regionkey::varchar, n_nationkey::varchar from nation where n_nationkey % 3 = 0 and n_nationkey not in (select r_regionkey from region)""")
+@query("""with l as (select distinct p_name as id, case when l_linenumber = 1 then 'owns' else 'uses' end as relation, l_suppkey::varchar as target from lineitem join part on p_partkey = l_partkey)
+select 'duplicate-id' as code, p_name as id, p_brand as detail from part group by p_brand, p_name having count(*) > 1
+union all select 'missing-title', p_name, p_brand from part where p_type = 'SMALL'
+union all select 'missing-reference', id, target from l where target not in (select s_suppkey::varchar from supplier where s_suppkey % 10 <> 0)
+union all select 'duplicate-ownership', target, min(id) from l where relation = 'owns' group by target having count(distinct id) > 1""")
 def definition_diagnostics(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    defs = n.select(F.lit("nation").alias("kind"), F.col("n_regionkey").cast("string").alias("id"), F.col("n_name").alias("title"))
-    links = n.where("n_nationkey % 3 = 0").select(F.col("n_regionkey").cast("string").alias("id"), F.lit("uses").alias("relation"), F.col("n_nationkey").cast("string").alias("target"))
-    return definitions.diagnostics(defs, links, table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("id")))
+    part, li, s = (table(spark, sf_dir, t) for t in ("part", "lineitem", "supplier"))
+    defs = part.select(F.col("p_brand").alias("kind"), F.col("p_name").alias("id"), F.when(F.col("p_type") != "SMALL", F.col("p_type")).alias("title"))
+    links = li.join(part, F.col("p_partkey") == F.col("l_partkey")).select(F.col("p_name").alias("id"), F.when(F.col("l_linenumber") == 1, "owns").otherwise("uses").alias("relation"), F.col("l_suppkey").cast("string").alias("target")).distinct()
+    return definitions.diagnostics(defs, links, s.where("s_suppkey % 10 <> 0").select(F.col("s_suppkey").cast("string").alias("id")))
 
 
 #: Definitions made of parts: kind, first letter, every how many, and their keys.
