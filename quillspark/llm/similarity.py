@@ -282,8 +282,8 @@ def passages(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 
 
 def shared_keys(table: DataFrame) -> DataFrame:
-    """(node, key) of the keys that several nodes have, and of a few others: a
-    bitmap of fixed size, made from 32 bits of each key, keeps most keys that
+    """(node, key), written, of the keys that several nodes have, and of a few others: a
+    bitmap of bounded size, made from 32 bits of each key, keeps most keys that
     stand alone from being shuffled. Without it the result is the same."""
     rows = table.select("nodes", "keys")
 
@@ -306,7 +306,9 @@ def shared_keys(table: DataFrame) -> DataFrame:
             some = several.value.has(keys)
             yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(keys[some].view(np.int64))], names=["node", "key"])
 
-    return rows.mapInArrow(kept, "node long, key long")
+    found = cut(rows.mapInArrow(kept, "node long, key long"), "keys")
+    several.destroy()
+    return found
 
 
 def stars(keys: DataFrame) -> DataFrame:
@@ -317,23 +319,25 @@ def stars(keys: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes of ``edges`` (a > b): the least node that
-    each reaches, by large-star and small-star rounds until nothing changes.
+    each reaches, by large-star and small-star rounds until all edges lead to
+    the centre of a star, which the least neighbours of a round's start tell.
     Every round works on edges alone. Least neighbours are written before they
     are joined, so that adaptive execution can split the edges of a hub."""
-    now, before = cut(edges.select("a", "b"), "edges"), None
+    now = cut(edges.select("a", "b"), "edges")
     while True:
         both = now.union(now.select("b", "a"))
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = cut(both.where("b > a").join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")), "large")
+        below = F.when(F.col("b") < F.col("a"), F.col("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("most"), F.min(below).alias("x"), F.max(below).alias("y"))
+        # No star: a node with two lesser neighbours, or with a lesser and a greater one.
+        least = cut(least.select("a", F.least("a", "m").alias("m"), (F.col("x").isNotNull() & ((F.col("x") < F.col("y")) | (F.col("most") > F.col("a")))).alias("open")), "roots")
+        if not least.agg(F.max("open")).first()[0]:
+            spent(now)
+            return least.select(F.col("a").alias("node"), F.col("m").alias("component"))
+        large = cut(both.where("b > a").join(least.drop("open"), "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")), "large")
         last = cut(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(last, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         old, now = now, cut(small.union(last.select("a", F.col("m").alias("b"))).distinct(), "edges")
         spent(old, least, large, last)
-        state = now.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -445,7 +449,7 @@ def near_duplicates(docs: DataFrame, units: Units, keys: Keys, ratio: Fraction)
     each = table.select("doc_id", "hash", F.posexplode(F.arrays_zip("sizes", "nodes")).alias("place", "unit"))
     each = each.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "place", "hash", F.col("unit.nodes").alias("node")).where("node is not null")
     classes = cut(each.groupBy("node").agg(F.min(F.struct("doc_id", "place", "hash")).alias("first"), F.min(F.when(F.col("doc_id") != _NO_ID, F.col("doc_id"))).alias("least"), F.count("node").alias("copies")), "classes")
-    shared = cut(shared_keys(table), "keys")
+    shared = shared_keys(table)
     candidates = components(stars(shared))
     whole, table = table, cut(table.drop("keys"), "units")
     spent(whole, shared)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit
-from .storage import cut
+from .storage import cut, spent
 
 SPAN = 50
 GRAM = 20
@@ -45,9 +45,13 @@ HALF = (SPAN - GRAM) // 2
 PIECE = 1 << 16
 #: Anchors that a task gathers before it deals them to buckets.
 GATHER = 500_000
-#: Size of the bitmaps of shared hashes, which are broadcast. A larger one lets
-#: fewer other stretches through; the result is the same with any.
-FILTER_BITS = 1 << 28
+#: Most bits of the bitmaps of shared hashes, which are broadcast, and bits for
+#: each hash where that is less. A larger one lets fewer other stretches
+#: through; the result is the same with any.
+FILTER_BITS, HASH_BITS = 1 << 28, 64
+#: Jobs in which a bitmap comes to the driver, a part of it in each. They come one
+#: after the other, so there are not as many as partitions.
+FETCHES = 8
 #: Hashes of a bucket in which repeats are looked for; and hashes for each bit
 #: from which on a bitmap would be full, so that none is made.
 PLACES, CROWDED = 1 << 24, 16
@@ -177,16 +181,16 @@ Hashed = Iterator[tuple[np.ndarray, np.ndarray]]
 
 
 def met_twice(rows: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Hashed], buckets: int, expected: int) -> Bitmap:
-    """A bitmap of FILTER_BITS bits in which each hash that several owners
+    """A bitmap of at most FILTER_BITS bits in which each hash that several owners
     have sets the bit of its place in the hash range. ``hashes``: of a task's
     batches, 64-bit hashes and their owners' numbers, some ``expected`` in all.
-    The bitmap's size doesn't depend on the data, and each bucket makes its
-    own stretch of it; there are as many as keep each at PLACES hashes, and
+    Above FILTER_BITS / HASH_BITS hashes the bitmap's size doesn't depend on the
+    data. Each bucket makes its own stretch of it; there are as many as keep each at PLACES hashes, and
     ``buckets`` at least. Where the bitmap would be full, all bits are set."""
     if expected > CROWDED * FILTER_BITS:
         return Bitmap(np.full(1, 255, np.uint8), 1)
     buckets = max(buckets, -(-expected // PLACES))
-    width = -(-FILTER_BITS // buckets // 8) * 8
+    width = -(-min(FILTER_BITS, HASH_BITS * max(expected, 1 << 14)) // buckets // 8) * 8
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, many = [], 0
@@ -213,9 +217,10 @@ def met_twice(rows: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Hash
         return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     out = np.zeros(width // 8 * buckets, np.uint8)
-    found = rows.mapInArrow(gathered, "bucket int, places binary").groupBy("bucket").applyInPandas(met, "bucket int, bits binary")
-    for r in found.toLocalIterator():
+    found = cut(rows.mapInArrow(gathered, "bucket int, places binary").groupBy("bucket").applyInPandas(met, "bucket int, bits binary"), "bitmap")
+    for r in found.coalesce(FETCHES).toLocalIterator():
         out[width // 8 * r["bucket"] : width // 8 * (r["bucket"] + 1)] = np.frombuffer(r["bits"], np.uint8)
+    spent(found)
     return Bitmap(out, buckets)
 
 
@@ -438,12 +443,12 @@ def _copies(docs: DataFrame) -> DataFrame:
 def among(rows: DataFrame) -> Column:
     """Whether a document is in ``rows`` (doc, version), by a bitmap of
     TOUCHED_BITS bits: true of all that are, and of few others. One row of 4 KB
-    for each 32,768 bits comes to the driver."""
+    for each 32,768 bits comes to the driver, 1 MB in all and in one job."""
     mark = F.pmod(F.xxhash64("doc", "version"), F.lit(TOUCHED_BITS))
     bits = np.zeros(TOUCHED_BITS // 8, np.uint8)
     # Spark's bitmap functions count from 1 on.
     marks = rows.select((mark + 1).alias("mark"))
-    for r in marks.groupBy(F.bitmap_bucket_number("mark").alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("mark")).alias("bits")).toLocalIterator():
+    for r in marks.groupBy(F.bitmap_bucket_number("mark").alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("mark")).alias("bits")).collect():
         bits[(r["number"] - 1) * 4096 : r["number"] * 4096] = np.frombuffer(r["bits"], np.uint8)
     known = rows.sparkSession.sparkContext.broadcast(bits)
 

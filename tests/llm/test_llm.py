@@ -763,6 +763,35 @@ def test_filters_of_any_size_change_nothing(spark, places, crowded, monkeypatch)
     assert sorted(map(tuple, got.collect()), key=str) == brute_groups(near, 3, Fraction(9, 10))
 
 
+def test_bitmaps_come_in_few_jobs(spark, monkeypatch):
+    """As many whatever the number of partitions."""
+    tracker, before = spark.sparkContext.statusTracker(), {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    rows = spark.createDataFrame([(k, f"{k % 9} one text", k) for k in range(40)], "doc long, text string, version long")
+    try:
+        for k, v in zip(before, ("60", "false")):
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("bitmaps", "")
+        hashes = lambda raw, edges: (edges[:-1], textkit.mix(raw[edges[:-1]].astype(np.uint64)))
+        shared = substrings.shared_hashes(rows, hashes, 60, 40)
+        assert rows.where(substrings.among(rows.where("doc < 20"))).count() == 20
+        assert len(tracker.getJobIdsForGroup("bitmaps")) < 25
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert not shared.has(textkit.mix(np.arange(1000, 2000, dtype=np.uint64))).any()
+
+
+def test_stars_need_no_round(spark, tmp_path, monkeypatch):
+    from quillspark.llm import storage
+
+    monkeypatch.setattr(storage, "shared_folder", lambda _: str(tmp_path))
+    edges = [(a, a % 3) for a in range(3, 30)] * 2
+    got = similarity.components(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == [(a, a % 3) for a in range(30)]
+    assert {p.name.rpartition("-")[0] for p in tmp_path.iterdir()} == {"roots"} and len(list(tmp_path.iterdir())) == 1
+
+
 def test_spent_tables_are_deleted(spark, tmp_path, monkeypatch):
     from quillspark.llm import storage
 
