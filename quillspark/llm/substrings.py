@@ -14,7 +14,9 @@ at one place are a stretch, and
   in order, by doubling of ranks, up to SPAN bytes. The previous and the next
   smaller document in that order, as far as SPAN bytes are shared, say whether
   a suffix has an earlier match: whether its longest previous factor has SPAN
-  bytes at least;
+  bytes at least. A task settles the copies among its own stretches before it
+  deals any, so a common stretch comes a few times from a task and not once
+  from each document;
 * anchors at more than CROWD places (a common line with other bytes around it)
   go to no bucket: their windows are grouped as rows.
 
@@ -57,6 +59,8 @@ FETCHES = 8
 PLACES, CROWDED = 1 << 24, 16
 #: Size of the bitmap of documents that may lose bytes, likewise.
 TOUCHED_BITS = 1 << 23
+#: Stretches of a task among which copies are settled at once.
+SETTLED = 30_000
 #: Stretches of a bucket, on average, and the most of an anchor that goes to one.
 BUCKET_ROWS, CROWD = 20_000, 20_000
 #: Most stretches of more than CROWD places each whose windows are broadcast; with more, adaptive execution splits their joins.
@@ -241,9 +245,11 @@ def shared_hashes(docs: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], tu
 
 
 def _stretches(docs: DataFrame, buckets: int) -> DataFrame:
-    """Of texts (doc, text, version): the bytes that the windows of each
-    shared anchor cover, the anchor's bucket, and where they start. Only
-    windows with shared bytes before or behind the anchor count."""
+    """Written, of texts (doc, text, version): the bytes that the windows of each
+    shared anchor cover, the anchor's hash, and where they start. Only
+    windows with shared bytes before or behind the anchor count. Where a task
+    has the same bytes of a smaller document, they are lost in any case: of
+    these come the byte ranges alone (start, stop), with no anchor or bytes."""
     sc = docs.sparkSession.sparkContext
     # A window of SPAN bytes picks one of its grams, so about one gram in 16 is an anchor.
     expected = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 12
@@ -256,6 +262,7 @@ def _stretches(docs: DataFrame, buckets: int) -> DataFrame:
     around = sc.broadcast(shared_hashes(docs, sides, buckets, 2 * expected))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, many = [], 0
         for batch in textkit.slices(batches, 1):
             raw, edges = textkit.buffers(batch.column(1))
             first, last, at, h, left, right, before, behind = _sides(raw, edges, anchors.value)
@@ -271,9 +278,52 @@ def _stretches(docs: DataFrame, buckets: int) -> DataFrame:
             body = raw[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
             bytes_ = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(body)])
             ids, versions = (batch.column(k).take(pa.array(doc)) for k in (0, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, versions, pa.array(first - edges[doc], pa.int64()), bytes_], names=["anchor", "doc", "version", "start", "bytes"])
-
-    return docs.mapInArrow(cut_out, "anchor long, doc long, version long, start long, bytes binary")
+            start = first - edges[doc]
+            waiting.append(pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, versions, pa.array(start), pa.array(start + n), bytes_], names=names))
+            many += len(n)
+            if many >= SETTLED:
+                yield from _settled(pa.Table.from_batches(waiting))
+                waiting, many = [], 0
+        if many:
+            yield from _settled(pa.Table.from_batches(waiting))
+
+    names = ["anchor", "doc", "version", "start", "stop", "bytes"]
+    found = cut(docs.mapInArrow(cut_out, "anchor long, doc long, version long, start long, stop long, bytes binary"), "stretches")
+    anchors.destroy()
+    around.destroy()
+    return found
+
+
+def _settled(stretches: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The stretches without those that a smaller document among them has
+    too, and the byte ranges that these lose."""
+    docs, coded = stretches["doc"].to_numpy(), stretches["bytes"].combine_chunks().dictionary_encode()
+    code = coded.indices.to_numpy()
+    least = np.full(len(coded.dictionary), docs.max())
+    np.minimum.at(least, code, docs)
+    later = docs > least[code]
+    kept = stretches.filter(pa.array(~later))
+    yield from kept.set_column(4, "stop", pa.nulls(len(kept), pa.int64())).combine_chunks().to_batches()
+    doc, version, a, b = (stretches[c].to_numpy()[later] for c in ("doc", "version", "start", "stop"))
+    order = np.lexsort((a, version, doc))
+    doc, version, a, b = doc[order], version[order], a[order], b[order]
+    other = np.ones(len(a), bool)
+    other[1:] = (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])
+    a, b, new = _runs(np.cumsum(other), a, b)
+    none = [pa.nulls(len(a), kind) for kind in (pa.int64(), pa.binary())]
+    yield pa.RecordBatch.from_arrays([none[0], pa.array(doc[new]), pa.array(version[new]), pa.array(a), pa.array(b), none[1]], names=stretches.column_names)
+
+
+def _runs(of: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte ranges of documents, in order of these and of their starts, joined
+    where they touch: starts, ends, and which ranges begin one."""
+    # The furthest end so far in the document: ends of later documents are higher by their number.
+    step = int(b.max(initial=0)) + 1
+    furthest = np.maximum.accumulate(b + of * step) - of * step
+    new = np.ones(len(a), bool)
+    new[1:] = (of[1:] != of[:-1]) | (a[1:] > furthest[:-1])
+    last = np.append(np.flatnonzero(new)[1:], len(a))[: new.sum()] - 1
+    return a[new], furthest[last], new
 
 
 def suffix_order(raw: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -406,12 +456,14 @@ def _by_window(found: DataFrame) -> DataFrame:
 def removed_spans(docs: DataFrame) -> DataFrame:
     """(doc, version, spans) of the documents (doc, version, text) that lose bytes; spans: byte ranges, which don't touch."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = cut(_stretches(docs, 2 * partitions), "stretches")
+    stretches = _stretches(docs, 2 * partitions)
+    found, settled = stretches.where("stop is null").drop("stop"), stretches.where("stop is not null")
     crowded = cut(found.groupBy("anchor").agg(F.count("anchor").alias("many")).where(f"many > {CROWD}").select("anchor"), "crowded")
     buckets = max(partitions, -(-found.count() // BUCKET_ROWS))
     spans = _in_buckets(found.join(crowded, "anchor", "left_anti"), buckets)
     if not crowded.isEmpty():
         spans = spans.union(_by_window(found.join(crowded, "anchor", "left_semi")))
+    spans = spans.union(settled.select("doc", "version", F.col("start").alias("a"), F.col("stop").alias("b")))
     spans = spans.groupBy("doc", "version").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,13 +472,8 @@ def removed_spans(docs: DataFrame) -> DataFrame:
             of = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy())
             order = np.lexsort((a, of))
             a, b, of = a[order], b[order], of[order]
-            # The furthest end so far in the document: ends of later documents are higher by their number.
-            step = int(b.max(initial=0)) + 1
-            furthest = np.maximum.accumulate(b + of * step) - of * step
-            new = np.ones(len(a), bool)
-            new[1:] = (of[1:] != of[:-1]) | (a[1:] > furthest[:-1])
-            last = np.append(np.flatnonzero(new)[1:], len(a))[: new.sum()] - 1
-            pairs = pa.StructArray.from_arrays([pa.array(a[new]), pa.array(furthest[last])], ["a", "b"])
+            a, b, new = _runs(of, a, b)
+            pairs = pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
             offsets = np.searchsorted(of[new], np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pairs)], names=["doc", "version", "spans"])
 

@@ -792,6 +792,19 @@ def test_stars_need_no_round(spark, tmp_path, monkeypatch):
     assert {p.name.rpartition("-")[0] for p in tmp_path.iterdir()} == {"roots"} and len(list(tmp_path.iterdir())) == 1
 
 
+def test_common_stretches_are_settled_in_tasks(spark, monkeypatch):
+    """A stretch of all texts comes from a task once, not from each text."""
+    rng = random.Random(41)
+    line = random_text(rng, 40)
+    rows = [(k, f"{random_text(rng, 12)}\n{line}\n{random_text(rng, 12)}") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = substrings._stretches(substrings._versioned(df), 4).where("bytes is not null")
+    assert found.groupBy("bytes").count().agg(F.max("count")).first()[0] <= 2
+    assert sorted(map(tuple, substrings.deduplicated(df).collect())) == sorted(brute_substrings(rows))
+    monkeypatch.setattr(substrings, "SETTLED", 30)
+    assert sorted(map(tuple, substrings.deduplicated(df).collect())) == sorted(brute_substrings(rows))
+
+
 def test_spent_tables_are_deleted(spark, tmp_path, monkeypatch):
     from quillspark.llm import storage
 
