@@ -782,6 +782,12 @@ def test_bitmaps_come_in_few_jobs(spark, monkeypatch):
     assert not shared.has(textkit.mix(np.arange(1000, 2000, dtype=np.uint64))).any()
 
 
+def test_few_hashes_make_a_small_bitmap(spark):
+    df = spark.createDataFrame([(k, f"text {k % 3}") for k in range(9)], "doc_id long, text string")
+    hashes = lambda raw, edges: (edges[:-1], textkit.mix(np.arange(len(edges) - 1, dtype=np.uint64)))
+    assert len(substrings.shared_hashes(df, hashes, 8, 9).bits) <= 1 << 20
+
+
 def test_stars_need_no_round(spark, tmp_path, monkeypatch):
     from quillspark.llm import storage
 
