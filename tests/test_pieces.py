@@ -61,6 +61,33 @@ def test_free_ids(spark):
     assert got == taken and len(set(got.values())) == len(got)
 
 
+def test_free_ids_of_a_crowded_space(spark, monkeypatch):
+    """As many rounds as the last row has numbers would take hundreds here."""
+    cuts = []
+    monkeypatch.setattr(chunks, "cut_point", lambda df, f=chunks.cut_point: cuts.append(1) or f(df))
+    rows = [(k, None if k % 50 == 49 else f"b{k % 3}", k % 7) for k in range(220)]
+    digest = lambda base, n: F.substring(F.md5(F.concat(base, n.cast("string"), F.lit(":"), F.col("g").cast("string"))), 1, 2)
+    df = spark.createDataFrame(rows, "k int, id string, g int")
+    got = {r.k: r.unique_id for r in chunks.free_ids(df, "id", ["k"], digest, alike=[F.col("g")], space=256).collect()}
+    want, waiting, n = {}, [], 0
+    for k, i, g in rows:
+        if i is None or i not in want.values():
+            want[k] = i
+        else:
+            waiting.append((k, i, g))
+    while waiting:
+        n, used = n + 1, set(want.values())
+        for k, i, g in waiting:
+            new = hashlib.md5(f"{i}{n}:{g}".encode()).hexdigest()[:2]
+            if new not in used:
+                used.add(new)
+                want[k] = new
+        waiting = [r for r in waiting if r[0] not in want]
+    assert got == want and n > 40 and len(cuts) < n / 2, (n, len(cuts))
+    with pytest.raises(ValueError, match="rows want ids"):
+        chunks.free_ids(df, "id", ["k"], digest, space=100)
+
+
 def test_pruned_pair(spark):
     jobs = spark.createDataFrame([(1, "done", 10), (2, "done", 20), (3, "open", 1), (4, "done", 30), (5, "done", 2)], "id int, state string, at int")
     children = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c"), (4, "d"), (5, "e"), (9, "orphan"), (None, "none")], "job int, name string")
