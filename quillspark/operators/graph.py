@@ -37,8 +37,10 @@ def resolve(references: DataFrame, nodes: DataFrame, imports: DataFrame) -> Data
     """
     once = lambda df, by: df.groupBy(*by).agg(F.count("id").alias("n"), F.min("id").alias("id")).where("n = 1").drop("n")
     own = once(nodes, ["path", "name"]).withColumnRenamed("id", "own")
-    exported = nodes.where("exported").select(F.col("path").alias("target_path"), "name", "id")
-    via = once(imports.join(exported, ["target_path", "name"]), ["path", "name"]).withColumnRenamed("id", "via")
+    # Nodes of a name in a file are counted before imports meet them, so that no import brings a row for each.
+    exported = nodes.where("exported").groupBy(F.col("path").alias("target_path"), "name").agg(F.count("id").alias("n"), F.min("id").alias("id"))
+    met = imports.join(exported, ["target_path", "name"]).groupBy("path", "name").agg(F.sum("n").alias("n"), F.min("id").alias("via"))
+    via = met.where("n = 1").drop("n")
     any_ = once(nodes, ["name"]).withColumnRenamed("id", "any")
     df = references.join(own, ["path", "name"], "left").join(via, ["path", "name"], "left").join(any_, "name", "left")
     how = F.when(F.col("own").isNotNull(), "same-file").when(F.col("via").isNotNull(), "import").when(F.col("any").isNotNull(), "project")

@@ -46,7 +46,9 @@ def resolve_precedence(spark, sf_dir):
     brand = lambda c, n: F.concat(F.lit("Brand#"), F.col(c) % n + 1)
     nodes = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("path"), F.col("p_name").alias("name"), (F.col("p_partkey") % 2 == 0).alias("exported"))
     refs = li.join(p, F.col("p_partkey") == F.col("l_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref"), brand("l_suppkey", 25).alias("path"), F.col("p_name").alias("name"))
-    imports = s.join(p, F.col("p_size") == F.col("s_suppkey") % 50).select(brand("s_suppkey", 25).alias("path"), F.col("p_name").alias("name"), brand("s_suppkey", 7).alias("target_path")).distinct()
+    # Suppliers count by their key modulo 50, 25 and 7 alone, so there are 350 kinds at most, however many suppliers.
+    kinds = s.select((F.col("s_suppkey") % 50).alias("p_size"), brand("s_suppkey", 25).alias("path"), brand("s_suppkey", 7).alias("target_path")).distinct()
+    imports = p.select("p_size", F.col("p_name").alias("name")).distinct().join(F.broadcast(kinds), "p_size").select("path", "name", "target_path").distinct()
     return graph.resolve(refs, nodes, imports)
 
 
