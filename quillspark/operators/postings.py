@@ -1,11 +1,15 @@
 """Full-text search over a written inverted index.
 
-An index is a folder of three tables. ``postings`` has a row for each word of
-each field of each chunk (term, block, id, field, place, len), in ranges of
-terms and sorted in them, so that a word or a prefix reads the files and row
-groups that hold it and no others. ``maxima`` has for each term and block of
-chunks the most often it stands in one and the least length of one. ``stats``
-has one row, the number of chunks and their mean length; it is written last.
+An index is a folder of two tables. ``postings`` has a row for each word and
+block of chunks: how often the word stands in the chunk that has it most
+(tf), the least length of a chunk that has it (len), and of all these chunks
+the ids, lengths and counts, then the field and place of each occurrence. A
+row of the empty word has all chunks of the block. ``stats`` has one row, the
+number of chunks and their mean length; it is written last.
+
+Each task packs the chunks that it reads and writes one file, sorted by words,
+so that nothing is shuffled, and a word or a prefix reads of each file the row
+groups and pages that hold it and no others.
 
 Chunks of like length share blocks. A search bounds the score of each block
 from the maxima, scores the most promising blocks, and then only those whose
@@ -18,10 +22,14 @@ import math
 import re
 import unicodedata
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +38,8 @@ from .cuts import cut, shared_folder
 K1, B = 1.2, 0.75
 #: Chunks of a block, blocks that are scored first, and blocks that are named in a filter (more are joined).
 BLOCK, FIRST, NAMED = 1024, 4, 500
+#: Words of chunks that are packed at once, about.
+PACKED = 2_000_000
 #: Bytes of a row group; small ones are skipped more finely.
 ROW_GROUP = 4 << 20
 
@@ -78,22 +88,80 @@ def build(chunks: DataFrame, id_col: str, fields: Sequence[str], analyzer: Analy
     spark = chunks.sparkSession
     folder = folder or f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
     split = chunks.select(F.col(id_col).alias("id"), F.array(*[analyzer.words(F.col(c)) for c in fields]).alias("words"))
-    split = cut(split.withColumn("len", F.aggregate("words", F.lit(0), lambda n, w: n + F.size(w))))
-    band = F.floor(4 * F.log2(F.col("len") + 1)).cast("int")
-    sizes = {r["band"]: r["count"] for r in split.groupBy(band.alias("band")).count().collect()}  # some 150 at most
-    parts = reduce(lambda e, x: e.when(band == x[0], -(-x[1] // BLOCK)), sizes.items(), F.when(F.lit(False), 1)).otherwise(1)
-    block = (band * (1 << 24) + F.pmod(F.xxhash64("id"), parts)).cast("int")
-    each = split.select("id", "len", block.alias("block"), F.posexplode("words").alias("field", "w")).select("id", "len", "block", "field", F.posexplode("w").alias("place", "term"))
-    each = each.select("term", "block", "id", "field", "place", "len")
-    each.repartitionByRange("term", "block").sortWithinPartitions("term", "block", "id", "field", "place").write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/postings")
+    packed = split.mapInArrow(_packer(len(fields), BLOCK, PACKED), f"term string, block long, tf int, len int, ids array<{split.schema['id'].dataType.simpleString()}>, lens array<int>, tfs array<int>, fields array<tinyint>, places array<int>")
+    packed.sortWithinPartitions("term", "block").write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/postings")
     index = Index(spark, folder)
-    often = index.table("postings").groupBy("term", "block", "id").agg(F.count("place").alias("tf"), F.first("len").alias("len"))
-    maxima = often.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("len").alias("len"))
-    maxima.repartitionByRange("term").sortWithinPartitions("term", "block").write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/maxima")
-    split.agg(F.count("len").alias("n"), F.avg("len").alias("avg")).write.parquet(f"{folder}/stats")
+    every = index.table("postings").where("term = ''").select(F.explode("lens").alias("len"))
+    every.agg(F.count("len").alias("n"), F.avg("len").alias("avg")).write.parquet(f"{folder}/stats")
     return index
 
 
+def _packer(n_fields: int, size: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of ``postings`` from chunks (id, words of each field), some ``most`` words at a time."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, n = TaskContext.get().partitionId() << 32, [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                ids, words = (pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
+                yield from _packed(ids, words, n_fields, size, block)
+
+        for batch in batches:
+            ends = np.cumsum(pc.list_value_length(batch.column(1).flatten()).to_numpy(zero_copy_only=False).reshape(-1, n_fields).sum(1, dtype=np.int64))
+            at = 0
+            while at < len(ends):  # up to where the words held are enough, one chunk at least
+                before = ends[at - 1] if at else 0
+                to = min(len(ends), max(at, int(np.searchsorted(ends, before + most - n))) + 1)
+                held.append(batch.slice(at, to - at))
+                n, at = n + ends[to - 1] - before, to
+                if n >= most:
+                    yield from done()
+                    block, held, n = block + -(-sum(map(len, held)) // size), [], 0
+        yield from done()
+
+    return pack
+
+
+def _packed(ids: pa.Array, words: pa.Array, n_fields: int, size: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of ``size`` chunks, numbered from ``block`` on: the row of the empty
+    word of each, and the rows of their words."""
+    sizes = pc.list_value_length(words.flatten()).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, lens, n = words.flatten().flatten(), sizes.reshape(-1, n_fields).sum(1), len(ids)
+    by_len = np.argsort(lens, kind="stable")
+    ids, lens = ids.take(pa.array(by_len)), lens[by_len]
+    rank = np.empty(n, np.int64)
+    rank[by_len] = np.arange(n)
+
+    def rows(terms: pa.Array, blocks: np.ndarray, first: np.ndarray, chunk: np.ndarray, tf: np.ndarray, field: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        """``first``: where the chunks of each row begin; ``chunk``, ``tf``: of each chunk in a row."""
+        ends, length = np.append(first, len(chunk)), lens[chunk]
+        spent = np.append(0, np.cumsum(tf))[ends]
+        lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+        ints = lambda x: pa.array(x, pa.int32())
+        columns = [terms, pa.array(block + blocks), ints(np.maximum.reduceat(tf, first)), ints(np.minimum.reduceat(length, first)), lists(ends, ids.take(pa.array(chunk))), lists(ends, ints(length)), lists(ends, ints(tf)), lists(spent, pa.array(field, pa.int8())), lists(spent, ints(place))]
+        return pa.RecordBatch.from_arrays(columns, names=["term", "block", "tf", "len", "ids", "lens", "tfs", "fields", "places"])
+
+    first, none = np.arange(0, n, size), np.zeros(0, np.int64)
+    yield rows(pa.array([""] * len(first)), first // size, first, np.arange(n), np.zeros(n, np.int64), none, none)
+    if not len(flat):
+        return
+    known = flat.dictionary_encode()
+    in_order = pc.sort_indices(known.dictionary).to_numpy()
+    number = np.empty(len(in_order), np.int64)
+    number[in_order] = np.arange(len(in_order))
+    key = number[known.indices.to_numpy()] * n + np.repeat(np.repeat(rank, n_fields), sizes)
+    order = np.argsort(key, kind="stable")
+    field = np.repeat(np.tile(np.arange(n_fields), n), sizes)[order]
+    place = (np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
+    key = key[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    term, chunk = np.divmod(key[starts], n)
+    blocks = chunk // size
+    first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (blocks[1:] != blocks[:-1])))
+    yield rows(known.dictionary.take(pa.array(in_order[term[first]])), blocks[first], first, chunk, np.diff(np.append(starts, len(key))), field, place)
+
+
 _BUILT: dict[tuple, Index] = {}
 
 
@@ -134,14 +202,17 @@ def occurrences(rows: DataFrame, wanted: list[Phrase]) -> DataFrame:
     long = [(i, j, _fits(p, j)) for i, p in enumerate(wanted) if len(p) > 1 for j in range(len(p))]
     parts = []
     if single:
-        parts.append(_matches(rows, single, "block", "id", "len").drop("j"))
+        each = _matches(rows, single, "block", "ids", "lens", "tfs").select("block", "i", F.explode(F.arrays_zip("ids", "lens", "tfs")).alias("c"))
+        parts.append(each.select("block", F.col("c.ids").alias("id"), F.col("c.lens").alias("len"), "i", F.col("c.tfs").alias("n")))
     if long:  # the words of a phrase stand at the same start, less their places in it
         size = reduce(lambda e, x: e.when(F.col("i") == x[0], len(x[1])), enumerate(wanted), F.when(F.lit(False), 0))
-        start = (F.col("place") - F.col("j")).alias("start")
-        each = _matches(rows, long, "block", "id", "len", "field", "place").select("block", "id", "len", "i", "field", start)
-        parts.append(each.groupBy("block", "id", "len", "i", "field", "start").agg(F.count("start").alias("n")).where(F.col("n") == size).select("block", "id", "len", "i"))
+        owner = F.flatten(F.transform(F.arrays_zip("ids", "lens", "tfs"), lambda c: F.array_repeat(F.struct(c["ids"].alias("id"), c["lens"].alias("len")), c["tfs"])))
+        each = _matches(rows, long, "block", "ids", "lens", "tfs", "fields", "places")
+        each = each.select("block", "i", "j", F.explode(F.arrays_zip(owner.alias("c"), F.col("fields").alias("field"), F.col("places").alias("place"))).alias("o"))
+        each = each.select("block", "o.c.id", "o.c.len", "i", "o.field", (F.col("o.place") - F.col("j")).alias("start"))
+        parts.append(each.groupBy("block", "id", "len", "i", "field", "start").agg(F.count("start").alias("n")).where(F.col("n") == size).select("block", "id", "len", "i", F.lit(1).alias("n")))
     found = reduce(DataFrame.union, parts)
-    return found.groupBy("block", "id", "len").agg(*[F.count_if(F.col("i") == i).alias(f"tf{i}") for i in range(len(wanted))])
+    return found.groupBy("block", "id", "len").agg(*[F.coalesce(F.sum(F.when(F.col("i") == i, F.col("n"))), F.lit(0)).alias(f"tf{i}") for i in range(len(wanted))])
 
 
 def _saturated(idf: float, tf: Column, length: Column, avg: float) -> Column:
@@ -186,7 +257,7 @@ def _scored(index: Index, wanted: list[Phrase], weights: list[float], avg: float
 def _bounds(index: Index, wanted: list[Phrase], weights: list[float], avg: float, every: bool) -> DataFrame:
     """(block, bound): no chunk of the block scores more."""
     words = [(i, j, _fits(p, j)) for i, p in enumerate(wanted) for j in range(len(p))]
-    each = _matches(index.table("maxima"), words, "block", "tf", "len").groupBy("block", "i", "j").agg(F.sum("tf").alias("tf"), F.min("len").alias("len"))
+    each = _matches(index.table("postings"), words, "block", "tf", "len").groupBy("block", "i", "j").agg(F.sum("tf").alias("tf"), F.min("len").alias("len"))
     size = reduce(lambda e, x: e.when(F.col("i") == x[0], len(x[1])), enumerate(wanted), F.when(F.lit(False), 0))
     idf = reduce(lambda e, x: e.when(F.col("i") == x[0], x[1]), enumerate(weights), F.when(F.lit(False), 0.0))
     whole = each.groupBy("block", "i").agg(F.count("j").alias("n"), F.min("tf").alias("tf"), F.min("len").alias("len")).where(F.col("n") == size)
@@ -201,7 +272,7 @@ def search(index: Index, wanted: list[Phrase], k: int, weight: Weight = inverse_
     fields together, a phrase counting as a word. Nothing is found for no phrase.
     """
     if not wanted:
-        return index.table("postings").select("id", F.lit(0.0).alias("score")).limit(0)
+        return index.table("postings").select(F.explode("ids").alias("id"), F.lit(0.0).alias("score")).limit(0)
     best = [F.desc("score"), F.asc("id")]
     known = (*_weights(index, wanted, weight), every)
     bounds = cut(_bounds(index, wanted, *known))

@@ -71,3 +71,26 @@ def test_index_is_read_in_part_and_kept(spark, tmp_path):
     assert postings.index_of("t", spark.read.parquet(f"{tmp_path}/chunks"), over, "id", ["text"], postings.ASCII) is not index
     assert postings.search(postings.build(df.limit(0), "id", ["text"], postings.ASCII), [("a",)], 3).collect() == []
     assert [(r.id, round(r.bm25, 9)) for r in search.lexical(index, "word1 common", 20, "id").collect()] == [(r.id, round(r.bm25, 9)) for r in search.bm25(over, "word1 common", 20, "id").collect()]
+
+
+def test_index_is_packed_where_texts_are_read(spark, rows, tmp_path, monkeypatch):
+    """Nothing but the index is written, a row for each word and block, and tasks pack apart."""
+    monkeypatch.setattr(postings, "BLOCK", 4)
+    monkeypatch.setattr(postings, "PACKED", 90)
+    shared = tmp_path / "shared"
+    monkeypatch.setattr(postings, "shared_folder", lambda spark: str(shared))
+    cuts = []
+    monkeypatch.setattr(postings, "cut", lambda df, f=postings.cut: cuts.append(1) or f(df))
+    long = [(1000, "the " * 500, "ubung foo bar " * 300)]
+    chunks = spark.createDataFrame(rows + long, "id long, heading string, text string").repartition(3)
+    index = postings.build(chunks, "id", ["heading", "text"], postings.UNICODE)
+    assert not cuts and sorted(p.name for p in shared.glob("*/*")) == ["postings", "stats"]
+    every = index.table("postings").select("term", "block", F.size("ids").alias("n")).collect()
+    assert len({r.block for r in every}) > 30 and len({(r.term, r.block) for r in every}) == len(every) and all(r.n <= 4 for r in every)
+    assert sum(r.n for r in every if not r.term) == len(rows) + 1
+    for query in (["the", "ubun"], ["foo_bar", "etat"]):
+        wanted = postings.phrases(query, "[a-z0-9]+")
+        want = plain_scores(rows + long, wanted)
+        assert {r.id: round(r.score, 9) for r in postings.scored(index, wanted).collect()} == {i: round(s, 9) for i, s in want.items()}
+        best = sorted((-round(s, 9), i) for i, s in want.items())[:9]
+        assert [r.id for r in postings.search(index, wanted, 9).collect()] == [i for _, i in best]
