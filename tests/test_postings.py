@@ -8,7 +8,8 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import postings, search
+from quillspark import catalog
+from quillspark.operators import cuts, postings, search
 
 
 def plain_words(text):
@@ -79,12 +80,12 @@ def test_index_is_packed_where_texts_are_read(spark, rows, tmp_path, monkeypatch
     monkeypatch.setattr(postings, "PACKED", 90)
     shared = tmp_path / "shared"
     monkeypatch.setattr(postings, "shared_folder", lambda spark: str(shared))
-    cuts = []
-    monkeypatch.setattr(postings, "cut", lambda df, f=postings.cut: cuts.append(1) or f(df))
+    written = []
+    monkeypatch.setattr(postings, "cut", lambda df, f=postings.cut: written.append(1) or f(df))
     long = [(1000, "the " * 500, "ubung foo bar " * 300)]
     chunks = spark.createDataFrame(rows + long, "id long, heading string, text string").repartition(3)
     index = postings.build(chunks, "id", ["heading", "text"], postings.UNICODE)
-    assert not cuts and sorted(p.name for p in shared.glob("*/*")) == ["postings", "stats"]
+    assert not written and sorted(p.name for p in shared.glob("*/*")) == ["postings", "stats"]
     every = index.table("postings").select("term", "block", F.size("ids").alias("n")).collect()
     assert len({r.block for r in every}) > 30 and len({(r.term, r.block) for r in every}) == len(every) and all(r.n <= 4 for r in every)
     assert sum(r.n for r in every if not r.term) == len(rows) + 1
@@ -94,3 +95,14 @@ def test_index_is_packed_where_texts_are_read(spark, rows, tmp_path, monkeypatch
         assert {r.id: round(r.score, 9) for r in postings.scored(index, wanted).collect()} == {i: round(s, 9) for i, s in want.items()}
         best = sorted((-round(s, 9), i) for i, s in want.items())[:9]
         assert [r.id for r in postings.search(index, wanted, 9).collect()] == [i for _, i in best]
+
+
+def test_knowledge_search_leaves_its_index_alone(spark, tmp_path, monkeypatch):
+    """The query keeps no table of words beside the index of its seven fields."""
+    monkeypatch.setattr(postings, "_BUILT", {})
+    monkeypatch.setattr(postings, "shared_folder", lambda spark: str(tmp_path))
+    monkeypatch.setattr(cuts, "shared_folder", lambda spark: str(tmp_path))
+    assert catalog.QUERIES["knowledge_search"](spark, "/root/testdata/sf0.001").count() > 0
+    size = {p.name: sum(f.stat().st_size for f in p.rglob("*.parquet")) for p in tmp_path.iterdir()}
+    index = sum(n for name, n in size.items() if name.startswith("postings-"))
+    assert index > 0 and sum(size.values()) - index < index / 10, size
